@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import quality_rules
+from marquee.llm import language_id, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op8_language_id": language_id.query,
+        "op9_simhash": simhash.query,
     }
 
 
