@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import language_id, packing, quality_rules, simhash, token_files
+from marquee.llm import html_text, language_id, packing, quality_rules, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.query,
         "op2_token_files": token_files.query,
         "op3_packing": packing.query,
+        "op5_html_text": html_text.query,
         "op8_language_id": language_id.query,
         "op9_simhash": simhash.query,
     }
