@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import html_text, language_id, packing, quality_rules, simhash, token_files
+from marquee.llm import html_text, language_id, packing, quality_rules, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_text": html_text.query,
         "op8_language_id": language_id.query,
         "op9_simhash": simhash.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
