@@ -41,8 +41,8 @@ HALF = RADIUS // 2
 #: Variants that one bundle should hold, which sets the number of block bits.
 BUNDLE = 2_000_000
 BLOCK_BITS = (8, 24)
-#: Fingerprints of one block value beyond which it is cut by CUT_BITS more bits.
-CROWDED = 20_000
+#: Variants of one block value beyond which it is cut by CUT_BITS more bits.
+CROWDED = 4 * BUNDLE
 CUT_BITS = 8
 
 
@@ -185,8 +185,10 @@ def links(prints: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all nodes of ``prints`` (fp, node) whose fingerprints are near; fingerprints are distinct."""
     schema = "block long, used byte, fp long, node long"
     width = block_bits(prints.count())
-    bundles = materialize(prints.mapInArrow(_bundles(width), schema), "bundles")
-    crowded = materialize(bundles.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("block"), "crowded")
+    bundles = prints.mapInArrow(_bundles(width), schema)
+    sizes = [len(m) for m in flips(64 - width, HALF)]
+    variants = F.element_at(F.array(*[F.lit(sum(sizes[: HALF + 1 - n])) for n in range(HALF + 1)]), F.col("used").cast("int") + 1)
+    crowded = materialize(bundles.groupBy("block").agg(F.sum(variants).alias("n")).where(F.col("n") > CROWDED).select("block"), "crowded")
     found = bundles.join(crowded, "block", "left_anti").groupBy("block").applyInArrow(_links(width), "u long, v long")
     cut = bundles.join(crowded, "block", "left_semi").select("block", "used", "fp", "node").mapInArrow(_cut(width), schema)
     return found.union(cut.groupBy("block").applyInArrow(_links(width + CUT_BITS), "u long, v long"))
