@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import html_text, language_id, packing, quality_rules, simhash, token_files, toxicity
+from marquee.llm import html_text, language_id, nearest, packing, quality_rules, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": token_files.query,
         "op3_packing": packing.query,
         "op5_html_text": html_text.query,
+        "op7_nearest": nearest.query,
         "op8_language_id": language_id.query,
         "op9_simhash": simhash.query,
         "op10_toxicity": toxicity.query,
