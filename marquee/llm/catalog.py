@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import html_text, language_id, nearest, packing, quality_rules, simhash, token_files, toxicity
+from marquee.llm import html_text, language_id, lm_scoring, mixing, nearest, packing, quality_rules, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.query,
         "op2_token_files": token_files.query,
         "op3_packing": packing.query,
+        "op4_mixing": mixing.query,
         "op5_html_text": html_text.query,
+        "op6_lm_scoring": lm_scoring.query,
         "op7_nearest": nearest.query,
         "op8_language_id": language_id.query,
         "op9_simhash": simhash.query,

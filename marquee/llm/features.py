@@ -14,15 +14,20 @@ CACHE = 500_000
 _hashes: dict[str, int] = {}
 
 
+def words(text: str | None) -> list[str]:
+    """Lower-case runs of letters and digits, in order."""
+    return _WORDS((text or "").lower())
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A 32-bit hash of each lower-case word of a text, in order."""
-    words = _WORDS((text or "").lower())
+    found = words(text)
     if len(_hashes) > CACHE:
         _hashes.clear()
-    for w in set(words).difference(_hashes):
+    for w in set(found).difference(_hashes):
         _hashes[w] = zlib.crc32(w.encode())
     get = _hashes.__getitem__
-    return np.fromiter(map(get, words), np.uint64, len(words))
+    return np.fromiter(map(get, found), np.uint64, len(found))
 
 
 def mixed(h: np.ndarray, salt: int, bits: int) -> np.ndarray:

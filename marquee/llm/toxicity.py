@@ -25,49 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.features import grams, word_hashes
+from marquee.llm.ftrl import BITS, dense, logistic, train
 
-BITS = 20
 ORDER = 2
 SKIPS = 2
 #: Labelled documents that are learned from, at most.
 SAMPLE = 12_000
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
-EPOCHS = 3
-
-
-class Ftrl:
-    """Per-coordinate FTRL-proximal for binary features; coordinate ``2**BITS`` is the intercept, which is not regularised."""
-
-    def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros(2**bits + 1), np.zeros(2**bits + 1)
-        self.bias = 2**bits
-
-    def weights(self, at: np.ndarray) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        l1 = np.where(at == self.bias, 0.0, self.l1)
-        shrunk = np.sign(z) * l1 - z
-        return np.where(np.abs(z) <= l1, 0.0, shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
-
-    def update(self, at: np.ndarray, label: float) -> None:
-        """One example, whose features ``at`` end with the intercept."""
-        w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-        n = self.n[at]
-        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
-        self.n[at] = n + g * g
-
-
-def train(texts: list[str | None], labels: list[int], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets with a weight, and the weights; the intercept's bucket is ``2**bits``."""
-    model = Ftrl(bits)
-    found = [np.append(grams(word_hashes(t), bits, ORDER, SKIPS), model.bias) for t in texts]
-    for epoch in range(epochs):
-        for i in np.random.default_rng(epoch).permutation(len(found)):
-            model.update(found[i], labels[i])
-    at = np.arange(2**bits + 1)
-    w = model.weights(at)
-    return at[w != 0], w[w != 0]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,7 +39,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "text"])
-    at, w = train(pdf["text"].tolist(), pdf["toxic"].tolist())
+    at, w = train(pdf["text"].tolist(), pdf["toxic"].tolist(), ORDER, SKIPS)
     return pd.DataFrame({"bucket": at, "weight": w})
 
 
@@ -96,14 +59,10 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = shared.value
-        dense = np.zeros(2**BITS + 1)
-        dense[at] = w
+        w = dense(*shared.value)
         for batch in batches:
-            sums = []
-            for text in batch.column("text").to_pylist():
-                sums.append(dense[grams(word_hashes(text), BITS, ORDER, SKIPS)].sum() + dense[-1])
-            scores = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -35, 35)))
+            sums = [w[grams(word_hashes(text), BITS, ORDER, SKIPS)].sum() + w[-1] for text in batch.column("text").to_pylist()]
+            scores = logistic(np.array(sums, float))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
