@@ -7,9 +7,9 @@ rate x tokens x posterior, meet the targets.
 
 The fit is projected gradient on weighted least squares.  With A the matrix of
 tokens x posteriors, the squares are weighted by the inverse of the Gram matrix
-G = sum of tokens x posterior x posterior', and a document's step is divided by
-its tokens; then the step length one is safe, and without the bound at zero a
-single step would meet the targets.  A step needs the domain totals under the
+G = sum of tokens x posterior x posterior' (with a small ridge), and a document's
+step is divided by its tokens; then the step length one is safe, and without the
+bound at zero a few steps meet the targets.  A step needs the domain totals under the
 present rates: one aggregate over a narrow table, returning as many numbers as
 there are domains.  A document's rate follows from its posterior and the list of
 steps, so rates are neither stored between steps nor joined to the texts.
@@ -42,16 +42,17 @@ STEPS = 30
 #: The fit ends once no domain misses its target, or none has moved, by more than this part of all tokens.
 CLOSE = 1e-4
 
+#: Added to the Gram matrix, as a part of its mean diagonal, so that domains hardly any document belongs to cannot drive rates to extremes.
+RIDGE = 0.02
+
 #: Domains of the labels table and the parts of all tokens they should have.
-TARGETS = {"clean_good": 0.78, "clean_poor": 0.13, "toxic_good": 0.07, "toxic_poor": 0.02}
+TARGETS = {"good": 0.80, "poor": 0.13, "toxic": 0.07}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
     """doc_id and domain, from the quality and toxic marks; rows without a mark name no domain."""
-    kind = F.when(F.col("toxic") > 0, "toxic_").otherwise("clean_")
-    level = F.when(F.col("quality") > 0, "good").otherwise("poor")
     known = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-    return known.select("doc_id", F.concat(kind, level).alias("domain"))
+    return known.select("doc_id", F.when(F.col("toxic") > 0, "toxic").when(F.col("quality") > 0, "good").otherwise("poor").alias("domain"))
 
 
 class Posterior:
@@ -119,7 +120,8 @@ def fit_rates(weighed: DataFrame, targets: np.ndarray, steps: int = STEPS) -> li
     total = float(gram[0] or 0.0)
     if not total:
         return []
-    inverse = np.linalg.pinv(np.array(gram[1:], float).reshape(k, k) / total, rcond=1e-9, hermitian=True)
+    gram = np.array(gram[1:], float).reshape(k, k) / total
+    inverse = np.linalg.inv(gram + RIDGE * np.trace(gram) / k * np.eye(k))
     taken: list[np.ndarray] = []
     before = np.full(k, np.inf)
     for _ in range(steps):
