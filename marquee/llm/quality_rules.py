@@ -40,7 +40,7 @@ def _windows(hashes: Column, n: Column) -> Column:
 
 
 def rule_metrics(rows: DataFrame, text: Column) -> DataFrame:
-    """``rows`` with the measures and ``base_failed`` as one struct column ``__m``.
+    """``rows`` with the measures and ``base_failed`` as further columns.
 
     Windows of eight words are compared by 64-bit hashes of their words' hashes;
     only a text in which a hash occurs twice takes the sorting path.
@@ -73,7 +73,10 @@ def rule_metrics(rows: DataFrame, text: Column) -> DataFrame:
     )
     df = df.select("*", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), F.col("__n").cast("long").alias("n_words")).drop("__at", "__n")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.select("*", failed.alias("base_failed"))
+    df = df.select("*", failed.alias("base_failed"))
+    # A later filter on a measure must not be pushed into these steps: inlined, a step would be computed again for every element.
+    found = F.struct(*METRICS, "base_failed")
+    return df.select(*rows.columns, F.inline(F.array(found)))
 
 
 def host_rates(scored: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
