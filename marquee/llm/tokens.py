@@ -23,7 +23,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: word of plain letters may be cut from the plain punctuation that ends the chunk.
 _KEEPING_SPACE = re.compile(rf"[ \n]?[{_LETTERS}]+(?=[.,;:!?{_WS}]|\Z)|[.,;:!?]+(?=[{_WS}]|\Z)|[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: For tokenizers that drop white space.
-_DROPPING_SPACE = re.compile(rf"[^{_WS}]+")
+_DROPPING_SPACE = re.compile(rf"[{_LETTERS}]+(?=[.,;:!?{_WS}]|\Z)|[.,;:!?]+(?=[{_WS}]|\Z)|[^{_WS}]+")
 #: Chunks a worker remembers.
 CACHE = 600_000
 
@@ -32,15 +32,25 @@ class Encoder:
     """Ids of texts as little-endian unsigned 16-bit integers (all vocabularies here have fewer than 65,536 ids)."""
 
     def __init__(self, vocabulary: str, drops_space: bool):
+        """``drops_space``: the tokenizer ignores white space and letters' case."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit 16 bits")
-        self.chunks = (_DROPPING_SPACE if drops_space else _KEEPING_SPACE).findall
+        self.chunks = self._lowered_chunks if drops_space else _KEEPING_SPACE.findall
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def _lowered_chunks(text: str) -> list[str]:
+        """Chunks for a tokenizer that lower-cases: a Latin-1 text is lower-cased before it is cut, as each of its letters has one lower-case form whatever stands around it."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return _DROPPING_SPACE.findall(text)
+        return _DROPPING_SPACE.findall(text.lower())
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text has none."""
         group: list[list[str]] = []
