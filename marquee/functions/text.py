@@ -6,8 +6,10 @@ in the sources this engine replaces; Spark's own ``trim`` knows only the space.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SPACE = r"[\s\u0085   -     　﻿]"
 
@@ -63,11 +65,10 @@ def entity_literal(c: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(""))
 
 
-@F.pandas_udf("string")
-def nfkc(s):  # the only text step that Spark has no function for; apply it to distinct literals
-    import pandas as pd
-
-    return pd.Series(s).str.normalize("NFKC")
+@F.pandas_udf(StringType())
+def nfkc(s: pd.Series) -> pd.Series:
+    """Compatibility normal form, which Spark has no function for; apply it to distinct literals."""
+    return s.str.normalize("NFKC")
 
 
 def slug(c: Column, mark: str = "_") -> Column:

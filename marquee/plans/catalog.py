@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marquee.plans import governance, places, warehouse
+
+MODULES = (warehouse, places, governance)
+
+
+def entries() -> dict[str, tuple]:
+    found: dict[str, tuple] = {}
+    for module in MODULES:
+        for name, entry in module.ENTRIES.items():
+            if name in found:
+                raise ValueError(f"two queries named {name}")
+            found[name] = entry
+    return found
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: entry[0] for name, entry in entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: entry[1] for name, entry in entries().items() if entry[1]}
