@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.plans import governance, places, warehouse
+from marquee.plans import governance, places, planner, warehouse
 
-MODULES = (warehouse, places, governance)
+MODULES = (warehouse, places, governance, planner)
 
 
 def entries() -> dict[str, tuple]:
