@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.plans import governance, places, planner, warehouse
+from marquee.plans import context, governance, places, planner, warehouse
 
-MODULES = (warehouse, places, governance, planner)
+MODULES = (warehouse, places, governance, planner, context)
 
 
 def entries() -> dict[str, tuple]:
