@@ -7,11 +7,13 @@ import zlib
 
 import numpy as np
 
+from marquee.llm import memo
+
 _WORDS = re.compile(r"[^\W_]+").findall
 #: Words a worker remembers the hashes of.
-CACHE = 500_000
+CACHE = 200_000
 
-_hashes: dict[str, int] = {}
+_hashes: dict[str, int] = memo.table()
 
 
 def words(text: str | None) -> list[str]:
@@ -22,6 +24,7 @@ def words(text: str | None) -> list[str]:
 def word_hashes(text: str | None) -> np.ndarray:
     """A 32-bit hash of each lower-case word of a text, in order."""
     found = words(text)
+    memo.take(_hashes)
     if len(_hashes) > CACHE:
         _hashes.clear()
     for w in set(found).difference(_hashes):

@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from marquee.llm import memo
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Unicode white space, as the tokenizers' patterns take it.
@@ -44,7 +46,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit 16 bits")
         self.chunks = self._lowered_chunks if drops_space else _KEEPING_SPACE.findall
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = memo.table()
         # Where a plain word ends (its last id is an end-of-word piece) or begins (its first id holds the space).
         self.ends = drops_space
         self.plain, self.between = (_WORD.fullmatch, " ") if drops_space else (_SPACED_WORD.fullmatch, "")
@@ -63,6 +65,7 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text has none."""
+        memo.take(self.known)
         group: list[list[str]] = []
         size = 0
         for text in texts:
