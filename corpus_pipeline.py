@@ -8,6 +8,8 @@ None and the tests compare with a brute-force version.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marquee.llm import language_id, mixing, packing, quality_rules, simhash
@@ -15,6 +17,20 @@ from marquee.llm.scratch import materialize
 
 ORACLE_SQL = None
 
+#: Rows of an Arrow batch.  Whole documents travel in them, and a batch is held several times over in an executor.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(stage):
+    """The stage with batches of BATCH_ROWS rows."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, by profiles learned from the documents themselves."""
@@ -42,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("languages", languages), ("rules", rules), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
+STAGES = [(name, in_small_batches(stage)) for name, stage in (("languages", languages), ("rules", rules), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
