@@ -1,17 +1,22 @@
 """Cross-entropy difference of two word n-gram models (Moore and Lewis, 2010).
 
 A target model (documents marked as good) and a background model (all documents)
-are bigram models of the same form over one vocabulary: the most frequent words
-of the corpus, with one entry for all others and one for the start.  Both back
-off to their unigrams by Witten-Bell weights.  A document's score is its loss per
-token under the target model less that under the background model; lower is more
-like the target.
-
-All words and all bigrams are counted.  Tasks sum their counts before the
-shuffle.  The bigram table has at most WORDS squared cells whatever the corpus
-holds, which bounds what the driver receives and broadcasts.  Texts are read
-twice, once to count words and once to write them as 16-bit word numbers; models
-and scores work on those.
+are bigram models of the same form over one vocabulary: every word of the corpus,
+with one entry for a word never seen and one for the start.  Both back off to
+their unigrams by Witten-Bell weights.  A document's score is its loss per token
+under the target model less that under the background model; lower is more like
+the target.
+
+All words and all bigrams are counted, and the tables of both grow with the
+corpus, so neither is ever gathered on the driver or in a worker.  Texts are read
+once and written in chunks of about CHUNK words, each with its own list of words.
+A chunk asks for the corpus's counts of its distinct bigrams, and then of its
+distinct words: the keys, ascending, are dealt by their leading bits into ranges,
+the task that gets a range sums the counts of all chunks by key, and each chunk
+gets the sums of its own keys back, in their order.  One of the chunks that ask
+for a key is told that it is the first, so that each distinct bigram is counted
+once among the followers of its first word.  A frequent word or bigram is one key
+a chunk.  Words and bigrams are told apart by 64-bit hashes.
 
 Defined cases: a null text, or one without a word, has no tokens and null scores;
 a row without an id, or without a label, counts for the background only; several
@@ -27,163 +32,224 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import memo
 from marquee.llm.features import words
-from marquee.llm.scratch import materialize
+from marquee.llm.scratch import drop, materialize
 
-#: Vocabulary, with the entries for other words and for the start.
+#: Entries that a model spreads its added counts over, at the least; a larger vocabulary counts in full.
 WORDS = 2048
-OTHER, START = 0, 1
-#: Distinct keys a task holds before it hands its counts on.
-KEPT = 2_000_000
+#: Words and documents after which a chunk is closed.
+CHUNK, CHUNK_DOCS = 1_000_000, 50_000
+#: Keys that a range should hold, and the least number of leading bits that make ranges.
+RANGE, RANGE_BITS = 1_000_000, 8
+#: The start's key; no word is empty.
+START = np.uint64(xxhash.xxh64_intdigest(b""))
+
+_CHUNK = "chunk long, ids array<long>, lengths binary, good binary, words binary, places binary, n long, n_good long"
+_ASK = "range int, chunk long, keys binary, sums binary"
+_ANSWER = "range int, chunk long, sums binary, first binary, n_first long"
+_STATE = "chunk long, ids array<long>, lengths binary, good binary, words binary, places binary, pairs binary, kinds binary"
+_SCORE = "doc_id long, n_tokens long, target_loss double, background_loss double"
 
 _known: dict[str, int] = memo.table()
 
 
 def hashed(text: str | None) -> np.ndarray:
-    """Signed 64-bit hashes of a text's words."""
+    """64-bit hashes of a text's words."""
     found = words(text)
     memo.take(_known)
     if len(_known) > 500_000:
         _known.clear()
     for w in set(found).difference(_known):
         _known[w] = xxhash.xxh64_intdigest(w.encode())
-    return np.fromiter(map(_known.__getitem__, found), np.uint64, len(found)).view(np.int64)
-
-
-class Counts:
-    """Sums of several counts by key, compacted as they grow."""
-
-    def __init__(self, kinds: int):
-        self.kinds = kinds
-        self.keys = np.zeros(0, np.int64)
-        self.sums = np.zeros((0, kinds), np.int64)
-        self.waiting: list[tuple[np.ndarray, int]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, kind: int) -> None:
-        self.waiting.append((keys, kind))
-        self.size += len(keys)
-        if self.size > 1_000_000:
-            self.compact()
-
-    def compact(self) -> None:
-        all_keys = np.concatenate([self.keys, *[k for k, _ in self.waiting]])
-        kind = np.concatenate([np.full(len(k), i) for k, i in self.waiting]) if self.waiting else np.zeros(0, np.int64)
-        keys, back = np.unique(all_keys, return_inverse=True)
-        sums = np.zeros((len(keys), self.kinds), np.int64)
-        old = len(self.keys)
-        sums[back[:old]] = self.sums
-        for i in range(self.kinds):
-            sums[:, i] += np.bincount(back[old:][kind == i], minlength=len(keys))
-        self.keys, self.sums, self.waiting, self.size = keys, sums, [], 0
-
-    def drain(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        self.compact()
-        if len(self.keys) > least:
-            yield pa.RecordBatch.from_arrays([pa.array(self.keys), *[pa.array(self.sums[:, i]) for i in range(self.kinds)]], names=["key", *[f"n{i}" for i in range(self.kinds)]])
-            self.keys, self.sums = np.zeros(0, np.int64), np.zeros((0, self.kinds), np.int64)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = Counts(1)
-    for batch in batches:
-        for text in batch.column("text"):
-            counts.add(hashed(text.as_py()), 0)
-        if len(counts.keys) > KEPT:
-            yield from counts.drain()
-    yield from counts.drain()
+    return np.fromiter(map(_known.__getitem__, found), np.uint64, len(found))
 
 
-def vocabulary(docs: DataFrame, size: int = WORDS) -> np.ndarray:
-    """Hashes of the corpus's most frequent words, ascending; ties go to the smaller hash."""
-    counts = docs.select("text").mapInArrow(_count_words, "key long, n0 long").groupBy("key").agg(F.sum("n0").alias("n"))
-    top = counts.orderBy(F.desc("n"), "key").limit(size - 2).select("key").collect()
-    return np.sort(np.array([r[0] for r in top], np.int64))
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
 
-def number(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """Word numbers: 2 and up for known words, OTHER for the rest."""
-    if not len(vocab):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    return np.where(vocab[at] == h, at + 2, OTHER)
+def _unpack(packed: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), kind)
 
 
-def bigrams(numbers: np.ndarray, size: int = WORDS) -> np.ndarray:
-    """Cells of the bigram table, the first word following START."""
-    numbers = numbers.astype(np.int64)
-    before = np.concatenate([[START], numbers[:-1]])[: len(numbers)]
-    return before * size + numbers
+def _batch(schema: str, **columns: list) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(packed), "<u2")
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in chunks: ``words`` are a chunk's distinct words and the start, ascending, ``places`` their numbers in the text."""
+    number = TaskContext.get().partitionId() << 32
+    ids, good, texts, size = [], [], [], 0
 
+    def close() -> pa.RecordBatch:
+        lengths = np.array([len(x) for x in texts], np.uint32)
+        known, places = np.unique(np.concatenate([[START], *texts]).astype(np.uint64), return_inverse=True)
+        marks = np.array(good, np.uint8)
+        return _batch(
+            _CHUNK, chunk=[number], ids=[list(ids)], lengths=[_pack(lengths)], good=[_pack(marks)], words=[_pack(known)], places=[_pack(places[1:].astype(np.uint32))],
+            n=[int(lengths.sum(dtype=np.int64))], n_good=[int(lengths[marks > 0].sum(dtype=np.int64))],
+        )
 
-def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = Counts(2)
     for batch in batches:
-        for packed, good in zip(batch.column("words").to_pylist(), batch.column("good").to_pylist()):
-            cells = bigrams(_unpack(packed))
-            counts.add(cells, 0)
-            if good:
-                counts.add(cells, 1)
-    yield from counts.drain()
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Negative log probabilities of a square table of bigram counts."""
-    size = len(counts)
-    unigram = counts.sum(axis=0) + 1.0
-    unigram[START] = 0
-    unigram /= unigram.sum()
-    seen = counts.sum(axis=1, keepdims=True)
-    kinds = (counts > 0).sum(axis=1, keepdims=True)
-    # Witten-Bell: as much weight for the unigrams as there were different followers.
-    found = np.where(seen > 0, (counts + kinds * unigram) / np.maximum(seen + kinds, 1), unigram)
-    with np.errstate(divide="ignore"):
-        return np.where(np.arange(size) == START, 0.0, -np.log(found)).astype(np.float32)
+        for i, text, mark in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("good").to_pylist()):
+            ids.append(i)
+            good.append(mark)
+            texts.append(hashed(text.as_py()))
+            size += len(texts[-1])
+            if size >= CHUNK or len(ids) >= CHUNK_DOCS:
+                yield close()
+                number += 1
+                ids, good, texts, size = [], [], [], 0
+    if ids:
+        yield close()
+
+
+class Chunk:
+    """A chunk's tokens: ``before`` and ``places`` number the words of each bigram, ``pairs`` are the distinct bigrams' keys, ``at`` their numbers."""
+
+    def __init__(self, row: dict):
+        self.lengths, self.good, self.words = (_unpack(row[c], k) for c, k in (("lengths", np.uint32), ("good", np.uint8), ("words", np.uint64)))
+        self.places = _unpack(row["places"], np.uint32).astype(np.int64)
+        self.n = len(self.places)
+        ends = np.cumsum(self.lengths, dtype=np.int64)
+        self.starts = (ends - self.lengths)[self.lengths > 0]
+        self.before = np.zeros(self.n, np.int64)
+        self.before[1:] = self.places[:-1]
+        self.before[self.starts] = np.searchsorted(self.words, START)
+        self.marked = np.repeat(self.good, self.lengths) > 0
+        x = self.words[self.before] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.places]
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        self.pairs, at, self.at = np.unique(x ^ (x >> np.uint64(32)), return_index=True, return_inverse=True)
+        self.leading = self.before[at]
+
+    def sums(self, number: np.ndarray, size: int) -> np.ndarray:
+        """How often each number occurs in all documents and in the good ones."""
+        return np.stack([np.bincount(number, minlength=size), np.bincount(number[self.marked], minlength=size)])
+
+
+def _ask(chunk: int, keys: np.ndarray, sums: np.ndarray, bits: int) -> pa.RecordBatch:
+    ranges = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
+    stops = [*cuts[1:].tolist(), len(keys)]
+    sums = sums.astype(np.uint32)
+    spans = list(zip(cuts.tolist(), stops)) if len(keys) else []
+    return _batch(_ASK, range=[int(ranges[a]) for a, _ in spans], chunk=[chunk] * len(spans), keys=[keys[a:b].tobytes() for a, b in spans], sums=[sums[:, a:b].tobytes() for a, b in spans])
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Sums by key over all chunks' asks of one range, for each ask in the order of its keys."""
+    table = table.sort_by("chunk")
+    each = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    sizes = [len(x) for x in each]
+    keys = np.concatenate(each)
+    sums = np.concatenate([np.frombuffer(x, np.uint32).reshape(-1, n) for x, n in zip(table.column("sums").to_pylist(), sizes)], axis=1)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    begins, group = np.flatnonzero(new), np.cumsum(new) - 1
+    total = np.empty(sums.shape, np.int64)
+    for i, row in enumerate(sums):
+        total[i, order] = np.add.reduceat(row[order].astype(np.int64), begins)[group]
+    first = np.empty(len(keys), bool)
+    first[order] = new
+    stops = np.cumsum(sizes).tolist()
+    spans = list(zip([0, *stops[:-1]], stops))
+    return pa.Table.from_batches([
+        _batch(_ANSWER, range=table.column("range").to_pylist(), chunk=table.column("chunk").to_pylist(), sums=[_pack(total[:, a:b]) for a, b in spans], first=[_pack(first[a:b]) for a, b in spans], n_first=[int(first[a:b].sum()) for a, b in spans])
+    ])
+
+
+def answers(asks: DataFrame) -> DataFrame:
+    return asks.groupBy("range").applyInArrow(_answer, _ANSWER)
+
+
+def _join(table: pa.Table, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's answers in the order of its keys: sums and whether it is the first to ask."""
+    table = table.sort_by("range")
+    sums = [_unpack(x, np.int64).reshape(kinds, -1) for x in table.column("sums").to_pylist()]
+    return np.concatenate([np.zeros((kinds, 0), np.int64), *sums], axis=1), np.concatenate([np.zeros(0, bool), *[_unpack(x, bool) for x in table.column("first").to_pylist()]])
+
+
+def _ask_pairs(bits: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                c = Chunk(row)
+                yield _ask(row["chunk"], c.pairs, c.sums(c.at, len(c.pairs)), bits)
+
+    return ask
+
+
+def _keep_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The chunk with its bigrams' counts, and for each word the followers that it is the first to ask for."""
+    row = left.to_pylist()[0]
+    c = Chunk(row)
+    pairs, first = _join(right, 2)
+    own = [np.bincount(c.leading[first & (x > 0)], minlength=len(c.words)) for x in pairs]
+    state = {name: [row[name]] for name in ("chunk", "ids", "lengths", "good", "words", "places")}
+    return pa.Table.from_batches([_batch(_STATE, **state, pairs=[_pack(pairs)], kinds=[_pack(np.stack(own).astype(np.int64))])])
+
+
+def _ask_words(bits: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                c = Chunk(row)
+                size = len(c.words)
+                sums = np.concatenate([c.sums(c.places, size), c.sums(c.before, size), _unpack(row["kinds"], np.int64).reshape(2, -1)])
+                yield _ask(row["chunk"], c.words, sums, bits)
+
+    return ask
+
+
+def _score(tokens: tuple[int, int], size: int):
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        c = Chunk(row)
+        pairs = _unpack(row["pairs"], np.int64).reshape(2, -1)
+        sums, _ = _join(right, 6)
+        found = []
+        # Rows of counts: all documents, good ones.
+        for i in (1, 0):
+            unigram = (sums[i] + 1.0) / (tokens[i] + size - 1)
+            seen, kinds = sums[2 + i][c.before], sums[4 + i][c.before]
+            back = unigram[c.places]
+            # Witten-Bell: as much weight for the unigrams as there were different followers.
+            p = np.where(seen > 0, (pairs[i][c.at] + kinds * back) / np.maximum(seen + kinds, 1), back)
+            mean = np.full(len(c.lengths), np.nan)
+            some = c.lengths > 0
+            if c.n:
+                mean[some] = np.add.reduceat(-np.log(p), c.starts) / c.lengths[some]
+            found.append(pa.array(mean, pa.float64(), mask=~some))
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(c.lengths.astype(np.int64)), *found], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+    return score
 
 
 def score_documents(docs: DataFrame, good: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and difference per row; ``good`` has the target documents' doc_id."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    vocab = spark.sparkContext.broadcast(vocabulary(rows))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            packed = [pack(number(hashed(t.as_py()), vocab.value).astype("<u2").tobytes()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "words"])
-
-    numbered = materialize(rows.mapInArrow(write, "doc_id long, words binary"), "numbered")
-    marked = good.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__good")).distinct()
-    joined = numbered.join(marked, F.col("doc_id") == F.col("__good"), "left").select("words", F.col("__good").isNotNull().alias("good"))
-    cells = joined.mapInArrow(_count_bigrams, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").cast("long").alias("n0"), F.sum("n1").cast("long").alias("n1"))
-    # At most WORDS squared rows.
-    found = cells.toArrow()
-    table = np.zeros((2, WORDS * WORDS))
-    table[:, found.column("key").to_numpy()] = [found.column("n0").to_numpy(), found.column("n1").to_numpy()]
-    background, target = (losses(x.reshape(WORDS, WORDS)).ravel() for x in table)
-    shared = spark.sparkContext.broadcast((target, background))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = shared.value
-        for batch in batches:
-            out = []
-            for packed in batch.column("words").to_pylist():
-                at = bigrams(_unpack(packed))
-                n = len(at)
-                out.append((n, *((float(x[at].mean(dtype=np.float64)) for x in (target, background)) if n else (None, None))))
-            n, t, b = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(t, pa.float64()), pa.array(b, pa.float64())], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    scored = numbered.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
+    marked = materialize(good.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__good")).distinct(), "good")
+    joined = rows.join(marked, F.col("doc_id") == F.col("__good"), "left").select("doc_id", "text", F.col("__good").isNotNull().alias("good"))
+    chunks = materialize(joined.mapInArrow(_chunks, _CHUNK), "chunks")
+    tokens = tuple(x or 0 for x in chunks.agg(F.sum("n"), F.sum("n_good")).first())
+    bits = max(RANGE_BITS, int(np.ceil(np.log2(max(1, tokens[0]) / RANGE))))
+    pairs = answers(chunks.mapInArrow(_ask_pairs(bits), _ASK))
+    state = materialize(chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_keep_pairs, _STATE), "state")
+    drop(chunks)
+    sums = materialize(answers(state.mapInArrow(_ask_words(bits), _ASK)), "sums")
+    # All distinct words, the start, and one never seen.
+    size = max(WORDS, (sums.agg(F.sum("n_first")).first()[0] or 0) + 1)
+    scored = state.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_score(tokens, size), _SCORE)
     return scored.select("*", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
 
 

@@ -425,3 +425,18 @@ def test_lm_scoring(spark, docs, empty, labels):
     assert max(got[i].difference for i in range(100, 150, 2)) < min(got[i].difference for i in range(101, 150, 2))
     assert lm_scoring.score_documents(docs, labels.select("doc_id")).count() == len(rows())
     assert lm_scoring.score_documents(empty, labels.select("doc_id")).count() == 0
+
+
+def test_lm_scoring_knows_all_words(spark, monkeypatch):
+    """More words than the models' least size; documents that differ in rare words only; several chunks."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 700)
+    common, rare = [f"c{k}" for k in range(2100)], lambda side, k: f"{side}{k % 30}"
+    table = [(i, " ".join([*common, *common])) for i in range(2)]
+    table += [(10 + i, " ".join(f"{common[(7 * i + k) % 50]} {rare('xy'[i % 2], k)}" for k in range(20))) for i in range(40)]
+    good = {10 + i for i in range(0, 20, 2)}
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in lm_scoring.score_documents(frame, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
+    monkeypatch.setattr(lm_scoring, "WORDS", 2100 + 40 + 2)
+    for i, (t, b) in brute_losses(table, good).items():
+        assert (got[i].target_loss, got[i].background_loss) == (pytest.approx(t, rel=1e-9), pytest.approx(b, rel=1e-9))
+    assert max(got[10 + i].difference for i in range(20, 40, 2)) < min(got[10 + i].difference for i in range(21, 40, 2))
