@@ -16,8 +16,8 @@ def accessible_population(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def settlement_morphology(spark: SparkSession, sf: str) -> DataFrame:
-    """Squares around every fifth supplier's site, with an overlapping and a separate one."""
-    chosen = sites(spark, sf).where("s_suppkey % 5 = 0").select(F.col("s_suppkey").cast("string").alias("site_id"), "lon", "lat")
+    """Squares around each supplier's site, with an overlapping and a separate one."""
+    chosen = sites(spark, sf).select(F.col("s_suppkey").cast("string").alias("site_id"), "lon", "lat")
     square = F.inline(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(h).alias("h")) for x, y, h in ((0.0, 0.0, 0.002), (0.003, 0.001, 0.002), (-0.006, 0.0, 0.001))]))
     corner = lambda a, b: F.array(F.col("lon") + F.col("dx") + a * F.col("h"), F.col("lat") + F.col("dy") + b * F.col("h"))
     shapes = chosen.select("site_id", "lon", "lat", square).withColumn("rings", F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))))
@@ -31,7 +31,7 @@ def network_context(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     at = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
     lon, lat = F.lit(3.30) + ((k * 613) % 1000) / 10000, F.lit(6.45) + ((k * 821) % 1000) / 10000
-    roads = table(spark, sf, "part").where("p_partkey % 4 = 0").select(
+    roads = table(spark, sf, "part").select(
         F.concat(F.lit("road:"), k.cast("string")).alias("road_id"), F.element_at(F.array(*[F.lit(c) for c in ("residential", "primary", "secondary", "tertiary")]), (F.floor(k / 4) % 4 + 1).cast("int")).alias("road_class"),
         F.array(k % 97, k % 89 + 100).alias("connectors"), F.array(at(lon, lat), at(lon + 0.004, lat + 0.002), at(lon + 0.004, lat + 0.006)).alias("path"),
     )
