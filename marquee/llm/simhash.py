@@ -11,7 +11,9 @@ travel as one row (block value, fingerprint), 37 rows for 8 block bits, and the
 task that gets a block value spells the variants out, finds equal ones, verifies
 the pairs and returns a spanning forest of them.  The number of block bits
 follows the number of fingerprints, so bundles keep their size; a block value
-that still gathers too many fingerprints is cut again by further bits.
+that still gathers too many fingerprints is cut by further bits, again and again.
+What is crowded down to single variants is linked by an aggregate, without a
+group in memory: all fingerprints of a variant are neighbours.
 
 Exact copies share a fingerprint, so only distinct fingerprints are compared.
 
@@ -116,10 +118,10 @@ def _bundles(width: int):
     return emit
 
 
-def _cut(width: int):
-    """Bundles of crowded blocks are cut by the next CUT_BITS bits; ``used`` goes on counting."""
-    masks = flips(CUT_BITS, HALF)
-    shift, low = np.uint64(64 - width - CUT_BITS), np.uint64((1 << CUT_BITS) - 1)
+def _cut(width: int, bits: int):
+    """Bundles of crowded blocks are cut by the next ``bits`` bits; ``used`` goes on counting."""
+    masks = flips(bits, HALF)
+    shift, low = np.uint64(64 - width - bits), np.uint64((1 << bits) - 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +135,7 @@ def _cut(width: int):
                 sub = (own[at][:, None] ^ m).ravel().astype(np.int64)
                 rep = np.repeat(at, len(m))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((block[rep] << CUT_BITS) | sub), pa.array((used[rep] + n).astype(np.int8)), pa.array(fp[rep]), pa.array(node[rep])],
+                    [pa.array((block[rep] << bits) | sub), pa.array((used[rep] + n).astype(np.int8)), pa.array(fp[rep]), pa.array(node[rep])],
                     names=["block", "used", "fp", "node"],
                 )
 
@@ -186,12 +188,21 @@ def links(prints: DataFrame) -> DataFrame:
     schema = "block long, used byte, fp long, node long"
     width = block_bits(prints.count())
     bundles = prints.mapInArrow(_bundles(width), schema)
-    sizes = [len(m) for m in flips(64 - width, HALF)]
-    variants = F.element_at(F.array(*[F.lit(sum(sizes[: HALF + 1 - n])) for n in range(HALF + 1)]), F.col("used").cast("int") + 1)
-    crowded = materialize(bundles.groupBy("block").agg(F.sum(variants).alias("n")).where(F.col("n") > CROWDED).select("block"), "crowded")
-    found = bundles.join(crowded, "block", "left_anti").groupBy("block").applyInArrow(_links(width), "u long, v long")
-    cut = bundles.join(crowded, "block", "left_semi").select("block", "used", "fp", "node").mapInArrow(_cut(width), schema)
-    return found.union(cut.groupBy("block").applyInArrow(_links(width + CUT_BITS), "u long, v long"))
+    found = None
+    while width < 64:
+        sizes = [len(m) for m in flips(64 - width, HALF)]
+        variants = F.element_at(F.array(*[F.lit(sum(sizes[: HALF + 1 - n])) for n in range(HALF + 1)]), F.col("used").cast("int") + 1)
+        crowded = materialize(bundles.groupBy("block").agg(F.sum(variants).alias("n")).where(F.col("n") > CROWDED).select("block"), "crowded")
+        edges = bundles.join(crowded, "block", "left_anti").groupBy("block").applyInArrow(_links(width), "u long, v long")
+        found = edges if found is None else found.union(edges)
+        if crowded.isEmpty():
+            return found
+        bits = min(CUT_BITS, 64 - width)
+        bundles = bundles.join(crowded, "block", "left_semi").select("block", "used", "fp", "node").mapInArrow(_cut(width, bits), schema)
+        width += bits
+    # A block is one variant now.
+    least = bundles.groupBy("block").agg(F.min("node").alias("v"))
+    return found.union(bundles.join(least, "block").where(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -440,3 +440,36 @@ def test_lm_scoring_knows_all_words(spark, monkeypatch):
     for i, (t, b) in brute_losses(table, good).items():
         assert (got[i].target_loss, got[i].background_loss) == (pytest.approx(t, rel=1e-9), pytest.approx(b, rel=1e-9))
     assert max(got[10 + i].difference for i in range(20, 40, 2)) < min(got[10 + i].difference for i in range(21, 40, 2))
+
+
+def test_simhash_links_of_a_dense_centre(spark, monkeypatch):
+    """Fingerprints around one centre share most leading bits; no group may hold more variants than CROWDED."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    from marquee.llm.components import components
+
+    most = 2000
+    monkeypatch.setattr(simhash, "CROWDED", most)
+    links = simhash._links
+
+    def bounded(width):
+        find, sizes = links(width), np.cumsum([len(m) for m in simhash.flips(64 - width, simhash.HALF)])
+
+        def checked(key, table):
+            assert sum(int(sizes[2 - n]) for n in table.column("used").to_pylist()) <= most
+            return find(key, table)
+
+        return checked
+
+    monkeypatch.setattr(simhash, "_links", bounded)
+    rng = np.random.default_rng(6)
+    prints = {int(x) for x in rng.integers(-(2**63), 2**63, 10)} | {0x1234567 << 30 ^ 1 << int(a) ^ 1 << int(b) for a, b in rng.integers(0, 20, (150, 2))}
+    table = [(p, 10 * k) for k, p in enumerate(sorted(prints))]
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    try:
+        label = {r.u: r.v for r in components(simhash.links(spark.createDataFrame(table, "fp long, node long"))).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
+    assert {n: label.get(n, n) for _, n in table} == {n: c for n, _, c in brute_components([(n, p % 2**64) for p, n in table])}
