@@ -8,7 +8,12 @@ dense as that is taken with it, so that a heading or a split article stays whole
 
 Elements that never hold the article (menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments, scripts, styles) are left out before
-densities are computed.
+densities are computed.  They are told by their tag or by words of MARKS.  A class
+or role of a block container, or an id of a plain one, that consists of such words
+is enough, as ``cookie-notice``.  One such word in a longer name, as in
+``social-impact``, or on another element needs support: half of the text in
+links, or form controls; or it stands on a plain container apart from headings,
+paragraphs and the article's element.  No name of a heading counts, nor a section's id.
 
 The tree is built in one pass of a tokenizer over the whole page, with the usual
 implied end tags, so broken markup (unclosed or crossed elements, a page that
@@ -33,8 +38,12 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-LEFT_OUT = frozenset("head nav header footer aside form script style textarea title iframe noscript template button select menu dialog svg math canvas object audio video figure input label fieldset noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img label nobr br".split())
+LEFT_OUT = frozenset("head nav header footer aside form script style textarea title iframe noscript template button select menu dialog input noembed noframes".split())
+INLINE = frozenset((
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img label nobr br"
+    " object canvas audio video source track svg g defs use path circle ellipse rect line polyline polygon tspan"
+    " math semantics annotation mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose mfenced"
+).split())
 #: Elements whose start ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split())
 #: A start tag closes an open element of these, unless one of the second set stands between.
@@ -48,29 +57,81 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
 }
 #: Class, id or role words that mark what is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?"
-    r"|sidebar|footer|masthead|header|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|widget|pagination|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+_MARK = (
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?"
+    r"|sidebar|footer|masthead|header|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|widget|pagination|complementary|contentinfo|search)"
 )
+MARKS = re.compile(rf"(?:^|[\s_-]){_MARK}(?:$|[\s_-])", re.I)
+#: A whole name of such words, with words for the kind of box around them.
+_BOX = r"(?:main|top|bottom|left|right|site|page|list|box|bar|area|wrap|wrapper|container|block|slot|unit|links?|posts?|articles?|buttons?|icons?|form|section|thread|\d+)"
+WHOLE = re.compile(rf"(?:{_BOX}[_-])*{_MARK}(?:[_-](?:{_MARK}|{_BOX}))*", re.I)
+PLAIN = frozenset("div ul ol dl table".split())
+CONTAINERS = PLAIN | {"section", "aside", "nav"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+CONTROLS = frozenset("form input button select textarea".split())
 #: The elements named above can mark, but never the whole page or the article itself.
 NEVER_MARKED = frozenset("html body article main".split())
 ARTICLE = frozenset("article main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[a-zA-Z][^<>]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "total", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
+        self.doubtful = False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+def marked(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element's names leave it out, and whether they do so with support only."""
+    doubtful = False
+    if tag in NEVER_MARKED or tag in HEADINGS:
+        return False, False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        value = next(filter(None, values), "")
+        of_id = name.lower() == "id"
+        if of_id and tag == "section" or not MARKS.search(value):
+            continue
+        if tag in (PLAIN if of_id else CONTAINERS) and any(map(WHOLE.fullmatch, value.split())):
+            return True, False
+        doubtful = True
+    return False, doubtful
+
+
+def settle(nodes: list[Node]) -> None:
+    """Decide on doubtful elements by what they hold and where they stand."""
+    if not any(n.doubtful for n in nodes):
+        return
+    chars, links, controls = ({id(n): 0 for n in nodes} for _ in range(3))
+    for n in reversed(nodes):
+        if not n.out:
+            chars[id(n)] += sum(len("".join(x.split())) for x in n.children if isinstance(x, str))
+        if n.tag == "a":
+            links[id(n)] = chars[id(n)]
+        if n.parent is not None:
+            for held in (chars, links, controls):
+                held[id(n.parent)] += held[id(n)]
+            controls[id(n.parent)] += n.tag in CONTROLS
+    prose = {id(n.parent) for n in nodes if (n.tag == "p" or n.tag in HEADINGS) and not n.out and not n.doubtful}
+    inside = set()
+    for n in nodes:
+        if n.parent is None:
+            continue
+        if n.tag in ARTICLE or id(n.parent) in inside:
+            inside.add(id(n))
+        if n.parent.out:
+            n.out = True
+        elif n.doubtful:
+            apart = n.tag in PLAIN and id(n) not in inside and id(n.parent) not in prose
+            n.out = n.out or apart or controls[id(n)] > 0 or 2 * links[id(n)] >= chars[id(n)] > 0
+
+
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The root and all nodes in document order; text that is left out is not kept."""
     root = Node("html", None, False)
@@ -112,8 +173,9 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 close({"p"}, _P_BARRIER)
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
-            out = stack[-1].out or tag in LEFT_OUT or tag not in NEVER_MARKED and any(MARKS.search(next(filter(None, a[1:]), "")) for a in _ATTRIBUTE.findall(attributes))
-            node = Node(tag, stack[-1], out)
+            sure, doubtful = marked(tag, attributes)
+            node = Node(tag, stack[-1], stack[-1].out or tag in LEFT_OUT or sure)
+            node.doubtful = doubtful
             stack[-1].children.append(node)
             nodes.append(node)
             if tag in RAW:
@@ -124,6 +186,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                     at = close_at + 1 if close_at >= 0 else end
             elif tag not in VOID and not attributes.endswith("/"):
                 stack.append(node)
+    settle(nodes)
     return root, nodes
 
 

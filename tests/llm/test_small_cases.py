@@ -473,3 +473,13 @@ def test_simhash_links_of_a_dense_centre(spark, monkeypatch):
     finally:
         cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
     assert {n: label.get(n, n) for _, n in table} == {n: c for n, _, c in brute_components([(n, p % 2**64) for p, n in table])}
+
+
+def test_html_keeps_what_only_sounds_like_furniture():
+    long = "A paragraph with enough words to count as the text of this page."
+    body = f"""<h1>Title</h1><p>{long}</p><h2 id='social-impact'>Impact</h2><section id='related-work'><p>Work before.</p></section><p class='notice-period'>One month.</p>
+<h2 id='search'>Search</h2><figure><pre>code here</pre><figcaption>A caption</figcaption></figure><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <svg><path d=""/></svg>more <object>of it</object>.</p>
+<fieldset><label>Kept</label></fieldset><div class='related-theory'>Theory.</div>"""
+    want = ["Title", long, "Impact", "Work before.", "One month.", "Search", "code here", "A caption", "Let x=1 and more of it.", "Kept", "Theory."]
+    left_out = "<div class='sidebar'>Side</div><div class='comment-list'>A reader.</div><div class='my-related-things'><a href=x>Elsewhere</a></div><div class='x-search'>Find <input></div><div class='ad'>Buy</div>"
+    assert html_text.extract(f"<body><article>{body}{left_out}</article></body>") == "\n\n".join(want)
