@@ -429,7 +429,7 @@ def test_lm_scoring(spark, docs, empty, labels):
 
 def test_lm_scoring_knows_all_words(spark, monkeypatch):
     """More words than the models' least size; documents that differ in rare words only; several chunks."""
-    monkeypatch.setattr(lm_scoring, "CHUNK", 700)
+    monkeypatch.setattr(lm_scoring, "CHUNK", 700, raising=False)
     common, rare = [f"c{k}" for k in range(2100)], lambda side, k: f"{side}{k % 30}"
     table = [(i, " ".join([*common, *common])) for i in range(2)]
     table += [(10 + i, " ".join(f"{common[(7 * i + k) % 50]} {rare('xy'[i % 2], k)}" for k in range(20))) for i in range(40)]
