@@ -10,18 +10,26 @@ the target.
 All words and all bigrams are counted, and the tables of both grow with the
 corpus, so neither is ever gathered on the driver or in a worker.  Texts are read
 once and written in chunks of about CHUNK words, each with its own list of words.
-A chunk asks for the corpus's counts of its distinct bigrams, and then of its
-distinct words: the keys, ascending, are dealt by their leading bits into ranges,
-the task that gets a range sums the counts of all chunks by key, and each chunk
-gets the sums of its own keys back, in their order.  One of the chunks that ask
-for a key is told that it is the first, so that each distinct bigram is counted
-once among the followers of its first word.  A frequent word or bigram is one key
-a chunk.  Words and bigrams are told apart by 64-bit hashes.
+
+A chunk asks for the corpus's counts of its distinct bigrams: the keys, ascending,
+are dealt by their leading bits into ranges, the task that gets a range sums the
+counts of all chunks by key, and each chunk gets the sums of its own keys back, in
+their order.  One of the chunks that ask for a key counts as the first, so that
+each distinct bigram is counted once among the followers of its first word; these
+numbers go back by the chunk's own number of that word.  Then the chunk asks for its
+words in the same way.  A frequent word or bigram is one key a chunk.  Only the last
+step brings a chunk's tokens and its answers together.
+
+Words and bigrams are told apart by hashes of SPARE_BITS bits more than the number
+of tokens has, 64 at most, and travel as packed differences.
 
 Defined cases: a null text, or one without a word, has no tokens and null scores;
 a row without an id, or without a label, counts for the background only; several
 labels of one document count as good if any is; with no good document the target
-model is uniform; repeated rows count each; an empty table gives an empty result.
+model is uniform; target documents are scored by the model that has counted them;
+repeated rows count each; texts may be of any length (one is never split between
+chunks); other columns, whatever their names, are not read; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +46,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import memo
 from marquee.llm.features import words
-from marquee.llm.scratch import drop, materialize
+from marquee.llm.scratch import materialize
 
 #: Entries that a model spreads its added counts over, at the least; a larger vocabulary counts in full.
 WORDS = 2048
@@ -46,13 +54,15 @@ WORDS = 2048
 CHUNK, CHUNK_DOCS = 1_000_000, 50_000
 #: Keys that a range should hold, and the least number of leading bits that make ranges.
 RANGE, RANGE_BITS = 1_000_000, 8
+SPARE_BITS = 24
+#: Good documents up to which their ids (8 bytes each) are broadcast; more are joined as Spark chooses.
+BROADCAST_IDS = 2_000_000
 #: The start's key; no word is empty.
 START = np.uint64(xxhash.xxh64_intdigest(b""))
 
-_CHUNK = "chunk long, ids array<long>, lengths binary, good binary, words binary, places binary, n long, n_good long"
-_ASK = "range int, chunk long, keys binary, sums binary"
-_ANSWER = "range int, chunk long, sums binary, first binary, n_first long"
-_STATE = "chunk long, ids array<long>, lengths binary, good binary, words binary, places binary, pairs binary, kinds binary"
+_CHUNK = "chunk long, ids array<long>, lengths binary, good binary, words binary, places binary, counts binary, n long, n_good long"
+_ASK = "range int, chunk long, keys binary, sums binary, owners binary"
+_ANSWER = "range int, chunk long, sums binary, leads binary, kinds binary, n_first long"
 _SCORE = "doc_id long, n_tokens long, target_loss double, background_loss double"
 
 _known: dict[str, int] = memo.table()
@@ -70,11 +80,15 @@ def hashed(text: str | None) -> np.ndarray:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    """Compressed plane by plane: the bytes of equal weight stand together."""
+    x = np.ascontiguousarray(x).ravel()
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def _unpack(packed: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(packed), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _batch(schema: str, **columns: list) -> pa.RecordBatch:
@@ -83,18 +97,44 @@ def _batch(schema: str, **columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[name], kinds[kind]) for name, kind in fields], names=[name for name, _ in fields])
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _sums(number: np.ndarray, marked: np.ndarray, size: int) -> list[np.ndarray]:
+    """How often each number occurs in all documents and in the good ones."""
+    return [np.bincount(number, minlength=size), np.bincount(number[marked], minlength=size)]
+
+
+def _before(places: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    """The number of the word before each word, ``start`` for a text's first."""
+    before = np.empty_like(places)
+    before[1:] = places[:-1]
+    before[(np.cumsum(lengths, dtype=np.int64) - lengths)[lengths > 0]] = start
+    return before
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents in chunks: ``words`` are a chunk's distinct words and the start, ascending, ``places`` their numbers in the text."""
+    """Documents in chunks: ``words`` are a chunk's distinct words, most frequent first, and the start;
+    ``places`` their numbers in the text, ``counts`` how often each is a word and precedes one."""
     number = TaskContext.get().partitionId() << 32
     ids, good, texts, size = [], [], [], 0
 
     def close() -> pa.RecordBatch:
-        lengths = np.array([len(x) for x in texts], np.uint32)
-        known, places = np.unique(np.concatenate([[START], *texts]).astype(np.uint64), return_inverse=True)
+        lengths = np.array([len(x) for x in texts], np.int64)
+        known, places, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *texts]), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        places = rank[places.ravel()]
         marks = np.array(good, np.uint8)
+        marked = np.repeat(marks, lengths) > 0
+        counts = np.stack([*_sums(places, marked, len(known) + 1), *_sums(_before(places, lengths, len(known)), marked, len(known) + 1)])
         return _batch(
-            _CHUNK, chunk=[number], ids=[list(ids)], lengths=[_pack(lengths)], good=[_pack(marks)], words=[_pack(known)], places=[_pack(places[1:].astype(np.uint32))],
-            n=[int(lengths.sum(dtype=np.int64))], n_good=[int(lengths[marks > 0].sum(dtype=np.int64))],
+            _CHUNK, chunk=[number], ids=[list(ids)], lengths=[_pack(lengths.astype(np.uint32))], good=[_pack(marks)], words=[_pack(np.append(known[order], START))],
+            places=[_pack(places.astype(np.uint32))], counts=[_pack(counts.astype(np.uint32))], n=[int(lengths.sum())], n_good=[int(lengths[marks > 0].sum())],
         )
 
     for batch in batches:
@@ -114,42 +154,40 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Chunk:
     """A chunk's tokens: ``before`` and ``places`` number the words of each bigram, ``pairs`` are the distinct bigrams' keys, ``at`` their numbers."""
 
-    def __init__(self, row: dict):
-        self.lengths, self.good, self.words = (_unpack(row[c], k) for c, k in (("lengths", np.uint32), ("good", np.uint8), ("words", np.uint64)))
+    def __init__(self, row: dict, bits: int):
+        self.lengths = _unpack(row["lengths"], np.uint32).astype(np.int64)
+        self.good, self.words = _unpack(row["good"], np.uint8), _unpack(row["words"], np.uint64)
         self.places = _unpack(row["places"], np.uint32).astype(np.int64)
-        self.n = len(self.places)
-        ends = np.cumsum(self.lengths, dtype=np.int64)
-        self.starts = (ends - self.lengths)[self.lengths > 0]
-        self.before = np.zeros(self.n, np.int64)
-        self.before[1:] = self.places[:-1]
-        self.before[self.starts] = np.searchsorted(self.words, START)
+        self.before = _before(self.places, self.lengths, len(self.words) - 1)
         self.marked = np.repeat(self.good, self.lengths) > 0
         x = self.words[self.before] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.places]
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        self.pairs, at, self.at = np.unique(x ^ (x >> np.uint64(32)), return_index=True, return_inverse=True)
+        x ^= x >> np.uint64(32)
+        self.pairs, at, self.at = np.unique(x >> np.uint64(64 - bits), return_index=True, return_inverse=True)
         self.leading = self.before[at]
 
-    def sums(self, number: np.ndarray, size: int) -> np.ndarray:
-        """How often each number occurs in all documents and in the good ones."""
-        return np.stack([np.bincount(number, minlength=size), np.bincount(number[self.marked], minlength=size)])
 
-
-def _ask(chunk: int, keys: np.ndarray, sums: np.ndarray, bits: int) -> pa.RecordBatch:
-    ranges = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
-    stops = [*cuts[1:].tolist(), len(keys)]
-    sums = sums.astype(np.uint32)
-    spans = list(zip(cuts.tolist(), stops)) if len(keys) else []
-    return _batch(_ASK, range=[int(ranges[a]) for a, _ in spans], chunk=[chunk] * len(spans), keys=[keys[a:b].tobytes() for a, b in spans], sums=[sums[:, a:b].tobytes() for a, b in spans])
+def _ask(chunk: int, keys: np.ndarray, sums: list[np.ndarray], owners: np.ndarray, bits: int, range_bits: int) -> pa.RecordBatch:
+    """A row per range that holds some of the ascending ``keys``."""
+    ranges = (keys >> np.uint64(bits - range_bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(ranges, prepend=-1)).tolist()
+    spans = list(zip(cuts, [*cuts[1:], len(keys)]))
+    sums, steps = np.stack(sums).astype(np.uint32), np.diff(keys, prepend=np.uint64(0))
+    steps[cuts] = keys[cuts]
+    owners = owners.astype(np.uint32)
+    return _batch(
+        _ASK, range=[int(ranges[a]) for a, _ in spans], chunk=[chunk] * len(spans), keys=[_pack(steps[a:b]) for a, b in spans],
+        sums=[_pack(sums[:, a:b]) for a, b in spans], owners=[_pack(owners[a:b]) for a, b in spans],
+    )
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Sums by key over all chunks' asks of one range, for each ask in the order of its keys."""
+    """Sums by key over all chunks' asks of one range, for each ask in the order of its keys, and how many keys it is the first to ask for, by owner."""
     table = table.sort_by("chunk")
-    each = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    each = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()]
     sizes = [len(x) for x in each]
     keys = np.concatenate(each)
-    sums = np.concatenate([np.frombuffer(x, np.uint32).reshape(-1, n) for x, n in zip(table.column("sums").to_pylist(), sizes)], axis=1)
+    sums = np.concatenate([_unpack(x, np.uint32).reshape(-1, n) for x, n in zip(table.column("sums").to_pylist(), sizes)], axis=1)
     order = np.argsort(keys, kind="stable")
     new = np.ones(len(keys), bool)
     new[1:] = keys[order[1:]] != keys[order[:-1]]
@@ -159,64 +197,67 @@ def _answer(table: pa.Table) -> pa.Table:
         total[i, order] = np.add.reduceat(row[order].astype(np.int64), begins)[group]
     first = np.empty(len(keys), bool)
     first[order] = new
-    stops = np.cumsum(sizes).tolist()
-    spans = list(zip([0, *stops[:-1]], stops))
-    return pa.Table.from_batches([
-        _batch(_ANSWER, range=table.column("range").to_pylist(), chunk=table.column("chunk").to_pylist(), sums=[_pack(total[:, a:b]) for a, b in spans], first=[_pack(first[a:b]) for a, b in spans], n_first=[int(first[a:b].sum()) for a, b in spans])
-    ])
+    out: dict[str, list] = {name: [] for name in ("sums", "leads", "kinds", "n_first")}
+    at = 0
+    for size, owners in zip(sizes, table.column("owners").to_pylist()):
+        span = slice(at, at + size)
+        at += size
+        mine = first[span]
+        leads, back = np.unique(_unpack(owners, np.uint32)[mine], return_inverse=True)
+        out["sums"].append(_pack(total[:, span]))
+        out["leads"].append(_pack(leads))
+        out["kinds"].append(_pack(np.stack(_sums(back, total[1, span][mine] > 0, len(leads))).astype(np.uint32)))
+        out["n_first"].append(int(mine.sum()))
+    return pa.Table.from_batches([_batch(_ANSWER, range=table.column("range").to_pylist(), chunk=table.column("chunk").to_pylist(), **out)])
 
 
 def answers(asks: DataFrame) -> DataFrame:
     return asks.groupBy("range").applyInArrow(_answer, _ANSWER)
 
 
-def _join(table: pa.Table, kinds: int) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's answers in the order of its keys: sums and whether it is the first to ask."""
-    table = table.sort_by("range")
-    sums = [_unpack(x, np.int64).reshape(kinds, -1) for x in table.column("sums").to_pylist()]
-    return np.concatenate([np.zeros((kinds, 0), np.int64), *sums], axis=1), np.concatenate([np.zeros(0, bool), *[_unpack(x, bool) for x in table.column("first").to_pylist()]])
+def _joined(table: pa.Table, kinds: int) -> np.ndarray:
+    """The sums that a chunk got, in the order of its keys."""
+    sums = [_unpack(x, np.int64).reshape(kinds, -1) for x in table.sort_by("range").column("sums").to_pylist()]
+    return np.concatenate([np.zeros((kinds, 0), np.int64), *sums], axis=1)
 
 
-def _ask_pairs(bits: int):
+def _ask_pairs(bits: int, range_bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                c = Chunk(row)
-                yield _ask(row["chunk"], c.pairs, c.sums(c.at, len(c.pairs)), bits)
+        for row in _rows(batches):
+            c = Chunk(row, bits)
+            yield _ask(row["chunk"], c.pairs, _sums(c.at, c.marked, len(c.pairs)), c.leading, bits, range_bits)
 
     return ask
 
 
-def _keep_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The chunk with its bigrams' counts, and for each word the followers that it is the first to ask for."""
-    row = left.to_pylist()[0]
-    c = Chunk(row)
-    pairs, first = _join(right, 2)
-    own = [np.bincount(c.leading[first & (x > 0)], minlength=len(c.words)) for x in pairs]
-    state = {name: [row[name]] for name in ("chunk", "ids", "lengths", "good", "words", "places")}
-    return pa.Table.from_batches([_batch(_STATE, **state, pairs=[_pack(pairs)], kinds=[_pack(np.stack(own).astype(np.int64))])])
+def _word_order(words: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a chunk's words, ascending, and for each word its number among them."""
+    return np.unique(words >> np.uint64(64 - bits), return_index=True, return_inverse=True)
 
 
-def _ask_words(bits: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                c = Chunk(row)
-                size = len(c.words)
-                sums = np.concatenate([c.sums(c.places, size), c.sums(c.before, size), _unpack(row["kinds"], np.int64).reshape(2, -1)])
-                yield _ask(row["chunk"], c.words, sums, bits)
+def _ask_words(bits: int, range_bits: int):
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        keys, at, number = _word_order(_unpack(row["words"], np.uint64), bits)
+        counts = _unpack(row["counts"], np.uint32).reshape(4, -1)
+        kinds = np.zeros((2, counts.shape[1]), np.int64)
+        for leads, found in zip(right.column("leads").to_pylist(), right.column("kinds").to_pylist()):
+            leads = _unpack(leads, np.uint32)
+            kinds[:, leads] += _unpack(found, np.uint32).reshape(2, -1)
+        sums = [np.bincount(number, weights=x, minlength=len(keys)) for x in (*counts, *kinds)]
+        return pa.Table.from_batches([_ask(row["chunk"], keys, sums, at, bits, range_bits)])
 
     return ask
 
 
-def _score(tokens: tuple[int, int], size: int):
+def _score(tokens: tuple[int, int], size: int, bits: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        c = Chunk(row)
-        pairs = _unpack(row["pairs"], np.int64).reshape(2, -1)
-        sums, _ = _join(right, 6)
+        c = Chunk(row, bits)
+        of_words = np.array(right.column("of_words").to_pylist(), bool)
+        pairs = _joined(right.filter(pa.array(~of_words)), 2)
+        sums = _joined(right.filter(pa.array(of_words)), 6)[:, _word_order(c.words, bits)[2]]
+        starts = (np.cumsum(c.lengths) - c.lengths)[c.lengths > 0]
         found = []
         # Rows of counts: all documents, good ones.
         for i in (1, 0):
@@ -227,10 +268,10 @@ def _score(tokens: tuple[int, int], size: int):
             p = np.where(seen > 0, (pairs[i][c.at] + kinds * back) / np.maximum(seen + kinds, 1), back)
             mean = np.full(len(c.lengths), np.nan)
             some = c.lengths > 0
-            if c.n:
-                mean[some] = np.add.reduceat(-np.log(p), c.starts) / c.lengths[some]
+            if len(p):
+                mean[some] = np.add.reduceat(-np.log(p), starts) / c.lengths[some]
             found.append(pa.array(mean, pa.float64(), mask=~some))
-        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(c.lengths.astype(np.int64)), *found], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+        return pa.table([pa.array(row["ids"], pa.int64()), pa.array(c.lengths, pa.int64()), *found], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
 
     return score
 
@@ -239,17 +280,22 @@ def score_documents(docs: DataFrame, good: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and difference per row; ``good`` has the target documents' doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = materialize(good.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__good")).distinct(), "good")
+    if marked.count() <= BROADCAST_IDS:
+        marked = F.broadcast(marked)
     joined = rows.join(marked, F.col("doc_id") == F.col("__good"), "left").select("doc_id", "text", F.col("__good").isNotNull().alias("good"))
     chunks = materialize(joined.mapInArrow(_chunks, _CHUNK), "chunks")
     tokens = tuple(x or 0 for x in chunks.agg(F.sum("n"), F.sum("n_good")).first())
-    bits = max(RANGE_BITS, int(np.ceil(np.log2(max(1, tokens[0]) / RANGE))))
-    pairs = answers(chunks.mapInArrow(_ask_pairs(bits), _ASK))
-    state = materialize(chunks.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_keep_pairs, _STATE), "state")
-    drop(chunks)
-    sums = materialize(answers(state.mapInArrow(_ask_words(bits), _ASK)), "sums")
+    range_bits = max(RANGE_BITS, int(np.ceil(np.log2(max(1, tokens[0]) / RANGE))))
+    bits = min(64, max(40, tokens[0].bit_length() + SPARE_BITS))
+    content = chunks.select("chunk", "ids", "lengths", "good", "words", "places")
+    pairs = materialize(answers(content.mapInArrow(_ask_pairs(bits, range_bits), _ASK)), "pairs")
+    listed = chunks.select("chunk", "words", "counts").groupBy("chunk")
+    asks = listed.cogroup(pairs.select("chunk", "leads", "kinds").groupBy("chunk")).applyInArrow(_ask_words(bits, range_bits), _ASK)
+    found = materialize(answers(asks), "sums")
     # All distinct words, the start, and one never seen.
-    size = max(WORDS, (sums.agg(F.sum("n_first")).first()[0] or 0) + 1)
-    scored = state.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_score(tokens, size), _SCORE)
+    size = max(WORDS, (found.agg(F.sum("n_first")).first()[0] or 0) + 1)
+    sums = pairs.select("chunk", "range", "sums", F.lit(False).alias("of_words")).union(found.select("chunk", "range", "sums", F.lit(True)))
+    scored = content.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_score(tokens, size, bits), _SCORE)
     return scored.select("*", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
 
 
