@@ -306,7 +306,26 @@ def test_simhash(spark, docs, empty, sf):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_documents(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, _, c in brute_components([(r[0], brute_fingerprint(r[1])) for r in rows()])} - {None})
+    brute = brute_components([(r[0], brute_fingerprint(r[1])) for r in rows()])
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({c for _, _, c in brute} - {None})
+    assert sum(r.doc_id is None for r in kept.collect()) == sum(c is None for _, _, c in brute)
+
+
+def test_simhash_links_through_rows_without_id_and_repeated_ids(spark):
+    prints = [(1, 0), (None, 0b1111), (2, 0b11111111), (5, 1 << 40), (5, (1 << 64) - 1), (7, (1 << 64) - 2), (None, 0xABCDEF << 30), (None, 0xABCDEF << 30)]
+    table = [(i, p - (1 << 64) if p >> 63 else p) for i, p in prints]
+    each = spark.createDataFrame(table, "id long, fp long")
+    got = {r.fp % 2**64: r.least for r in simhash.grouped(each.groupBy("fp").agg(F.min("id").alias("id")), F.min("id")).collect()}
+    assert got == {p: c for _, p, c in brute_components(prints)}
+    assert got[0b11111111] == 1 and got[(1 << 64) - 2] == 5 and got[0xABCDEF << 30] is None
+
+
+def test_simhash_keeps_one_row_of_each_group(spark):
+    far = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    table = [(5, far[0], "x"), (5, far[1], "x"), (5, far[1], "x"), (9, far[0], "x"), (None, far[0], "x"), (None, far[2], "x"), (None, far[2], "y"), (None, None, "x"), (3, None, "x"), (8, "", "x")]
+    kept = simhash.keep_documents(spark.createDataFrame(table, "doc_id long, text string, __kept string").withColumn("id", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "__kept", "id"]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, far[0]), (5, far[1]), (None, far[2]), (3, None)], key=str)
 
 
 @pytest.mark.parametrize("crowded", [False, True])
@@ -325,7 +344,9 @@ def test_simhash_links(spark, monkeypatch, crowded):
 
     label = {r.u: r.v for r in components(edges).collect()}
     want = brute_components([(n, p % 2**64) for p, n in table])
-    assert {n: label.get(n, n) for _, n in table} == {n: c for n, _, c in want}
+    # The smallest fingerprint has the smallest number, so components agree number for number.
+    number = dict(table)
+    assert {n: number[label.get(p, p)] for p, n in table} == {n: c for n, _, c in want}
 
 
 def test_components(spark):
@@ -470,9 +491,10 @@ def test_simhash_links_of_a_dense_centre(spark, monkeypatch):
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     try:
         label = {r.u: r.v for r in components(simhash.links(spark.createDataFrame(table, "fp long, node long"))).collect()}
+        number = dict(table)
     finally:
         cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
-    assert {n: label.get(n, n) for _, n in table} == {n: c for n, _, c in brute_components([(n, p % 2**64) for p, n in table])}
+    assert {n: number[label.get(p, p)] for p, n in table} == {n: c for n, _, c in brute_components([(n, p % 2**64) for p, n in table])}
 
 
 def test_html_keeps_what_only_sounds_like_furniture():
