@@ -90,7 +90,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _hashed_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = pa.array((fingerprint(x.as_py()) for x in batch.column("text").cast(pa.binary())), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), prints], names=["id", "hash", "fp"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "hash", "nameless")), prints], names=["id", "hash", "nameless", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -241,11 +241,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """One row of each component with all its columns."""
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = docs.select(held, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
-    each = rows.select("id", "hash", F.col("doc.text").alias("text")).mapInArrow(_hashed_prints, "id long, hash long, fp long")
-    first = F.struct(F.col("id").isNull().alias("nameless"), "id", "hash")
-    prints = materialize(each.groupBy("fp").agg(F.min(first).alias("first")), "prints")
+    # Null ids are told apart in the hash, so that join and aggregate share one dealing by two plain keys.
+    nameless = F.col("doc_id").isNull()
+    rows = docs.select(held, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text", nameless).alias("hash"), nameless.alias("nameless"))
+    each = rows.select("id", "hash", "nameless", F.col("doc.text").alias("text")).mapInArrow(_hashed_prints, "id long, hash long, nameless boolean, fp long")
+    prints = materialize(each.groupBy("fp").agg(F.min(F.struct("nameless", "id", "hash")).alias("first")), "prints")
     kept = grouped(prints, F.min("first")).select("least.id", "least.hash").distinct()
-    chosen = rows.join(kept, rows["id"].eqNullSafe(kept["id"]) & (rows["hash"] == kept["hash"]), "left_semi")
+    chosen = rows.select("doc", "id", "hash").join(kept, ["id", "hash"], "left_semi")
     # Repeated rows: equal ids and texts.
     return chosen.groupBy("id", "hash").agg(F.first("doc").alias("doc")).select("doc.*")
