@@ -2,8 +2,8 @@
 
 A file holds the ids of consecutive documents (ascending ``doc_id``) as 16-bit
 integers and two Elias-Fano sequences: where each document ends, and the
-documents' ids less the smallest.  A reader finds any document's ids from the
-select structures without a 64-bit table of offsets.
+documents' ids less the smallest.  Every reader, ``read`` included, finds a document's
+ids from the select structures without a 64-bit table of offsets.
 
 Documents are dealt out by ranges of ``doc_id`` and sorted within a task, which
 writes files of bounded size one after the other.  Each attempt of a task writes
@@ -12,8 +12,10 @@ Spark commits, belong to the data set, so lost executors and repeated attempts
 leave nothing that is read.
 
 Defined cases: a null text is empty and still gets the end id; rows without an
-id come first; rows with equal ids follow each other in order of their text; an
-empty table gives no files and an empty result.
+id come first; rows with equal or null ids follow each other in order of their first
+PREFIX characters, then of a hash of the text, so that many of them are dealt to
+several tasks too; a text of any length stays in one file; other columns, whatever
+their names, are not read; an empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: A file is closed once it has this many ids; one document is never split.
 IDS_PER_FILE = 8_000_000
+PREFIX = 32
 
 _MAGIC = b"MQTOKEN1"
 #: Documents, documents without an id (they come first), smallest id, token ids, place of the ids.
@@ -79,13 +82,14 @@ class TokenFile:
         return self.ids[self.start(i) : self.ends[i]]
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_nameless + (self.names.to_numpy() + self.base).tolist()
+        return [self.doc_id(i) for i in range(self.n_docs)]
 
 
 def _store(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    # Hadoop's name of the store that pyarrow calls s3.
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
 
 def _writer(folder: str, vocabulary: str, end_id: int, per_file: int):
@@ -126,7 +130,9 @@ def _writer(folder: str, vocabulary: str, end_id: int, per_file: int):
 
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, per_file: int = IDS_PER_FILE) -> DataFrame:
     """Encode ``docs`` into files under ``folder``; the manifest, a row per file: name, n_docs, n_ids and start, the ids before it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order = ["doc_id", F.substring("text", 1, PREFIX), F.xxhash64("text")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     files = rows.mapInArrow(_writer(folder, vocabulary, end_id, per_file), "part int, seq int, name string, n_docs long, n_ids long")
     manifest = materialize(files, "manifest")
     # One row per file of IDS_PER_FILE ids: small enough for one ordered running sum.
@@ -141,11 +147,11 @@ def _reader(folder: str):
             for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist()):
                 with store.open_input_file(f"{at}/{name}") as file:
                     data = TokenFile(file.read_buffer())
-                ends = data.ends.to_numpy()
-                starts = np.concatenate([[0], ends[:-1]])
+                ends = [data.ends[i] for i in range(len(data))]
+                starts = [0, *ends[:-1]]
                 crcs = [zlib.crc32(data.ids[a:b].astype("<u4")) for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(data.doc_ids(), pa.int64()), pa.array(starts + start), pa.array(ends - starts), pa.array(crcs, pa.int64())],
+                    [pa.array(x, pa.int64()) for x in (data.doc_ids(), [start + a for a in starts], [b - a for a, b in zip(starts, ends)], crcs)],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -4,6 +4,10 @@ A byte-pair tokenizer splits a text by a pattern before it merges, and no
 pre-token spans certain places in a text.  Texts are cut at such places only, so
 the ids of a text are the ids of its chunks one after the other.  Chunks repeat
 far more often than texts; each worker keeps the ids of those it has met.
+
+A text that holds the string of a special token gets that token's id there, as the
+library gives it by default; the text is cut around these strings first, before
+letters' case is touched, and chunks are encoded as ordinary text.
 """
 
 from __future__ import annotations
@@ -42,11 +46,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = special
+        self.around = re.compile("(" + "|".join(map(re.escape, sorted(special, key=lambda x: (-len(x), x)))) + ")") if special else None
+        # Chunks are ordinary text: lower-casing may have made one look special.
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit 16 bits")
-        self.chunks = self._lowered_chunks if drops_space else _KEEPING_SPACE.findall
-        self.known: dict[str, bytes] = memo.table()
+        self.plain_chunks = self._lowered_chunks if drops_space else _KEEPING_SPACE.findall
+        self.known: dict[str | int, bytes] = memo.table()
         # Where a plain word ends (its last id is an end-of-word piece) or begins (its first id holds the space).
         self.ends = drops_space
         self.plain, self.between = (_WORD.fullmatch, " ") if drops_space else (_SPACED_WORD.fullmatch, "")
@@ -63,10 +71,17 @@ class Encoder:
             return _DROPPING_SPACE.findall(text)
         return _DROPPING_SPACE.findall(text.lower())
 
+    def chunks(self, text: str) -> list[str | int]:
+        """Chunks of a text; a special token is its id."""
+        parts = self.around.split(text) if self.around else [text]
+        if len(parts) == 1:
+            return self.plain_chunks(text)
+        return [x for k, part in enumerate(parts) for x in ([self.special[part]] if k % 2 else self.plain_chunks(part))]
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text; a null text has none."""
         memo.take(self.known)
-        group: list[list[str]] = []
+        group: list[list[str | int]] = []
         size = 0
         for text in texts:
             group.append(self.chunks(text or ""))
@@ -76,7 +91,7 @@ class Encoder:
                 group, size = [], 0
         yield from self._encode(group)
 
-    def _encode(self, group: list[list[str]]) -> list[bytes]:
+    def _encode(self, group: list[list[str | int]]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known.clear()
         new = list(set().union(*group).difference(self.known))
@@ -85,10 +100,13 @@ class Encoder:
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in group]
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str | int]) -> None:
         """Encode chunks; plain words go many to a line, which costs half as much, and are told apart by their edges."""
         plain, rest = [], []
         for c in new:
+            if isinstance(c, int):
+                self.known[c] = np.array([c], "<u2").tobytes()
+                continue
             (plain if self.plain(c) else rest).append(c)
         lines = [plain[k : k + LINE] for k in range(0, len(plain), LINE)]
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([self.between.join(x) for x in lines], add_special_tokens=False)):

@@ -84,25 +84,25 @@ def test_beta_prior():
 
 
 def ids(vocabulary, drops):
-    from marquee.llm.tokens import encoder
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    t = encoder(vocabulary, drops).tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path(vocabulary))
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def test_chunks_encode_as_whole_texts():
     from marquee.llm.tokens import encoder
 
-    alphabet = ["a", "b", ".", ",", "'s", " ", "\n", "\t", "é", "1", "́", "　", "Σ", "\x1c", "!"]
+    alphabet = ["a", "b", ".", ",", "'s", " ", "\n", "\t", "é", "1", "́", "　", "Σ", "\x1c", "!", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
     texts = ["".join(c) for n in (1, 2, 3) for c in itertools.product(alphabet, repeat=n)] + [t for t in TEXTS if t]
     for vocabulary, drops in ((token_files.VOCABULARY, False), (packing.VOCABULARY, True)):
-        e = encoder(vocabulary, drops)
-        whole = e.tokenizer.encode_batch(texts, add_special_tokens=False)
-        for text, want, got in zip(texts, whole, e.encode(texts)):
-            assert list(np.frombuffer(got, "<u2")) == want.ids, repr(text)
+        whole = ids(vocabulary, drops)
+        for text, got in zip(texts, encoder(vocabulary, drops).encode(texts)):
+            assert list(np.frombuffer(got, "<u2")) == whole(text)[:-1].tolist(), repr(text)
 
 
-@pytest.mark.parametrize("values", [[], [0], [7], [3, 3, 3], [0, 1, 2, 10**12], list(range(0, 5000, 7)), [2**40 + i // 3 for i in range(700)]])
+@pytest.mark.parametrize("values", [[], [0], [7], [3, 3, 3], [0, 1, 2, 10**12], list(range(0, 5000, 7)), [2**40 + i // 3 for i in range(700)], [*range(1000), *range(10**6, 10**6 + 300), 10**9], [i * i * i for i in range(900)]])
 def test_elias_fano(values):
     data = b"xx" + elias_fano.encode(np.array(values, np.int64))
     coded = elias_fano.EliasFano(data, 2)
@@ -126,6 +126,25 @@ def test_token_files(spark, docs, empty):
     assert token_files.read(token_files.write(empty, new_path(spark, "none")), folder).count() == 0
 
 
+def test_elias_fano_space_and_long_gaps():
+    values = np.concatenate([np.arange(50_000), 3_000_000 + np.arange(50_000)])
+    data = elias_fano.encode(values)
+    assert 8 * len(data) <= len(values) * (3.5 + np.log2(values[-1] / len(values)))
+    coded = elias_fano.EliasFano(data)
+    assert [coded[i] for i in range(49_000, 51_000)] == values[49_000:51_000].tolist()
+    assert len(elias_fano.EliasFano(elias_fano.encode(np.repeat([0, 10**6], [600, 10**6]))).spread) == 1
+
+
+def test_token_files_deal_rows_without_id(spark):
+    table = [(None, f"text number {k}") for k in range(4000)]
+    folder = new_path(spark, "nameless")
+    manifest = token_files.write(spark.createDataFrame(table, "doc_id long, text string"), folder)
+    got = token_files.read(manifest, folder).orderBy("start").collect()
+    encode = ids(token_files.VOCABULARY, False)
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(encode(t).tobytes()) for _, t in table)
+    assert manifest.count() > 1 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 def test_token_file_random_access():
     file = token_files.TokenFile(token_files.pack([None, -5, -5, 900], [np.array(x, "<u2").tobytes() for x in ([0], [1, 2, 0], [], [9] * 40)]))
     assert [file.doc_id(i) for i in range(4)] == [None, -5, -5, 900] == file.doc_ids()
