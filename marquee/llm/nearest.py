@@ -12,19 +12,29 @@ shards; every vector is indexed in the shard of its leaf, and large leaves are
 split further by id, whatever vectors they hold.  A query is searched in its own
 leaf first.  The distance to its K-th find then tells which other leaves the stop
 rule leaves open, and it is sent to those only.  Inside a task the tree goes on
-down to small buckets.
-
-Defined cases: vectors that are null, zero, of another length than most, or hold
-null or non-finite numbers take no part, neither do rows without an id.  Equal
-vectors are kept together in a bucket and give way to smaller ids.  A repeated
-query id is searched once, a repeated candidate row counts each time.  An empty
-table gives an empty result.
+down to buckets; a block of queries is taken through the buckets together, each
+query through those that its stop rule leaves open, and in a bucket only vectors
+whose projections are near enough are verified.  Vectors are sent once to their
+shard; only when more than BLOCK_BYTES of queries ask for one is the shard copied,
+once for each further block, so copies never outweigh the queries they serve.
+
+How many leaves stay open depends on the vectors.  Neighbours much nearer than the
+rest leave few; where all distances are alike, as for independent directions in 64
+dimensions, the rule leaves nearly all leaves open at any size, and only the part
+of vectors verified falls.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite numbers take
+no part, neither do rows without an id.  Vectors of different lengths are no
+neighbours; each length is searched by itself.  Equal vectors are kept together in
+a bucket and give way to smaller ids.  A repeated query id is searched once, a
+repeated candidate row counts each time.  Other columns, whatever their names, are
+not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from functools import reduce
 from math import exp
 
 import numpy as np
@@ -35,17 +45,20 @@ from pyspark.sql import functions as F
 from marquee.llm.scratch import materialize
 
 K = 5
-DIMENSIONS = 8
-CERTAINTY = 0.97
+DIMENSIONS = 16
+CERTAINTY = 0.95
 SEED = 20260101
 #: Rows of a shard, at most about twice as many.
 SHARD = 16_384
 #: Rows whose projections the top of the tree is cut on, and leaves it may have.
 SAMPLE = 20_000
 LEAVES = 1024
-#: Queries that one task searches together.
-BLOCK = 2048
-BUCKET = 64
+#: Bytes of queries that ask for one copy of a shard, and queries searched together.
+BLOCK_BYTES = 64 * 2**20
+TOGETHER = 512
+BUCKET = 256
+#: Finds that a query carries along: K, its own row, and near ties.
+CARRIED = K + 5
 #: Slack for comparing cosines that were summed in different order.
 SLACK = 1e-9
 
@@ -136,11 +149,18 @@ class Top:
                 node[here] = np.where(points[here, axis] < at, a, b)
         return -node - 1
 
-    def open(self, point: np.ndarray, reach: float) -> np.ndarray:
-        """Leaves whose boxes are within the squared distance ``reach``."""
-        low, high = self.boxes
-        gap = np.maximum(0, np.maximum(low - point, point - high))
-        return np.flatnonzero((gap * gap).sum(axis=1) <= reach)
+    def open(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of points and of leaves whose boxes are within the points' squared distances ``reach``."""
+        return np.nonzero(gaps(points, *self.boxes) <= reach[:, None])
+
+
+def gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of points to boxes."""
+    found = np.zeros((len(points), len(low)))
+    for axis in range(points.shape[1]):
+        p = points[:, axis, None]
+        found += np.maximum(0, np.maximum(low[:, axis] - p, p - high[:, axis])) ** 2
+    return found
 
 
 class Tree:
@@ -156,57 +176,60 @@ class Tree:
         self.ids = [ids[order][by_group[a : min(b, a + K + 1)]] for a, b in zip(starts, starts[1:])]
         self.x = unit(self.original)
         self.p = self.x @ weights(vectors.shape[1])
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.kids: list[tuple[int, int] | None] = []
-        self.rows: list[np.ndarray | None] = []
+        self.buckets: list[np.ndarray] = []
         self._build(np.arange(len(self.x)))
-
-    def _build(self, at: np.ndarray) -> int:
-        p = self.p[at]
-        me = len(self.low)
-        low, high = p.min(axis=0), p.max(axis=0)
-        self.low.append(low)
-        self.high.append(high)
-        self.kids.append(None)
-        self.rows.append(at)
-        if len(at) > BUCKET:
-            half = len(at) // 2
-            order = np.argpartition(p[:, int(np.argmax(high - low))], half)
-            self.rows[me] = None
-            self.kids[me] = (self._build(at[order[:half]]), self._build(at[order[half:]]))
-        return me
-
-    def search(self, own: int, q: np.ndarray, original: np.ndarray, within: float, bound: float) -> list[tuple[float, int]]:
-        """The K best (score, id) but the query's own row; ``within`` is the squared distance known to hold K vectors, ``bound`` the chi-square bound."""
-        p = q @ weights(len(q))
-
-        def gap(node: int) -> float:
-            d = np.maximum(0, np.maximum(self.low[node] - p, p - self.high[node]))
-            return float(d @ d)
-
-        heap = [(gap(0), 0)]
-        at, cosines = np.empty(0, np.int64), np.empty(0)
-        while heap:
-            projected, node = heapq.heappop(heap)
-            if projected > within * bound:
-                break
-            if self.kids[node] is not None:
-                for kid in self.kids[node]:
-                    if (d := gap(kid)) <= within * bound:
-                        heapq.heappush(heap, (d, kid))
-                continue
-            rows = self.rows[node]
-            at, cosines = np.concatenate([at, rows]), np.concatenate([cosines, self.x[rows] @ q])
+        self.low, self.high = (np.array([f(self.p[b], axis=0) for b in self.buckets]) for f in (np.min, np.max))
+
+    def _build(self, at: np.ndarray) -> None:
+        if len(at) <= BUCKET:
+            self.buckets.append(at)
+            return
+        p, half = self.p[at], len(at) // 2
+        order = np.argpartition(p[:, int(np.argmax(p.max(axis=0) - p.min(axis=0)))], half)
+        self._build(at[order[:half]])
+        self._build(at[order[half:]])
+
+    def search(self, q: np.ndarray, within: np.ndarray, bound: float) -> np.ndarray:
+        """For each query the CARRIED nearest vectors found, -1 for none; ``within`` are squared distances known to hold K vectors."""
+        p = q @ weights(q.shape[1])
+        gap = gaps(p, self.low, self.high)
+        near = np.full((len(q), CARRIED), -1, np.int64)
+        cosine = np.full((len(q), CARRIED), -np.inf)
+        within = within.copy()
+        left = np.ones(gap.shape, bool)
+
+        def visit(bucket: int, who: np.ndarray) -> None:
+            left[who, bucket] = False
+            rows = self.buckets[bucket]
+            projected = (p[who] ** 2).sum(axis=1)[:, None] + (self.p[rows] ** 2).sum(axis=1) - 2 * p[who] @ self.p[rows].T
+            open_ = projected <= within[who, None] * bound + SLACK
+            some, any_row = open_.any(axis=1), open_.any(axis=0)
+            if not some.any():
+                return
+            who, open_, rows = who[some], open_[np.ix_(some, any_row)], rows[any_row]
+            found = np.where(open_, q[who] @ self.x[rows].T, -np.inf)
+            both = np.concatenate([cosine[who], found], axis=1)
+            at = np.argpartition(-both, CARRIED - 1, axis=1)[:, :CARRIED]
+            near[who] = np.take_along_axis(np.concatenate([near[who], np.broadcast_to(rows, found.shape)], axis=1), at, axis=1)
+            cosine[who] = np.take_along_axis(both, at, axis=1)
             # One row may be the query's own, so K + 1 rows hold K others.
-            if len(at) > K:
-                kth = np.partition(cosines, len(cosines) - K - 1)[len(cosines) - K - 1]
-                keep = cosines >= kth - SLACK
-                at, cosines = at[keep], cosines[keep]
-                within = min(within, max(0.0, 2 - 2 * float(kth)) + SLACK)
+            kth = -np.partition(-cosine[who], K, axis=1)[:, K]
+            within[who] = np.minimum(within[who], np.where(np.isfinite(kth), np.maximum(0, 2 - 2 * np.maximum(kth, -1)) + SLACK, np.inf))
+
+        first = gap.argmin(axis=1)
+        for bucket in np.unique(first):
+            visit(int(bucket), np.flatnonzero(first == bucket))
+        for bucket in np.argsort(gap.mean(axis=0)):
+            who = np.flatnonzero(left[:, bucket] & (gap[:, bucket] <= within * bound))
+            if len(who):
+                visit(int(bucket), who)
+        return np.where(np.isfinite(cosine), near, -1)
+
+    def best(self, own: int, original: np.ndarray, near: np.ndarray) -> list[tuple[float, int]]:
+        """The K best (score, id) of the vectors ``near`` but the query's own row, by the original numbers."""
         found = []
         size = float(np.sqrt(original @ original))
-        for k in at:
+        for k in near[near >= 0]:
             v = self.original[k]
             score = float(original @ v) / (size * float(np.sqrt(v @ v)))
             found += [(-score, int(i)) for i in self.ids[k] if i != own]
@@ -222,8 +245,11 @@ def _search(size: int, bound: float):
         if len(queries) and len(rows):
             tree = Tree(rows.column("vec_id").to_numpy(), rows_of(rows.column("v"), size))
             originals = rows_of(queries.column("v"), size)
-            for own, q, original, within in zip(queries.column("vec_id").to_pylist(), unit(originals), originals, queries.column("within").to_pylist()):
-                out += [(own, i, s) for s, i in tree.search(own, q, original, within, bound)]
+            names, within = queries.column("vec_id").to_pylist(), queries.column("within").to_numpy()
+            for a in range(0, len(names), TOGETHER):
+                part = slice(a, a + TOGETHER)
+                for own, original, near in zip(names[part], originals[part], tree.search(unit(originals[part]), within[part], bound)):
+                    out += [(own, i, s) for s, i in tree.best(own, original, near)]
         columns = list(zip(*out)) if out else [[], [], []]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
@@ -232,12 +258,17 @@ def _search(size: int, bound: float):
 
 def neighbours(vectors: DataFrame, is_query: Column, certainty: float = CERTAINTY) -> DataFrame:
     """query_id, rank, vec_id and score of the K nearest by cosine; ``vectors`` has vec_id and embedding."""
-    spark = vectors.sparkSession
     raw = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    sizes = raw.where(F.size("v") > 0).groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size, total = sizes
+    sizes = raw.where(F.size("v") > 0).groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()
+    found = [_of_size(raw, size, total, is_query, certainty) for size, total in sizes]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found)
+
+
+def _of_size(raw: DataFrame, size: int, total: int, is_query: Column, certainty: float) -> DataFrame:
+    """``neighbours`` of vectors of one length."""
+    spark = raw.sparkSession
     bound = chi_square_bound(certainty)
     clean = raw.mapInArrow(_clean(size), "vec_id long, v binary")
 
@@ -259,7 +290,7 @@ def neighbours(vectors: DataFrame, is_query: Column, certainty: float = CERTAINT
 
     def searched(asked: DataFrame) -> DataFrame:
         """``asked`` has vec_id, v, leaf and within; each goes to all shards of its leaf."""
-        blocks = {r[0]: -(-r[1] // BLOCK) for r in asked.groupBy("leaf").count().collect()}
+        blocks = {r[0]: -(-r[1] * 8 * size // BLOCK_BYTES) for r in asked.groupBy("leaf").count().collect()}
         if not blocks:
             return spark.createDataFrame([], _FOUND)
         many = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
@@ -280,12 +311,13 @@ def neighbours(vectors: DataFrame, is_query: Column, certainty: float = CERTAINT
             if not len(batch):
                 continue
             p = unit(rows_of(batch.column("v"), size)) @ weights(size)
-            home, within = batch.column("leaf").to_pylist(), batch.column("within").to_pylist()
-            pairs = [(k, leaf) for k in range(len(p)) for leaf in top.value.open(p[k], within[k] * bound) if leaf != home[k]]
-            at = pa.array([k for k, _ in pairs], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(at), batch.column("v").take(at), pa.array([x for _, x in pairs], pa.int32()), batch.column("within").take(at)], names=["vec_id", "v", "leaf", "within"]
-            )
+            within = batch.column("within").to_numpy()
+            for a in range(0, len(p), TOGETHER):
+                who, leaf = top.value.open(p[a : a + TOGETHER], within[a : a + TOGETHER] * bound)
+                who += a
+                away = leaf != batch.column("leaf").to_numpy()[who]
+                at = pa.array(who[away])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("v").take(at), pa.array(leaf[away], pa.int32()), batch.column("within").take(at)], names=["vec_id", "v", "leaf", "within"])
 
     asked = queries.join(reach, F.col("vec_id") == F.col("__q"), "left").select("vec_id", "v", "leaf", F.coalesce("within", F.lit(4.0)).alias("within"))
     asked = materialize(asked.mapInArrow(spread, "vec_id long, v binary, leaf int, within double"), "asked")

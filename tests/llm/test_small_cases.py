@@ -138,7 +138,12 @@ def test_elias_fano_space_and_long_gaps():
 def test_token_files_deal_rows_without_id(spark):
     table = [(None, f"text number {k}") for k in range(4000)]
     folder = new_path(spark, "nameless")
-    manifest = token_files.write(spark.createDataFrame(table, "doc_id long, text string"), folder)
+    # Adaptive execution would join partitions as small as these.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write(spark.createDataFrame(table, "doc_id long, text string"), folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     got = token_files.read(manifest, folder).orderBy("start").collect()
     encode = ids(token_files.VOCABULARY, False)
     assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(encode(t).tobytes()) for _, t in table)
@@ -238,12 +243,14 @@ def brute_neighbours(table, k=5):
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     table = [(i, rng.standard_normal(6).astype("f4").tolist()) for i in range(1200)]
-    table += [(2000 + i, table[50][1]) for i in range(300)] + [(5000, None), (5050, [0.0] * 6), (5100, [float("nan")] + [1.0] * 5), (5150, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (5200, [1.0] * 3), (None, [1.0] * 6), (5250, [1e30] * 6)]
+    table += [(2000 + i, table[50][1]) for i in range(300)] + [(5000, None), (5050, [0.0] * 6), (5100, [float("nan")] + [1.0] * 5), (5150, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (5200, [1.0] * 3), (5201, [1.0, 2.0, 0.5]), (None, [1.0] * 6), (5250, [1e30] * 6)]
     frame = spark.createDataFrame([(i, v, "x") for i, v in table], "vec_id long, embedding array<float>, score string")
     got = {}
     for r in nearest.neighbours(frame, F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     want = brute_neighbours([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in table])
+    # Vectors of another length are searched among themselves.
+    assert [i for _, i, _ in got.pop(5200)] == [5201]
     assert got.keys() == want.keys()
     hits = sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.95 * 5 * len(want)
@@ -256,10 +263,32 @@ def test_nearest(spark):
 
 def test_nearest_shards(spark, monkeypatch):
     monkeypatch.setattr(nearest, "SHARD", 150)
-    monkeypatch.setattr(nearest, "BLOCK", 7)
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 7 * 48)
     test_nearest(spark)
 
 
+def test_nearest_recall_on_embeddings(spark, monkeypatch):
+    """The given vectors have 64 dimensions; in one shard and in many."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.collect()
+    x = np.array([r.embedding for r in rows], float)
+    ids = np.array([r.vec_id for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for shard in (nearest.SHARD, 100):
+        monkeypatch.setattr(nearest, "SHARD", shard)
+        got = {}
+        for r in nearest.neighbours(table, F.col("vec_id") % 50 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = total = 0
+        for q in np.flatnonzero(ids % 50 == 0):
+            c = x @ x[q]
+            c[q] = -2
+            want = set(ids[np.argsort(-c)[:5]].tolist())
+            hits += len(want & got[int(ids[q])])
+            total += 5
+        assert hits >= 0.9 * total, shard
+
+
 def test_chi_square_bound():
     assert nearest.chi_square_bound(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
 
