@@ -7,19 +7,25 @@ with a fixed penalty for n-grams that a profile lacks.
 
 Learning counts n-grams of all learnable texts inside tasks and sums the counts
 by (language, n-gram), so what is shuffled is bounded by the number of distinct
-n-grams.  The driver gets PROFILE rows per language; more than MAX_LANGUAGES
-languages is an error.
+n-grams.  The driver gets PROFILE rows per language and sends them to the tasks: the
+model, whose size follows the number of languages and not that of documents.
+
+Combining marks belong to words, as in Devanagari, Thai or vocalised Arabic.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if nothing could be learned.  Ties go to the n-gram of smaller
 code, and to the language first in alphabetical order.  Rows with a null
 ``doc_id`` are predicted, count as not held out, and are not learned from.
-Repeated rows are predicted each; an empty table gives an empty result.
+Repeated rows are predicted each; very long texts are counted whole; columns of
+other names are carried by ``keep_documents`` only and never clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,19 +35,30 @@ from pyspark.sql import functions as F
 
 ORDERS = (1, 2, 3)
 PROFILE = 300
-MAX_LANGUAGES = 200
 UNDETERMINED = "und"
 #: Characters that one counting step concatenates, which bounds memory.
 BLOCK = 1_000_000
 #: Distinct n-grams a task keeps before it hands its counts on.
 KEPT = 2_000_000
 
+def _marks() -> str:
+    """The combining marks, as a part of a regular expression's set."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"]
+    ends = [k for k in range(len(found)) if k + 1 == len(found) or found[k + 1] != found[k] + 1]
+    starts = [0, *(k + 1 for k in ends[:-1])]
+    return "".join(f"{chr(found[a])}-{chr(found[b])}" for a, b in zip(starts, ends))
+
+
 _NON_LETTERS = re.compile(r"[\W\d_]+")
+#: Used for texts beyond Latin-1, which has no marks.
+_NOT_OF_WORDS = re.compile(rf"(?:(?![{_marks()}])[\W\d_])+")
 
 
 def letters(text: str | None) -> str:
     """Lower-case letters; each run of anything else is one space, also at both ends."""
-    inner = _NON_LETTERS.sub(" ", (text or "").lower()).strip()
+    text = (text or "").lower()
+    plain = not text or max(text) <= "\u02ff"
+    inner = (_NON_LETTERS if plain else _NOT_OF_WORDS).sub(" ", text).strip()
     return f" {inner} " if any(map(str.isalpha, inner)) else ""
 
 
@@ -112,10 +129,8 @@ def learn(docs: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     profiles: dict[str, list[int]] = {}
-    for lang, code, _ in sorted(top.select("lang", "gram", "rank").limit(MAX_LANGUAGES * size + 1).collect(), key=lambda r: (r[0], r[2])):
+    for lang, code, _ in sorted(top.select("lang", "gram", "rank").collect(), key=lambda r: (r[0], r[2])):
         profiles.setdefault(lang, []).append(code)
-    if len(profiles) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return profiles
 
 
@@ -153,17 +168,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """``docs`` with a struct column ``__lang`` of lang_pred, score and margin after all its own columns."""
+def predicted(profiles: dict[str, list[int]], text: Column) -> Column:
+    """A struct of lang_pred, score and margin."""
     model = Profiles(profiles)
 
     @F.pandas_udf("lang_pred string, score double, margin double")
-    def predicted(texts):
+    def predict(texts):
         import pandas as pd
 
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "margin"])
 
-    return docs.withColumn("__lang", predicted(F.col("text")))
+    return predict(text)
+
+
+def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and margin of every row."""
+    found = docs.select("doc_id", predicted(profiles, F.col("text")).alias("found"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.*")
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -172,8 +193,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    found = identify(docs.select("doc_id", "text"), learn(learnable(docs)))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "__lang.lang_pred", "__lang.score", "__lang.margin")
+    return identify(docs, learn(learnable(docs)))
 
 
 #: Documents nearer to no language than this are noise; running text of any learned language scores well above it.
@@ -182,5 +202,6 @@ MIN_SCORE = 0.05
 
 def keep_documents(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language can be told, with all their columns."""
-    found = identify(docs, learn(learnable(docs)))
-    return found.where((F.col("__lang.lang_pred") != UNDETERMINED) & (F.col("__lang.score") >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.select(whole.alias("doc"), predicted(learn(learnable(docs)), F.col("text")).alias("found"))
+    return found.where((F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= min_score)).select("doc.*")

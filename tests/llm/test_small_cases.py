@@ -300,15 +300,74 @@ def test_languages(spark, docs, empty, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.collect())
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.95 * len(held)
     profiles = language_id.learn(language_id.learnable(docs))
-    found = language_id.identify(docs, profiles).select("doc_id", "text", "__lang.*").collect()
+    found = language_id.identify(docs, profiles).collect()
     assert len(found) == len(rows())
-    assert all((r.lang_pred == "und") == (not any(map(str.isalpha, r.text or ""))) and 0 <= r.score <= 1 for r in found)
+    text = {r[0]: r[1] for r in rows()}
+    assert all((r.lang_pred == "und") == (not any(map(str.isalpha, text[r.doc_id] or ""))) and 0 <= r.score <= 1 for r in found)
     assert language_id.learn(empty) == {}
-    assert {r[0] for r in language_id.identify(docs, {}).select("__lang.lang_pred").collect()} == {"und"}
+    assert {r[0] for r in language_id.identify(docs, {}).select("lang_pred").collect()} == {"und"}
+    assert language_id.keep_documents(docs.withColumn("__lang", F.lit(1)).withColumn("doc", F.lit(2)).withColumn("found", F.lit(3))).columns[-3:] == ["__lang", "doc", "found"]
     kept = language_id.keep_documents(docs)
     assert kept.columns == docs.columns and language_id.keep_documents(empty).count() == 0
 
 
+def plain_letters(text):
+    import unicodedata
+
+    words, word = [], ""
+    for c in (text or "").lower():
+        if c.isalpha() or unicodedata.category(c)[0] == "M":
+            word += c
+        else:
+            words.append(word)
+            word = ""
+    return [w for w in [*words, word] if w]
+
+
+def plain_profile(texts, size=300):
+    """The commonest n-grams of the words of texts, each word between spaces; a text's words follow each other with one space."""
+    import collections
+
+    count = collections.Counter()
+    for text in texts:
+        words = plain_letters(text)
+        if not any(map(str.isalpha, "".join(words))):
+            continue
+        count.update(c for w in words for c in w)
+        for w in (f" {w} " for w in words):
+            for n in (2, 3):
+                count.update(w[i : i + n] for i in range(len(w) - n + 1))
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return sorted((g for g in count if g != " "), key=lambda g: (-count[g], code(g)))[:size]
+
+
+def plain_language(text, profiles):
+    document = plain_profile([text])
+    if not document or not profiles:
+        return "und", 0.0
+    far = {lang: sum(abs(i - p.index(g)) if g in p else 300 for i, g in enumerate(document)) for lang, p in profiles.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (300 * len(document))
+
+
+def test_languages_against_plain_profiles(spark):
+    base = {"hi": "हिन्दी भाषा में लिखा हुआ पाठ", "th": "ภาษาไทยที่เขียนไว้นี้", "ar": "نَصٌّ عَرَبِيٌّ مَشْكُول", "en": "plain words of english text, isn't it", "fr": "des mots d'été à l'école", "tie": "plain words of english text, isn't it"}
+    rng = np.random.default_rng(8)
+    table = []
+    for k in range(240):
+        lang = list(base)[k % 6]
+        words = base[lang].split()
+        table.append((k, " ".join(rng.choice(words, 7)) + " 12_3!", lang))
+    table += [(900, "123 ...", "en"), (901, None, "fr"), (902, "हि", None), (None, "plain", "hi")]
+    frame = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    profiles = {x: plain_profile([t for i, t, y in table if y == x and i is not None and not held(i) and t]) for x in base}
+    got = {r.doc_id: r for r in language_id.identify(frame, language_id.learn(language_id.learnable(frame))).collect()}
+    for i, text, _ in table:
+        want = plain_language(text, profiles)
+        assert (got[i].lang_pred, got[i].held_out) == (want[0], held(i)) and got[i].score == pytest.approx(want[1])
+
+
 def test_ranks_and_distance():
     model = language_id.Profiles({"x": [1, 2, 3], "y": [3, 4]}, 3)
     assert model.distances(np.array([2, 3, 9])).tolist() == [1 + 1 + 3, 3 + 1 + 3]
