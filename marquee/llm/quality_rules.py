@@ -109,8 +109,10 @@ def beta_prior(mean: float, variance: float, inverse: float, hosts: int) -> tupl
 
 
 def join_verdicts(scored: DataFrame, hosts: DataFrame) -> DataFrame:
-    verdicts = hosts.select(F.col("source").alias("__host"), "host_rate", F.col("host_failed").alias("__bad"))
-    joined = scored.join(verdicts, F.col("source") == F.col("__host"), "left").drop("__host")
+    # Rows without a host are dealt out by a salt that no host has, so they do not meet in one task.
+    verdicts = hosts.select(F.col("source").alias("__host"), (F.col("host_docs") % 1).alias("__none"), "host_rate", F.col("host_failed").alias("__bad"))
+    salt = F.when(F.col("source").isNull(), 1 + F.pmod(F.xxhash64(*METRICS), F.lit(997))).otherwise(0)
+    joined = scored.join(verdicts, (F.coalesce("source", F.lit("")) == F.col("__host")) & (salt == F.col("__none")), "left").drop("__host", "__none")
     bad = F.coalesce(F.col("__bad"), F.lit(False))
     return joined.select("*", bad.alias("host_failed"), (~F.col("base_failed") & ~bad).alias("kept")).drop("__bad")
 
