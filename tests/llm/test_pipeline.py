@@ -13,18 +13,18 @@ from marquee.llm.scratch import materialize
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from test_small_cases import brute_components, brute_fingerprint, brute_rules, check_packing  # noqa: E402
+from test_small_cases import brute_components, brute_fingerprint, brute_rules, check_packing, plain_language, plain_profile  # noqa: E402
 
 
 def brute_languages(docs):
-    counts = collections.defaultdict(collections.Counter)
+    texts = collections.defaultdict(list)
     for r in docs:
         if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
-            counts[r.lang].update(language_id.grams(language_id.letters(r.text)).tolist())
-    model = language_id.Profiles({k: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: language_id.PROFILE]] for k, c in counts.items()})
+            texts[r.lang].append(r.text)
+    profiles = {k: plain_profile(v) for k, v in texts.items()}
     out = []
     for r in docs:
-        lang, score, _ = model.predict(r.text)
+        lang, score = plain_language(r.text, profiles)
         if lang != "und" and score >= language_id.MIN_SCORE:
             out.append(r)
     return out
@@ -78,3 +78,35 @@ def test_run_equals_the_stages(spark, sf):
         docs = materialize(stage(spark, docs, sf), name)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, docs.select(*columns).collect())) == sorted(map(tuple, corpus_pipeline.run(spark, sf).select(*columns).collect()))
+
+
+def test_batches_are_restored(spark, sf):
+    import gc
+
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(option)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    first, second = stages["languages"](spark, docs, sf), stages["rules"](spark, docs, sf)
+    assert spark.conf.get(option) == str(corpus_pipeline.BATCH_ROWS)
+    del first
+    gc.collect()
+    assert spark.conf.get(option) == str(corpus_pipeline.BATCH_ROWS)
+    del second
+    gc.collect()
+    assert spark.conf.get(option) == own
+
+
+def test_odd_tables_through_all_stages(spark, sf):
+    """Nulls in any column, repeated rows and ids, clashing names, an empty table."""
+    text = " ".join(f"plain{k % 23} words{k % 7} of english" for k in range(30))
+    names = "doc_id long, text string, lang string, source string, n_chars long, __doc string, found string, id long, hash long, fp long, rate double, kept string, __s int"
+    table = [(i, f"{text} {i % 4}", ["en", None][i % 2], ["h", None][i % 3 == 0], None, "x", None, 1, 2, 3, None, "y", 1) for i in range(12)]
+    table += [(3, f"{text} 3", "en", "h", None, "x", None, 1, 2, 3, None, "y", 1), (None, text, None, None, None, None, None, None, None, None, None, None, None), (50, None, "en", "h", 0, None, None, None, None, None, None, None, None), (51, "", "en", "h", 0, None, None, None, None, None, None, None, None)]
+    for rows in (table, []):
+        docs = spark.createDataFrame(rows, names)
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, sf), name)
+            assert docs.columns == columns or name == "pack"
+        assert (docs.count() > 0) == bool(rows)
