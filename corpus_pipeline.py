@@ -8,6 +8,7 @@ None and the tests compare with a brute-force version.
 
 from __future__ import annotations
 
+import weakref
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +20,46 @@ ORACLE_SQL = None
 
 #: Rows of an Arrow batch.  Whole documents travel in them, and a batch is held several times over in an executor.
 BATCH_ROWS = 1_000
+_OPTION = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+class SmallBatches:
+    """Arrow batches of BATCH_ROWS rows in a session while any frame that a stage returned is alive; then the session's own value again."""
+
+    held = 0
+    own: str | None = None
+
+    @classmethod
+    def hold(cls, df: DataFrame) -> DataFrame:
+        weakref.finalize(df, cls.release, df.sparkSession)
+        return df
+
+    @classmethod
+    def begin(cls, spark: SparkSession) -> None:
+        if not cls.held:
+            cls.own = spark.conf.get(_OPTION)
+            spark.conf.set(_OPTION, BATCH_ROWS)
+        cls.held += 1
+
+    @classmethod
+    def release(cls, spark: SparkSession) -> None:
+        cls.held -= 1
+        if not cls.held and spark.sparkContext._jsc is not None:
+            spark.conf.set(_OPTION, cls.own)
 
 
 def in_small_batches(stage):
-    """The stage with batches of BATCH_ROWS rows."""
+    """The stage with small batches until its frame is dropped."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-        return stage(spark, docs, sf_dir)
+        SmallBatches.begin(spark)
+        try:
+            found = stage(spark, docs, sf_dir)
+        except BaseException:
+            SmallBatches.release(spark)
+            raise
+        return SmallBatches.hold(found)
 
     return run_stage
 
