@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,41 @@ def percentile_summary(rows: DataFrame, keys: list[str], value: str, parts: tupl
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n_rated"), F.min(v).alias("lo"), *found, F.max(v).alias("hi"), F.sum(v.cast("decimal(28,4)")).cast("double").alias("total"))
 
 
+def split_percentiles(rows: DataFrame, keys: list[str], value: str, parts: tuple[float, ...] = (0.25, 0.5, 0.75), splits: int = 128) -> DataFrame:
+    """``percentile_summary`` for few large keys: no task sorts or holds a whole key.
+
+    Approximate percentiles cut each key's values into ``splits`` ranges.  Counts of
+    the ranges tell in which of them the wanted ranks lie, and only these are counted
+    by value and ranked.
+    """
+    v = F.col(value)
+    cuts = F.percentile_approx(v, [i / splits for i in range(1, splits)], 20 * splits)
+    bounds = rows.groupBy(*keys).agg(
+        cuts.alias("__cuts"), F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n_rated"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(v.cast("decimal(28,4)")).cast("double").alias("total")
+    )
+    same = [F.col(f"__k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    named = bounds.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__cuts", "n_rated")
+    # As many rows as keys: Spark broadcasts them if they are few.
+    tagged = rows.where(v.isNotNull()).join(named, reduce(Column.__and__, same)).withColumn("__part", F.size(F.filter("__cuts", lambda x: x < v))).drop("__cuts", *[f"__k{i}" for i in range(len(keys))])
+    upto = Window.partitionBy(*keys).orderBy("__part")
+    sizes = tagged.groupBy(*keys, "__part", "n_rated").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.sum("__n").over(upto) - F.col("__n"))
+    ranks = F.array(*[f((F.col("n_rated") - 1) * p) for p in parts for f in (F.floor, F.ceil)])
+    here = F.filter(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))
+    wanted = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), "__before", here.alias("__ranks")).where(F.size("__ranks") > 0)
+    few = tagged.join(wanted, reduce(Column.__and__, [*same, F.col("__part") == F.col("__p")])).groupBy(*keys, "__part", "__before", "__ranks", value).agg(F.count(F.lit(1)).alias("__n"))
+    last = F.col("__before") + F.sum("__n").over(Window.partitionBy(*keys, "__part").orderBy(v))
+    ranked = few.withColumn("__last", last)
+    found = ranked.select(*keys, v.alias("__v"), F.explode(F.filter("__ranks", lambda r: (r < F.col("__last")) & (r >= F.col("__last") - F.col("__n")))).alias("__r"))
+    picks = found.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.map_from_entries(F.collect_set(F.struct("__r", "__v"))).alias("__at"))
+    joined = bounds.join(picks, reduce(Column.__and__, same), "left")
+    out = []
+    for p in parts:
+        place = (F.col("n_rated") - 1) * p
+        low, high = (F.try_element_at("__at", f(place)) for f in (F.floor, F.ceil))
+        out.append((low + (high - low) * (place - F.floor(place))).alias(f"p{round(100 * p)}"))
+    return joined.select(*keys, "n_rows", "n_rated", "lo", *out, "hi", "total")
+
+
 def rate_benchmarks(placements: DataFrame, bases: dict[str, str]) -> DataFrame:
     """Exact quartiles of each rate basis by period, category and format, at three levels of place.
 
@@ -63,12 +100,16 @@ def rate_benchmarks(placements: DataFrame, bases: dict[str, str]) -> DataFrame:
 
 
 def entity_activity(rows: DataFrame, types: list[str]) -> DataFrame:
-    """Row counts of each entity by quarter, and by month where one is known, at three levels of place."""
+    """Row counts of each entity by quarter, and by month where one is known, at three levels of place.
+
+    Rows are counted once, by entity, month and city; levels and periods are sums of these counts.
+    """
     entities = F.inline(F.array(*[F.struct(F.lit(t).alias("entity_type"), F.col(t).alias("entity")) for t in types]))
-    u = rows.select("year", "quarter", "month", *_PLACE, entities).where(F.col("entity").isNotNull())
-    n = [F.count(F.lit(1)).alias("n_rows")]
-    quarter = _by_place(u, ["year", "quarter", "entity_type", "entity"], n).withColumns({"period": F.lit("quarter"), "month": F.lit(None).cast("int")})
-    month = _by_place(u.where(F.col("month").isNotNull()), ["year", "quarter", "month", "entity_type", "entity"], n).withColumn("period", F.lit("month"))
+    cells = rows.select("year", "quarter", "month", *_PLACE, entities).where(F.col("entity").isNotNull())
+    cells = cells.groupBy("year", "quarter", "month", "entity_type", "entity", *_PLACE).agg(F.count(F.lit(1)).alias("n"))
+    n = [F.sum("n").alias("n_rows")]
+    quarter = _by_place(cells, ["year", "quarter", "entity_type", "entity"], n).withColumns({"period": F.lit("quarter"), "month": F.lit(None).cast("int")})
+    month = _by_place(cells.where(F.col("month").isNotNull()), ["year", "quarter", "month", "entity_type", "entity"], n).withColumn("period", F.lit("month"))
     whole = [F.col(c).cast("long").alias(c) for c in ("year", "quarter", "month")]
     return quarter.unionByName(month).select("period", *whole, "entity_type", "entity", "level", *_PLACE, "n_rows")
 

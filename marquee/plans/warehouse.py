@@ -330,10 +330,9 @@ SELECT s_suppkey, score, CASE WHEN zero OR score < 40 THEN 'unavailable' WHEN sc
 def price_summary_stats(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem")
     price = F.when(F.col("l_discount") < 0.09, F.col("l_extendedprice"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(price).alias("n_rated"), F.round(F.min(price), 4).alias("min_price"), F.round(F.percentile(price, 0.25), 4).alias("p25"), F.round(F.median(price), 4).alias("p50"),
-        F.round(F.percentile(price, 0.75), 4).alias("p75"), F.round(F.max(price), 4).alias("max_price"), F.round(F.avg(price), 4).alias("avg_price"),
-    )
+    found = relational.split_percentiles(rows.select("l_returnflag", "l_linestatus", price.alias("price")), ["l_returnflag", "l_linestatus"], "price")
+    average = F.round(F.col("total") / F.nullif(F.col("n_rated"), F.lit(0)), 4)
+    return found.select("l_returnflag", "l_linestatus", "n_rows", "n_rated", F.round("lo", 4).alias("min_price"), *[F.round(p, 4).alias(p) for p in ("p25", "p50", "p75")], F.round("hi", 4).alias("max_price"), average.alias("avg_price"))
 
 
 PRICE_SUMMARY_STATS = """
