@@ -61,3 +61,106 @@ def most_specific(facets: DataFrame) -> DataFrame:
     """Facets in the order of preference: more dimensions, more responses, key."""
     size = F.when(F.col("scope") == "overall", 0).otherwise(F.size(F.split("scope", r"\|")))
     return facets.withColumn("n_dimensions", size).orderBy(F.desc("n_dimensions"), F.desc("n"), "scope")
+
+
+#: The metrics of each objective's signals: an exact id, a prefix (``x.*``) or a pattern.
+SIGNALS = {
+    "broad_reach": (("Format affinity", "^format\\.overall\\."), ("Environment pattern", "^environment\\."), ("Creative cue", "^memorability\\.")),
+    "influential_core": (("Trust affinity", "^format\\.[^.]+\\.trust$"), ("Recall context", "^recall\\.four_week$"), ("Creative cue", "^memorability\\.")),
+    "near_conversion": (("Search response", "^action\\.searched_online$"), ("Visit response", "^action\\.visited_store_or_location$"), ("Purchase response", "^action\\.purchased_product_or_service$")),
+}
+
+
+def distribution(responses: DataFrame, facet: list[str], category: str, minimum: int = MIN_SAMPLE) -> DataFrame:
+    """One share per category that a facet's responses name, of all its responses with a category.
+
+    One aggregate by facet and category; the denominators are sums of its counts.
+    """
+    counted = responses.where(F.col(category).isNotNull()).groupBy(*facet, category).agg(F.count(F.lit(1)).alias("numerator"))
+    whole = counted.groupBy(*[F.col(f).alias(f"__{f}") for f in facet]).agg(F.sum("numerator").alias("denominator"))
+    same = F.lit(True)
+    for f in facet:
+        same = same & F.col(f).eqNullSafe(F.col(f"__{f}"))
+    enough = F.col("denominator") >= minimum
+    return counted.join(whole, same).select(*facet, F.col(category).alias("category"), "numerator", "denominator", F.when(enough, round_half_up(F.col("numerator") / F.col("denominator"))).alias("share"))
+
+
+def top_metric(metrics: DataFrame, keys: list[str], pattern: str) -> DataFrame:
+    """Per key the metric id of the largest unsuppressed value whose id matches, ties by the smaller id."""
+    rows = metrics.where(F.col("metric").rlike(pattern) & F.col("value").isNotNull() & ~F.col("suppressed"))
+    return rows.groupBy(*keys).agg(F.min_by(F.struct("metric", "value", "denominator"), F.struct((-F.col("value")).alias("v"), F.col("metric"))).alias("m")).select(*keys, "m.metric", "m.value", "m.denominator")
+
+
+def signals(metrics: DataFrame, keys: list[str], objective: str) -> DataFrame:
+    """Up to three signals per key (a facet of ``metrics``): place, label, metric, value and its text."""
+    found = None
+    for place, (label, pattern) in enumerate(SIGNALS[objective], 1):
+        part = top_metric(metrics, keys, pattern).select(*keys, F.lit(place).alias("place"), F.lit(label).alias("label"), "metric", "value", "denominator")
+        found = part if found is None else found.unionByName(part)
+    share = F.concat(F.floor(F.col("value") * 100 + 0.5).cast("string"), F.lit("%"))
+    mean = F.concat(F.format_number("value", 2), F.lit(" / 5"))
+    return found.withColumn("text", F.when(F.col("metric").startswith("format."), mean).otherwise(share))
+
+
+def select_facet(facets: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """The most specific facet (scope, n) all of whose dimensions are as wanted; one row, or none."""
+    pairs = F.array(*[F.lit(f"{d}={v}") for d, v in wanted.items()]) if wanted else F.array().cast("array<string>")
+    fits = (F.col("scope") == "overall") | (F.size(F.array_except(F.split("scope", r"\|"), pairs)) == 0)
+    return most_specific(facets.where(fits)).limit(1)
+
+
+def segment_catalogue(responses: DataFrame, city: str, dimensions: list[str], minimum: int = MIN_SAMPLE) -> DataFrame:
+    """Profiles of one city: each value of each dimension with enough respondents, by dimension and value."""
+    pairs = F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions]))
+    counted = responses.where(F.col("city") == city).select(pairs).where(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("sample_size"))
+    return counted.where(F.col("sample_size") >= minimum).select("dimension", "value", "sample_size", F.concat_ws("=", "dimension", "value").alias("profile"))
+
+
+def yes_no(c: Column) -> Column:
+    """True, false or null from answers such as ``Yes``, ``yes → go on`` or ``No``."""
+    bare = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.when(bare.rlike("^yes($| |→)"), True).when(bare.rlike("^no($| |→)"), False)
+
+
+def selected(c: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(c)).isin("1", "true", "yes"), F.lit(False))
+
+
+def commute_pattern(c: Column) -> Column:
+    bare = F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    return F.when(F.lower(bare) == "daily commuter", "Daily commuter").when(F.lower(bare) == "hybrid", "Hybrid").when(F.lower(bare) == "remote", "Remote").otherwise(bare)
+
+
+def moment(c: Column) -> Column:
+    """ISO text of a readable moment, else the text as it stands."""
+    bare = F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(F.date_format(F.try_to_timestamp(bare), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), bare)
+
+
+def in_country(lat: Column, lon: Column) -> Column:
+    """Within the bounds that answers are expected in (fixed values); true if either is missing."""
+    return F.coalesce(lat.between(4, 14.5) & lon.between(2, 15), F.lit(True))
+
+
+def canonical_responses(rows: DataFrame, multi: dict[str, tuple[tuple[str, str], ...]], exact: dict[str, tuple[int, str]], ratings: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """One canonical row per sheet row: screened, recoded, multi-selects as label arrays, ratings as structs, with diagnostics.
+
+    ``multi`` names (column, label) pairs per question, ``exact`` how many choices a question should have and the diagnostic
+    otherwise, ``ratings`` (row, column, source column).
+    """
+    c = F.col
+    clean = lambda x: F.nullif(F.trim(F.regexp_replace(x, r"\s+", " ")), F.lit(""))
+    city, age = clean(c("city")), clean(c("age_band"))
+    eligible = F.coalesce(yes_no(c("consent")), F.lit(False)) & F.coalesce(yes_no(c("residence")), F.lit(False)) & city.isNotNull() & age.isNotNull() & (age != "56+")
+    eligible = F.coalesce(eligible, F.lit(False))
+    lat, lon, precision = (c(x).try_cast("double") for x in ("latitude", "longitude", "gps_precision"))
+    started, ended = F.try_to_timestamp(c("started")), F.try_to_timestamp(c("ended"))
+    chosen = {q: F.array_compact(F.array(*[F.when(selected(c(col)), label) for col, label in pairs])) for q, pairs in multi.items()}
+    diagnostics = F.array_compact(
+        F.array(
+            F.when(~eligible, "CONTEXT_SCREEN_NOT_ELIGIBLE"), F.when(~in_country(lat, lon), "GPS_OUTSIDE_NIGERIA_BOUNDS"), F.when(precision <= 0, "GPS_PRECISION_NONPOSITIVE"), F.when(ended < started, "INTERVIEW_DURATION_NEGATIVE"),
+            *[F.when(F.size(chosen[q]) != n, code) for q, (n, code) in exact.items()],
+        )
+    )
+    matrix = F.array(*[F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), c(col).try_cast("double").alias("rating")) for a, b, col in ratings])
+    return rows.select("source_row", eligible.alias("eligible"), city.alias("city"), age.alias("age_band"), commute_pattern(c("commute")).alias("commute_pattern"), moment(c("started")).alias("started"), moment(c("ended")).alias("ended"), *[v.alias(q) for q, v in chosen.items()], matrix.alias("ratings"), diagnostics.alias("diagnostics"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.plans import context, governance, places, planner, warehouse
+from marquee.plans import context, governance, places, planner, rules, warehouse
 
-MODULES = (warehouse, places, governance, planner, context)
+MODULES = (warehouse, places, governance, planner, context, rules)
 
 
 def entries() -> dict[str, tuple]:
