@@ -114,3 +114,60 @@ def site_entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         complete = complete & F.col(f"__{c}").isNotNull()
     good = keyed.where(complete).withColumn("site_id", ids.stable_id("site", *[F.col(f"__{c}") for c in SITE_KEY]))
     return good.drop(*[f"__{c}" for c in SITE_KEY]), keyed.where(~complete).select(*rows.columns)
+
+
+def non_empty_rows(rows: DataFrame) -> DataFrame:
+    """Rows of which some cell holds text; ``cells`` is an array of strings."""
+    return rows.where(F.exists("cells", lambda x: text.source_text(x).isNotNull()))
+
+
+def expect_rows(rows: DataFrame, expected: int) -> DataFrame:
+    """The rows, or an error when they are read if the sheet does not have as many non-empty rows as its specification says."""
+    counted = non_empty_rows(rows).agg(F.count(F.lit(1)).alias("__n"))
+    checked = F.when(F.col("__n") != expected, F.raise_error(F.concat(F.lit("SOURCE_ROW_COUNT_MISMATCH:"), F.col("__n").cast("string"))).cast("boolean")).otherwise(True)
+    return rows.join(F.broadcast(counted)).where(checked).drop("__n")
+
+
+#: Cell positions of a board-quality row.
+BOARD = {"company": 1, "state": 3, "city": 4, "address": 5, "brand": 6, "category": 7, "board_type": 8, "board_quality": 9, "format": 10, "annual_rate": 11, "monthly_rate": 12, "quarter": 14, "period": 15}
+
+
+def board_quality_rows(rows: DataFrame, year: int) -> tuple[DataFrame, DataFrame]:
+    """Records and quarantined rows of a board-quality sheet (source_id, sheet, source_row, cells); its year comes from the sheet's specification."""
+    cell = lambda name: F.get("cells", F.lit(BOARD[name]))
+    names = ("company", "state", "city", "address", "brand", "category", "board_type", "board_quality", "format", "quarter")
+    rates = {n: text.loose_number(cell(n)) for n in ("annual_rate", "monthly_rate")}
+    read = non_empty_rows(rows).select("source_id", "sheet", "source_row", "cells", *[text.source_text(cell(n)).alias(n) for n in names], *[v.alias(n) for n, v in rates.items()], text.source_period(cell("period")).alias("period"))
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & F.col(n).isNotNull()
+    flags = F.array_compact(F.array(F.lit("year_from_artifact_context"), F.when(F.col("annual_rate").isNull() | F.col("monthly_rate").isNull(), "missing_rate"), F.when(F.col("period.kind") == "unparsed", "unparsed_period")))
+    key = text.natural_key(*[F.col(n) for n in names[:-1]], F.lit(year), F.col("quarter"), F.col("period.raw_month"))
+    good = read.where(whole).select("source_id", "sheet", "source_row", *names, "annual_rate", "monthly_rate", F.lit(year).alias("year"), "period", key.alias("natural_key"), flags.alias("flags"))
+    return good, read.where(~whole).select("source_id", "sheet", "source_row", F.lit("invalid_row_shape").alias("reason"), "cells")
+
+
+def weight_months(rows: DataFrame, keys: list[str], cells: str, starts: list[int], annual: int) -> DataFrame:
+    """One row per month of weights whose columns start at any place; a month has a reported total only if three columns lie before the next start."""
+    ends = [*starts[1:], annual]
+    at = lambda k: text.loose_number(F.get(cells, F.lit(k)))
+    parts = [F.struct(F.lit(m).alias("month"), at(a).alias("imports"), at(a + 1).alias("exports"), (at(a + 2) if b - a >= 3 else F.lit(None).cast("double")).alias("reported_total"), F.lit(b - a >= 3).alias("has_total")) for m, (a, b) in enumerate(zip(starts, ends), 1)]
+    long = rows.select(*keys, F.inline(F.array(*parts)))
+    derived = F.col("imports") + F.col("exports")
+    flags = F.array_compact(
+        F.array(
+            F.when(F.col("imports").isNull(), "import_missing"), F.when(F.col("exports").isNull(), "export_missing"), F.when(F.col("has_total") & F.col("reported_total").isNull(), "reported_total_missing"),
+            F.when(F.coalesce(F.abs(derived - F.col("reported_total")) > 0.5, F.lit(False)), "reported_total_mismatch"),
+        )
+    )
+    return long.select(*keys, "month", "imports", "exports", "reported_total", derived.alias("derived_total"), flags.alias("flags"))
+
+
+def active(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("canonical_status") == "active")
+
+
+def traffic_keys(rows: DataFrame) -> DataFrame:
+    """Traffic rows with ``scope_key`` (a missing scope is ``unscoped``) and ``unit_key``, which follows the metric where it has one unit only."""
+    unit = F.when(F.col("metric") == "passenger", "persons").when(F.col("metric") == "aircraft", "aircraft_movements").otherwise(F.coalesce(F.nullif(F.trim("unit"), F.lit("")), F.lit("source_unit_unspecified")))
+    return rows.withColumns({"scope_key": F.coalesce("scope", F.lit("unscoped")), "unit_key": unit})

@@ -112,7 +112,7 @@ def source_eligibility(spark: SparkSession, sf: str) -> DataFrame:
 
 SOURCE_ELIGIBILITY = f"""
 WITH src AS (SELECT 's' || s_suppkey AS source_id, ['target_universe', 'target_allocation', 'influence', 'serviceability'][s_suppkey % 4 + 1] AS kind, {listed(SECTORS)}[(s_suppkey // 4) % 3 + 1] AS sector, s_suppkey % 23 <> 0 AS here, s_suppkey % 17 <> 0 AS scoped, s_suppkey % 13 <> 0 AS spans FROM supplier),
-p AS (SELECT p_partkey, p_brand, p_size % 3 AS x, b, 12 * (b % 8) + 4 * (p_size % 3) AS base, p_brand || '/' || {listed(SECTORS)}[p_size % 3 + 1] AS scope_id, {listed(SECTORS)}[p_size % 3 + 1] AS sector, p_retailprice FROM (SELECT *, regexp_extract(p_brand, '(\d+)', 1)::INT AS b FROM part)),
+p AS (SELECT p_partkey, p_brand, p_size % 3 AS x, b, 12 * (b % 8) + 4 * (p_size % 3) AS base, p_brand || '/' || {listed(SECTORS)}[p_size % 3 + 1] AS scope_id, {listed(SECTORS)}[p_size % 3 + 1] AS sector, p_retailprice FROM (SELECT *, regexp_extract(p_brand, '([0-9]+)', 1)::INT AS b FROM part)),
 u AS (SELECT scope_id, sector, 'target_universe' AS wanted, 's' || (base + CASE WHEN p_partkey % 97 = 0 THEN 12 ELSE 0 END) AS source_id FROM p
   UNION ALL SELECT scope_id, sector, 'influence', 's' || (base + 2 + CASE WHEN p_partkey % 89 = 0 THEN 12 ELSE 0 END) FROM p UNION ALL SELECT scope_id, sector, 'serviceability', 's' || (base + 3) FROM p UNION ALL SELECT scope_id, sector, 'target_allocation', 's' || (base + 1) FROM p),
 f AS (SELECT scope_id, wanted, u.source_id, coalesce(src.kind = wanted AND src.sector = u.sector AND here AND scoped AND spans, false) AS fits FROM u LEFT JOIN src USING (source_id)),
