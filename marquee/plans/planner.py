@@ -1,4 +1,7 @@
-"""Package planning: exposure, weighted-panel reach, scoring and options, for all candidate packages at once.
+"""Package planning: exposure, weighted-panel reach, scoring and options, for all candidate packages of all briefs at once.
+
+Every step takes one brief or several; ``brief_id``, a brief's place among them, is a
+key of all frames, so several briefs share the scans, joins and shuffles.
 
 A package's reach needs each panel member's rate under it.  Rates add up over
 sites, so they are computed once per site and scenario and summed per package:
@@ -121,139 +124,193 @@ def flight_compatible(start: str, end: str) -> Column:
     return F.col("available") & (F.col("available_from") <= F.lit(start).cast("date")) & (F.col("available_to") >= F.lit(end).cast("date"))
 
 
-def site_chances(bundle: Bundle, brief: Brief) -> DataFrame:
-    """Target chances to see of one block, per scenario, site, cell and part of the day, and the number of such blocks."""
-    flight = bundle.sites.sparkSession.range(1).select(F.lit(brief.flight_start).cast("date").alias("s"), F.lit(brief.flight_end).cast("date").alias("e"), F.lit(brief.daypart).alias("d"))
-    days = dates.flight_days(F.lit(brief.flight_start).cast("date"), F.lit(brief.flight_end).cast("date"))
-    blocks = dates.exposure_blocks(flight, "s", "e", "d").groupBy(F.col("block_daypart").alias("daypart")).agg(F.count(F.lit(1)).alias("n_blocks"))
+def brief_rows(spark: SparkSession, briefs: Brief | tuple[Brief, ...]) -> DataFrame:
+    """A row per brief with its pillar weights; request-sized, so it may be broadcast."""
+    briefs = (briefs,) if isinstance(briefs, Brief) else briefs
+    word, real = pa.string(), pa.float64()
+    names = ("sector", "objective", "daypart", "budget", "normalization_budget", "flight_start", "flight_end")
+    columns = {"brief_id": list(range(len(briefs)))} | {n: [getattr(x, n) for x in briefs] for n in names} | {f"w_{k}": [float(WEIGHTS[x.objective][k]) for x in briefs] for k in "ADCPE"}
+    types = {"brief_id": pa.int32()} | {n: real if "budget" in n else word for n in names} | {f"w_{k}": real for k in "ADCPE"}
+    rows = literal_table(spark, columns, types)
+    return F.broadcast(rows.withColumns({n: F.col(n).cast("date") for n in ("flight_start", "flight_end")}))
+
+
+def _checked(value: Column, ok: Column, code: str) -> Column:
+    return F.when(ok, value).otherwise(F.raise_error(F.lit(code)).cast("double"))
+
+
+def site_chances(bundle: Bundle, brief: Brief | tuple[Brief, ...]) -> DataFrame:
+    """Target chances to see of one block, per brief, scenario, site, cell and part of the day, and the number of such blocks.
+
+    Movement below zero, multipliers not above it, and shares or visibilities outside 0 to 1 are errors.
+    """
+    rows = brief_rows(bundle.sites.sparkSession, brief)
+    flights = rows.select("brief_id", "flight_start", "flight_end", F.col("daypart").alias("d"), dates.flight_days(F.col("flight_start"), F.col("flight_end")).alias("days"))
+    blocks = dates.exposure_blocks(flights, "flight_start", "flight_end", "d").groupBy("brief_id", F.col("block_daypart").alias("daypart"), "days").agg(F.count(F.lit(1)).alias("n_blocks"))
     sites = bundle.sites.join(bundle.movement, "site_id").join(F.broadcast(blocks), "daypart").join(F.broadcast(bundle.scenarios))
-    general = F.col("base_movement") * F.col("movement_mult") * F.least(F.lit(1.0), F.col("visibility") * F.col("visibility_mult")) * F.col("uptime") * F.col("share_of_time")
-    cells = bundle.shares.where(F.col("sector") == brief.sector)
-    return sites.withColumn("general", general).join(cells, "site_id").select(
-        "scenario", "concentration", "site_id", "site_ord", "zone_id", "daypart", "n_blocks", "cell_id", "cell_ord", (F.col("general") * F.col("share") * F.col("share_mult")).alias("chances"), days.alias("days")
+    movement = _checked(F.col("base_movement") * F.col("movement_mult"), (F.col("base_movement") >= 0) & (F.col("movement_mult") > 0), "INVALID_MOVEMENT_INPUT")
+    seen = F.least(F.lit(1.0), F.col("visibility") * F.col("visibility_mult"))
+    delivered = F.col("uptime") * F.col("share_of_time")
+    general = movement * _checked(seen, seen >= 0, "VISIBILITY_OUTSIDE_0_TO_1") * _checked(delivered, delivered.between(0, 1), "DELIVERY_OUTSIDE_0_TO_1")
+    cells = bundle.shares.join(rows.select("brief_id", "sector"), "sector")
+    share = F.col("share") * F.col("share_mult")
+    return sites.withColumn("general", general).join(cells, ["brief_id", "site_id"]).select(
+        "brief_id", "scenario", "concentration", "site_id", "site_ord", "zone_id", "daypart", "n_blocks", "cell_id", "cell_ord", (F.col("general") * _checked(share, share.between(0, 1), "TARGET_SHARE_OUTSIDE_0_TO_1")).alias("chances"), "days"
     )
 
 
-def member_rates(bundle: Bundle, brief: Brief) -> tuple[DataFrame, DataFrame]:
-    """Per scenario and site: each member's rate over the flight, and (second) its chances and first envelope failure."""
+#: Places of the parts of the day, in which failures are looked for.
+_PARTS = {name: place for place, name in enumerate(dates.DAYPARTS)}
+
+
+def member_rates(bundle: Bundle, brief: Brief | tuple[Brief, ...]) -> tuple[DataFrame, DataFrame]:
+    """Per brief, scenario and site: each member's rate over the flight, and (second) its chances and first envelope failure.
+
+    The first failure is that of the first cell, then site, then part of the day, scaling before member rates.
+    Chances to see without anyone to see them are an error.
+    """
+    rows = brief_rows(bundle.sites.sparkSession, brief)
     chances = site_chances(bundle, brief)
-    members = bundle.panel.where(F.col("sector") == brief.sector).join(bundle.affinity, "member_id")
-    pairs = chances.join(members.drop("sector"), ["cell_id", "zone_id", "daypart"])
+    members = bundle.panel.join(rows.select("brief_id", "sector"), "sector").join(bundle.affinity, "member_id")
+    pairs = chances.join(members.drop("sector"), ["brief_id", "cell_id", "zone_id", "daypart"])
     value = F.pow(F.col("zone_affinity") * F.col("time_affinity"), F.col("concentration"))
-    block = ["scenario", "site_id", "daypart", "cell_id"]
+    block = ["brief_id", "scenario", "site_id", "daypart", "cell_id"]
     scaled = pairs.withColumn("v", value).withColumn("__base", F.sum(F.col("weight") * F.col("v")).over(Window.partitionBy(*block)))
-    c = F.when(F.col("__base") > 0, F.col("chances") / F.col("__base")).otherwise(0.0)
+    none = (F.col("chances") > 0) & (F.col("__base") <= 0)
+    c = F.when(none, F.raise_error(F.lit("ZERO_PANEL_PROPENSITY_DENOMINATOR")).cast("double")).when(F.col("__base") != 0, F.col("chances") / F.col("__base")).otherwise(0.0)
     scaled = scaled.withColumn("c", c).withColumn("rate", F.col("c") * F.col("v"))
-    rates = scaled.groupBy("scenario", "site_id", "member_id", "weight", "qi", "serviceability").agg(F.sum(F.col("rate") * F.col("n_blocks")).alias("rate"))
+    rates = scaled.groupBy("brief_id", "scenario", "site_id", "member_id", "weight", "qi", "serviceability").agg(F.sum(F.col("rate") * F.col("n_blocks")).alias("rate"))
     scaling = (F.col("chances") > 0) & ((F.col("c") < bundle.min_c) | (F.col("c") > bundle.max_c))
     kind = F.when(scaling, "SCALING_OUTSIDE_ENVELOPE").when(F.col("rate") > bundle.max_rate, "MEMBER_RATE_OUTSIDE_ENVELOPE")
-    each = scaled.groupBy("scenario", "site_id", "site_ord", "daypart", "cell_id", "cell_ord").agg(F.first(F.col("chances") * F.col("n_blocks")).alias("chances"), F.min(F.when(kind.isNotNull(), F.struct("cell_ord", "site_ord", "daypart", F.when(scaling, 0).otherwise(1).alias("k"), kind.alias("code")))).alias("failure"))
-    sums = each.groupBy("scenario", "site_id").agg(F.sum("chances").alias("chances"), F.min("failure").alias("failure"))
+    part = F.element_at(F.create_map(*[F.lit(x) for pair in _PARTS.items() for x in pair]), F.col("daypart")).alias("part")
+    failure = F.min(F.when(kind.isNotNull(), F.struct("cell_ord", "site_ord", part, F.when(scaling, 0).otherwise(1).alias("k"), kind.alias("code")))).alias("failure")
+    each = scaled.groupBy("brief_id", "scenario", "site_id", "site_ord", "daypart", "cell_id", "cell_ord").agg(F.first(F.col("chances") * F.col("n_blocks")).alias("chances"), failure)
+    sums = each.groupBy("brief_id", "scenario", "site_id").agg(F.sum("chances").alias("chances"), F.min("failure").alias("failure"))
     return rates, sums
 
 
-def measure(bundle: Bundle, brief: Brief, packages: DataFrame) -> DataFrame:
-    """Per package and scenario: target chances, reach, influence, serviceable reach, frequency and failure; ``packages`` has package_id and sites (array)."""
+def _keyed(packages: DataFrame) -> DataFrame:
+    return packages if "brief_id" in packages.columns else packages.withColumn("brief_id", F.lit(0))
+
+
+def measure(bundle: Bundle, brief: Brief | tuple[Brief, ...], packages: DataFrame) -> DataFrame:
+    """Per package and scenario: target chances, reach, influence, serviceable reach, frequency and failure; ``packages`` has package_id, sites (array) and, for several briefs, brief_id."""
     rates, sums = member_rates(bundle, brief)
-    sites = packages.select("package_id", F.explode("sites").alias("site_id"))
-    people = sites.join(rates, "site_id").groupBy("package_id", "scenario", "member_id", "weight", "qi", "serviceability").agg(F.sum("rate").alias("rate"))
+    sites = _keyed(packages).select("brief_id", "package_id", F.explode("sites").alias("site_id"))
+    people = sites.join(rates, ["brief_id", "site_id"]).groupBy("brief_id", "package_id", "scenario", "member_id", "weight", "qi", "serviceability").agg(F.sum("rate").alias("rate"))
     p = F.col("weight") * (1 - F.exp(-F.col("rate")))
-    reached = people.groupBy("package_id", "scenario").agg(F.sum(p).alias("reach"), F.sum(p * F.col("qi")).alias("influence_mass"), F.sum(F.col("weight") * F.col("qi")).alias("influence_universe"), F.sum(p * F.col("serviceability")).alias("serviceable_reach"))
-    seen = sites.join(sums, "site_id").groupBy("package_id", "scenario").agg(F.sum("chances").alias("target_chances"), F.min("failure").alias("first"))
-    out = reached.join(seen, ["package_id", "scenario"])
-    frequency = F.when(F.col("reach") > 0, F.col("target_chances") / F.col("reach"))
-    out = out.withColumn("frequency", frequency)
+    key = ["brief_id", "package_id", "scenario"]
+    reached = people.groupBy(*key).agg(F.sum(p).alias("reach"), F.sum(p * F.col("qi")).alias("influence_mass"), F.sum(F.col("weight") * F.col("qi")).alias("influence_universe"), F.sum(p * F.col("serviceability")).alias("serviceable_reach"))
+    seen = sites.join(sums, ["brief_id", "site_id"]).groupBy(*key).agg(F.sum("chances").alias("target_chances"), F.min("failure").alias("first"))
+    out = reached.join(seen, key)
+    out = out.withColumn("frequency", F.when(F.col("reach") > 0, F.col("target_chances") / F.col("reach")))
     code = F.coalesce(F.col("first.code"), F.when(F.col("frequency") > bundle.max_frequency, "FREQUENCY_OUTSIDE_ENVELOPE"))
     out = out.withColumn("failure", code)
     ok = F.col("failure").isNull()
     return out.select(
-        "package_id", "scenario", "target_chances", *[F.when(ok, F.col(c)).alias(c) for c in ("reach", "influence_mass", "serviceable_reach", "frequency")],
+        *key, "target_chances", *[F.when(ok, F.col(c)).alias(c) for c in ("reach", "influence_mass", "serviceable_reach", "frequency")],
         F.when(ok & (F.col("influence_universe") > 0), 100 * F.col("influence_mass") / F.col("influence_universe")).alias("influence_capture"), "failure",
     )
 
 
-def candidate_sets(bundle: Bundle, brief: Brief) -> DataFrame:
-    """package_id and sites of all packages of three to six sites in exactly three zones within the normalisation budget.
+def candidate_sets(bundle: Bundle, brief: Brief | tuple[Brief, ...]) -> DataFrame:
+    """brief_id, package_id and sites of all packages of three to six sites in exactly three zones within the normalisation budget.
 
     Small inventories are enumerated; large ones give each of the best eight zones' one or two best sites.
     """
     spark = bundle.sites.sparkSession
-    if bundle.sites.count() <= MAX_EXHAUSTIVE_SITES:
-        rows = bundle.sites.orderBy("site_ord").select("site_id", "zone_id", "rate").collect()
+    briefs = (brief,) if isinstance(brief, Brief) else brief
+    rows = bundle.sites.orderBy("site_ord").select("site_id", "zone_id", "rate").limit(MAX_EXHAUSTIVE_SITES + 1).collect()
+    if len(rows) <= MAX_EXHAUSTIVE_SITES:
         found = [
-            ("|".join(sorted(s.site_id for s in chosen)), [s.site_id for s in chosen])
+            (b, "|".join(sorted(s.site_id for s in chosen)), [s.site_id for s in chosen])
             for n in range(3, 7)
             for chosen in combinations(rows, n)
-            if len({s.zone_id for s in chosen}) == 3 and sum(s.rate for s in chosen) <= brief.normalization_budget
+            if len({s.zone_id for s in chosen}) == 3
+            for b, each in enumerate(briefs)
+            if sum(s.rate for s in chosen) <= each.normalization_budget
         ]
-        ids, sites = ([x[k] for x in found] for k in (0, 1))
-        return literal_table(spark, {"package_id": ids, "sites": sites}, {"package_id": pa.string(), "sites": pa.list_(pa.string())})
-    w = WEIGHTS[brief.objective]
-    scores = bundle.scores.where(F.col("sector") == brief.sector)
-    cheap = sum((F.col(k) * w[k] for k in "ACPE"), F.lit(0.0)) / sum(w[k] for k in "ACPE")
-    sites = bundle.sites.where(F.col("rate") <= brief.normalization_budget).join(scores, "site_id").select("site_id", "zone_id", "rate", cheap.alias("score"))
-    top = top_per(sites, ["zone_id"], [F.desc("score"), F.col("rate"), F.col("site_id")], 2)
-    zones = top.groupBy("zone_id").agg(F.avg("score").alias("zone_score"), F.array_sort(F.collect_list(F.struct("rank", "site_id", "rate", "score"))).alias("a")).orderBy(F.desc("zone_score"), "zone_id").limit(8)
-    v = zones.select("zone_id", "a", F.explode(F.sequence(F.lit(1), F.size("a"))).alias("n")).select("zone_id", F.slice("a", 1, F.col("n")).alias("a"))
-    x, y, z = (v.select(F.col("zone_id").alias(f"z{k}"), F.col("a").alias(f"a{k}")) for k in range(3))
-    # At most sixteen rows a side.
-    joined = x.join(y, F.col("z0") < F.col("z1")).join(z, F.col("z1") < F.col("z2")).select(F.concat("a0", "a1", "a2").alias("a"))
+        numbers, ids, sites = ([x[k] for x in found] for k in (0, 1, 2))
+        return literal_table(spark, {"brief_id": numbers, "package_id": ids, "sites": sites}, {"brief_id": pa.int32(), "package_id": pa.string(), "sites": pa.list_(pa.string())})
+    asked = brief_rows(spark, briefs)
+    cheap = sum((F.col(k) * F.col(f"w_{k}") for k in "ACPE"), F.lit(0.0)) / sum((F.col(f"w_{k}") for k in "ACPE"), F.lit(0.0))
+    sites = bundle.sites.join(bundle.scores, "site_id").join(asked, "sector").where(F.col("rate") <= F.col("normalization_budget")).select("brief_id", "site_id", "zone_id", "rate", cheap.alias("score"))
+    top = top_per(sites, ["brief_id", "zone_id"], [F.desc("score"), F.col("rate"), F.col("site_id")], 2)
+    zones = top.groupBy("brief_id", "zone_id").agg(F.avg("score").alias("zone_score"), F.array_sort(F.collect_list(F.struct("rank", "site_id", "rate", "score"))).alias("a"))
+    zones = top_per(zones, ["brief_id"], [F.desc("zone_score"), F.col("zone_id")], 8)
+    v = zones.select("brief_id", "zone_id", "a", F.explode(F.sequence(F.lit(1), F.size("a"))).alias("n")).select("brief_id", "zone_id", F.slice("a", 1, F.col("n")).alias("a"))
+    x, y, z = (v.select("brief_id", F.col("zone_id").alias(f"z{k}"), F.col("a").alias(f"a{k}")) for k in range(3))
+    # At most sixteen rows a side and brief.
+    joined = x.join(y, "brief_id").where("z0 < z1").join(z, "brief_id").where("z1 < z2").select("brief_id", F.concat("a0", "a1", "a2").alias("a"))
     total = lambda f: F.aggregate("a", F.lit(0.0), lambda acc, e: acc + e[f])
-    sized = joined.select(F.transform("a", lambda e: e["site_id"]).alias("sites"), total("rate").alias("cost"), (total("score") / F.size("a")).alias("score")).where(F.col("cost") <= brief.normalization_budget)
+    sized = joined.select("brief_id", F.transform("a", lambda e: e["site_id"]).alias("sites"), total("rate").alias("cost"), (total("score") / F.size("a")).alias("score"))
+    sized = sized.join(asked.select("brief_id", "normalization_budget"), "brief_id").where(F.col("cost") <= F.col("normalization_budget"))
     named = sized.withColumn("package_id", F.array_join(F.array_sort("sites"), "|"))
-    return named.orderBy(F.desc("score"), "cost", "package_id").limit(512).select("package_id", "sites")
+    return top_per(named, ["brief_id"], [F.desc("score"), F.col("cost"), F.col("package_id")], 512).select("brief_id", "package_id", "sites")
 
 
-def candidates(bundle: Bundle, brief: Brief, extra: DataFrame | None = None) -> DataFrame:
+def candidates(bundle: Bundle, brief: Brief | tuple[Brief, ...], extra: DataFrame | None = None) -> DataFrame:
     """All candidate packages with delivery, pillars, fit, validity and rank.
 
     Packages that cannot fly are left out unless none can.  ``extra`` packages are
     measured against the same cohort without being part of it.
     """
+    asked = brief_rows(bundle.sites.sparkSession, brief)
     sets = candidate_sets(bundle, brief).withColumn("extra", F.lit(False))
-    facts = bundle.sites.join(bundle.scores.where(F.col("sector") == brief.sector).drop("sector"), "site_id").withColumn("flies", flight_compatible(brief.flight_start, brief.flight_end))
+    can_fly = F.col("available") & (F.col("available_from") <= F.col("flight_start")) & (F.col("available_to") >= F.col("flight_end"))
+    facts = bundle.sites.join(bundle.scores, "site_id").join(asked.select("brief_id", "sector", "flight_start", "flight_end"), "sector").withColumn("flies", can_fly).drop("sector", "flight_start", "flight_end")
     if extra is not None:
-        sets = sets.unionByName(extra.withColumn("extra", F.lit(True)))
-    each = sets.select("package_id", "extra", F.explode("sites").alias("site_id")).join(facts, "site_id")
-    summed = each.groupBy("package_id", "extra").agg(
+        sets = sets.unionByName(_keyed(extra).select("brief_id", "package_id", "sites", F.lit(True).alias("extra")))
+    each = sets.select("brief_id", "package_id", "extra", F.explode("sites").alias("site_id")).join(facts, ["brief_id", "site_id"])
+    own = ["brief_id", "package_id", "extra"]
+    summed = each.groupBy(*own).agg(
         F.sum("rate").alias("cost"), F.count(F.lit(1)).alias("n_sites"), F.countDistinct("zone_id").alias("n_zones"), *[F.avg(k).alias(k) for k in "ACPE"], F.bool_and("flies").alias("flies"), F.bool_and("available").alias("available")
     )
-    summed = summed.withColumn("__any", F.max(F.col("flies") & ~F.col("extra")).over(Window.partitionBy(F.lit(0)))).where(F.col("flies") | F.col("extra") | ~F.col("__any")).drop("__any")
-    measured = measure(bundle, brief, sets).withColumn("delivery", F.col(DELIVERY[brief.objective]))
-    range_ = measured.groupBy("package_id").agg(*[F.max(F.when(F.col("scenario") == s, F.col("delivery"))).alias(f"delivery_{s}") for s in ("low", "base", "high")], F.min("failure").alias("failure"))
+    of_brief = Window.partitionBy("brief_id")
+    summed = summed.withColumn("__any", F.max(F.col("flies") & ~F.col("extra")).over(of_brief)).where(F.col("flies") | F.col("extra") | ~F.col("__any")).drop("__any")
+    # An extra package may be one of the candidates as well; it is measured once.
+    measured = measure(bundle, brief, sets.select("brief_id", "package_id", "sites").dropDuplicates(["brief_id", "package_id"]) if extra is not None else sets)
+    goals = asked.select("brief_id", "objective")
+    metric = F.when(F.col("objective") == "broad_reach", F.col(DELIVERY["broad_reach"]))
+    for objective in ("influential_core", "near_conversion"):
+        metric = metric.when(F.col("objective") == objective, F.col(DELIVERY[objective]))
+    measured = measured.join(goals, "brief_id").withColumn("delivery", metric)
+    range_ = measured.groupBy("brief_id", "package_id").agg(*[F.max(F.when(F.col("scenario") == s, F.col("delivery"))).alias(f"delivery_{s}") for s in ("low", "base", "high")], F.min("failure").alias("failure"))
     coherent = (F.col("delivery_low") <= F.col("delivery_base")) & (F.col("delivery_base") <= F.col("delivery_high"))
     # Equal deliveries must compare equal whatever order their sums ran in.
-    joined = summed.join(range_, "package_id").withColumn("delivery", F.when(coherent, F.round("delivery_base", 6)))
+    joined = summed.join(range_, ["brief_id", "package_id"]).withColumn("delivery", F.when(coherent, F.round("delivery_base", 6)))
     cohort = ~F.col("extra") & F.col("delivery").isNotNull()
-    w = Window.partitionBy(F.lit(0)).orderBy("delivery").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("delivery")
-    all_rows = Window.partitionBy(F.lit(0))
-    upto, equal, n = F.count_if(cohort).over(w), F.count_if(cohort).over(same), F.count_if(cohort).over(all_rows)
+    w = of_brief.orderBy("delivery").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same = Window.partitionBy("brief_id", "delivery")
+    upto, equal, n = F.count_if(cohort).over(w), F.count_if(cohort).over(same), F.count_if(cohort).over(of_brief)
     scored = joined.withColumn("D", F.when(F.col("delivery").isNotNull() & (n > 0), 100.0 * (upto - 0.5 * equal) / n))
-    wt = WEIGHTS[brief.objective]
-    scored = scored.withColumn("fit", F.round(sum((F.col(k) * wt[k] for k in "ADCPE"), F.lit(0.0)) / 100, 9))
+    scored = scored.join(asked.select("brief_id", "budget", "normalization_budget", *[f"w_{k}" for k in "ADCPE"]), "brief_id")
+    scored = scored.withColumn("fit", F.round(sum((F.col(k) * F.col(f"w_{k}") for k in "ADCPE"), F.lit(0.0)) / 100, 9))
     reasons = F.array_compact(
         F.array(
-            F.when(~F.col("n_sites").between(3, 6), "SITE_COUNT_OUTSIDE_3_TO_6"), F.when(F.col("n_zones") != 3, "EXACTLY_THREE_ZONES_REQUIRED"), F.when(F.col("cost") > brief.budget, "BUDGET_EXCEEDED"),
-            F.when(F.col("cost") > brief.normalization_budget, "NORMALIZATION_ENVELOPE_EXCEEDED"), F.when(~F.col("available"), "SITE_UNAVAILABLE"), F.when(~F.col("flies"), "SITE_UNAVAILABLE_FOR_FLIGHT"),
+            F.when(~F.col("n_sites").between(3, 6), "SITE_COUNT_OUTSIDE_3_TO_6"), F.when(F.col("n_zones") != 3, "EXACTLY_THREE_ZONES_REQUIRED"), F.when(F.col("cost") > F.col("budget"), "BUDGET_EXCEEDED"),
+            F.when(F.col("cost") > F.col("normalization_budget"), "NORMALIZATION_ENVELOPE_EXCEEDED"), F.when(~F.col("available"), "SITE_UNAVAILABLE"), F.when(~F.col("flies"), "SITE_UNAVAILABLE_FOR_FLIGHT"),
         )
-    )
+    )
     context = F.when(F.col("fit").isNull(), (F.col("A") + F.col("C") + F.col("P") + F.col("E")) / 4)
     scored = scored.withColumns({"reasons": reasons, "context_score": context}).withColumn("valid", F.size("reasons") == 0)
-    order = [F.desc("valid"), F.when(~F.col("valid"), F.size("reasons")), F.when(~F.col("valid"), F.greatest(F.lit(0.0), F.col("cost") - brief.budget)), F.desc_nulls_last("fit"), F.desc_nulls_last("context_score"), F.col("cost"), F.col("package_id")]
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("extra").orderBy(*order)))
+    order = [
+        F.desc("valid"), F.when(~F.col("valid"), F.size("reasons")), F.when(~F.col("valid"), F.greatest(F.lit(0.0), F.col("cost") - F.col("budget"))), F.desc_nulls_last("fit"), F.desc_nulls_last("context_score"), F.col("cost"), F.col("package_id"),
+    ]
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("brief_id", "extra").orderBy(*order)))
+    return ranked.drop("budget", "normalization_budget", *[f"w_{k}" for k in "ADCPE"])
 
 
 def options(ranked: DataFrame) -> DataFrame:
-    """Best overall, maximum delivery and budget smart, none twice; invalid packages only where no valid one is left.
+    """Per brief best overall, maximum delivery and budget smart, none twice; invalid packages only where no valid one is left.
 
     Each pick is the first of an ordered window from which the earlier picks are
     moved to the end, so the candidates are computed once.
     """
-    rows = ranked.where(~F.col("extra")).select("package_id", "cost", "fit", "delivery", "valid", "rank", F.coalesce("fit", "context_score").alias("score"))
+    rows = ranked.where(~F.col("extra")).select("brief_id", "package_id", "cost", "fit", "delivery", "valid", "rank", F.coalesce("fit", "context_score").alias("score"))
 
     def first(column: str, *order: Column) -> Column:
-        return F.first(column).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return F.first(column).over(Window.partitionBy("brief_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
     rows = rows.withColumns({"best": first("package_id", F.col("rank")), "top": first("score", F.col("rank"))})
     taken = F.col("package_id") == F.col("best")
@@ -262,7 +319,7 @@ def options(ranked: DataFrame) -> DataFrame:
     near = F.col("score") >= F.col("top") - GUARDRAIL
     rows = rows.withColumn("budget", first("package_id", taken, F.desc(near), F.desc("valid"), F.when(near, F.col("cost")), F.col("rank")))
     style = F.when(F.col("package_id") == F.col("best"), "best_overall").when(F.col("package_id") == F.col("maximum"), "maximum_delivery").when(F.col("package_id") == F.col("budget"), "budget_smart")
-    return rows.select(style.alias("style"), "package_id", "cost", "fit", "delivery").where("style IS NOT NULL")
+    return rows.select("brief_id", style.alias("style"), "package_id", "cost", "fit", "delivery").where("style IS NOT NULL")
 
 
 def leave_one_zone_out(bundle: Bundle, brief: Brief, packages: DataFrame) -> DataFrame:
@@ -353,22 +410,17 @@ SELECT package_id, scenario, round(tc, 3) AS target_chances, round(reach, 3) AS
 """
 
 
+def _sector_names(df: DataFrame) -> DataFrame:
+    return df.withColumn("sector", F.element_at(F.array(*[F.lit(b.sector) for b in BRIEFS]), F.col("brief_id") + 1)).drop("brief_id")
+
+
 def plan_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    bundle = demo_bundle(spark)
-    found = None
-    for brief in BRIEFS:
-        part = candidates(bundle, brief).select(F.lit(brief.sector).alias("sector"), "package_id", "cost", F.round("delivery", 3).alias("delivery"), F.round("fit", 6).alias("fit"), "valid", F.array_join("reasons", ",").alias("reasons"), "rank")
-        found = part if found is None else found.union(part)
-    return found
+    found = _sector_names(candidates(demo_bundle(spark), BRIEFS))
+    return found.select("sector", "package_id", "cost", F.round("delivery", 3).alias("delivery"), F.round("fit", 6).alias("fit"), "valid", F.array_join("reasons", ",").alias("reasons"), "rank")
 
 
 def plan_options(spark: SparkSession, sf: str) -> DataFrame:
-    bundle = demo_bundle(spark)
-    found = None
-    for brief in BRIEFS:
-        part = options(candidates(bundle, brief)).withColumn("sector", F.lit(brief.sector))
-        found = part if found is None else found.union(part)
-    return found
+    return _sector_names(options(candidates(demo_bundle(spark), BRIEFS)))
 
 
 def reach_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
