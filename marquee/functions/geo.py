@@ -40,11 +40,33 @@ def in_own_cell(df: DataFrame, lon: str, lat: str, size: float) -> DataFrame:
     return df.withColumns({"gx": cell(F.col(lon), size), "gy": cell(F.col(lat), size)})
 
 
+#: How many radii (or minutes) each context takes, and their bounds.
+LIMITS = {"vector": (6, 1, 5_000), "settlement": (8, 50, 5_000), "population": (8, 1, 10_000), "minutes": (8, 1, 120)}
+
+
+def context_radii(family: str, values: list[float]) -> list[float]:
+    return radii(values, *LIMITS[family])
+
+
 def cell_size(metres: float, latitude: float = 10.0) -> float:
     """Degrees that span ``metres`` both ways up to this latitude."""
     return metres / (DEGREE * math.cos(math.radians(latitude)))
 
 
+def up_to_latitude(df: DataFrame, lat: str, most: float) -> DataFrame:
+    """The rows; one further from the equator than ``most`` is an error, since cells would be too narrow there."""
+    ok = F.when(F.abs(F.col(lat)) > most, F.raise_error(F.lit("LATITUDE_BEYOND_CELLS")).cast("double")).otherwise(F.col(lat))
+    return df.withColumn(lat, ok)
+
+
+def radii(values: list[float], most: int, low: float, high: float) -> list[float]:
+    """Distinct radii in ascending order; none, too many, or one outside the bounds is an error."""
+    found = sorted(set(values))
+    if not 1 <= len(found) <= most or found[0] < low or found[-1] > high or found[0] <= 0:
+        raise ValueError("RADII_INVALID")
+    return found
+
+
 def box_covers(lon: Column, lat: Column, metres: Column, west: float, south: float, east: float, north: float) -> Column:
     """Whether a circle lies within a box."""
     dlat = metres / DEGREE

@@ -40,32 +40,38 @@ def placement_rows(rows: DataFrame, month_first: bool = False, superseded_years:
 
 #: The names under which uploads give each field.
 ALIASES = {
-    "asset_id": ("asset_id", "billboard id", "asset id", "site id", "id"),
-    "address": ("address", "location address", "site address", "location"),
+    "asset_id": ("asset id", "billboard id", "site id", "face id"),
+    "address": ("address", "location address", "site address"),
     "latitude": ("latitude", "lat"),
-    "longitude": ("longitude", "lon", "lng", "long"),
-    "supplier": ("supplier", "owner", "media owner", "vendor"),
-    "format": ("format", "board type", "media format"),
-    "rate": ("rate", "monthly rate", "price", "cost"),
-    "person_name": ("person name", "contact name", "contact person"),
+    "longitude": ("longitude", "lng", "lon"),
+    "coordinate_accuracy_m": ("coordinate accuracy m", "coordinate accuracy metres", "location accuracy m"),
+    "supplier": ("supplier", "owner", "media owner"),
+    "format": ("format", "media format"),
+    "rate": ("rate", "price", "cost"),
+    "orientation": ("orientation", "travel direction", "facing"),
+    "spatial_rights": ("coordinate source", "spatial rights", "location source"),
+    "spatial_license_id": ("spatial license id", "coordinate attestation id", "location license id"),
+    "source_artifact_id": ("source artifact id", "source file id", "location source id"),
+    "person_name": ("person name", "contact name", "resident name"),
 }
 MIN_SIMILARITY = 0.6
 
 
 def map_headers(headers: list[str]) -> dict[str, tuple[str, float, bool]]:
-    """header -> (field, similarity, confirmed): an exact name is confirmed, otherwise the most similar by shared words, if similar enough."""
-    words = lambda s: {w for w in "".join(c if c.isalnum() else " " for c in s.lower()).split()}
+    """header -> (field, similarity, confirmed): an exact name, whatever its case, hyphens or underscores, is confirmed; otherwise the most similar by shared words, if similar enough."""
+    plain = lambda s: " ".join(s.lower().replace("_", " ").replace("-", " ").split())
+    names = {name: field for field, aliases in ALIASES.items() for name in aliases}
     found = {}
     for header in headers:
-        plain = " ".join(header.lower().replace("_", " ").split())
-        exact = next((f for f, names in ALIASES.items() if plain in {n.replace("_", " ") for n in names}), None)
-        if exact:
-            found[header] = (exact, 1.0, True)
+        text = plain(header)
+        if text in names:
+            found[header] = (names[text], 1.0, True)
             continue
-        scores = [(len(words(header) & words(n)) / max(1, len(words(header) | words(n))), f) for f, names in ALIASES.items() for n in names]
-        best, field = max(scores, key=lambda x: x[0])
-        if best >= MIN_SIMILARITY:
-            found[header] = (field, best, False)
+        mine = set(text.split())
+        likeness = {name: len(mine & set(name.split())) / len(mine | set(name.split())) for name in names}
+        best = max(likeness, key=likeness.get)
+        if likeness[best] >= MIN_SIMILARITY:
+            found[header] = (names[best], likeness[best], False)
     return found
 
 

@@ -16,8 +16,12 @@ from marquee.operators.heads import first_per
 
 
 def within(left: DataFrame, right: DataFrame, metres: float, max_latitude: float = 15.0) -> DataFrame:
-    """Pairs at most ``metres`` apart, with their ``distance``; ``left`` has lon and lat, ``right`` has to_lon and to_lat."""
+    """Pairs at most ``metres`` apart, with their ``distance``; ``left`` has lon and lat, ``right`` has to_lon and to_lat.
+
+    Cells are sized for ``max_latitude``; a row of ``left`` beyond it is an error.
+    """
     size = geo.cell_size(metres, max_latitude)
+    left = geo.up_to_latitude(left, "lat", max_latitude)
     near = geo.near_cells(left, "lon", "lat", size)
     own = geo.in_own_cell(right, "to_lon", "to_lat", size)
     pairs = near.join(own, ["gx", "gy"]).drop("gx", "gy")
@@ -97,13 +101,14 @@ def segment_measures(pairs: DataFrame) -> DataFrame:
 MAJOR_ROADS = ("motorway", "trunk", "primary", "secondary")
 
 
-def network_context(sites: DataFrame, roads: DataFrame, radii: list[int]) -> DataFrame:
+def network_context(sites: DataFrame, roads: DataFrame, radii: list[int], max_latitude: float = 15.0) -> DataFrame:
     """Per site and radius: roads, connectors, lengths by class, density, and the nearest road and major road.
 
-    ``sites``: site_id, lon, lat.  ``roads``: road_id, road_class, connectors, path.
+    ``sites``: site_id, lon, lat; one beyond ``max_latitude``, for which cells are sized, is an error.  ``roads``: road_id, road_class, connectors, path.
     """
     top = float(max(radii))
-    size = geo.cell_size(top)
+    size = geo.cell_size(top, max_latitude)
+    sites = geo.up_to_latitude(sites, "lat", max_latitude)
     seg = segments(roads.select("road_id", "road_class", "connectors", "path"))
     # A segment stands in every cell that its box touches.
     span = lambda a, b: F.sequence(geo.cell(F.least(a, b), size), geo.cell(F.greatest(a, b), size))

@@ -145,14 +145,14 @@ ATTRIBUTION = "SELECT DISTINCT source, lang FROM documents"
 
 def changed_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Parts that a supplier gained or lost between line items of even and odd orders."""
-    rows = table(spark, sf, "lineitem").where("l_quantity = 50").select("l_suppkey", "l_partkey", (F.col("l_orderkey") % 2).alias("side"))
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_orderkey") % 2).alias("side"))
     sides = rows.groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("side") == 0, F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("side") == 1, F.col("l_partkey"))).alias("b"))
     changed = F.array_sort(F.array_union(F.array_except("a", "b"), F.array_except("b", "a")))
     return sides.select("l_suppkey", F.array_join(F.transform(changed, lambda x: x.cast("string")), ",").alias("changed"))
 
 
 CHANGED_SETS = """
-WITH s AS (SELECT l_suppkey, l_partkey, min(l_orderkey % 2) AS a, max(l_orderkey % 2) AS b FROM lineitem WHERE l_quantity = 50 GROUP BY ALL)
+WITH s AS (SELECT l_suppkey, l_partkey, min(l_orderkey % 2) AS a, max(l_orderkey % 2) AS b FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) FILTER (WHERE a = b), '') AS changed FROM s GROUP BY 1
 """
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import geo
-from marquee.operators import heads, spatial
+from marquee.operators import spatial
 from marquee.plans.warehouse import table
 
 RADII = [500, 1000, 2000]
@@ -33,7 +33,7 @@ pairs AS (SELECT *, 2 * 6371008.8::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin
 
 def proximity_250m(spark: SparkSession, sf: str) -> DataFrame:
     pairs = spatial.within(sites(spark, sf), places(spark, sf), 250.0)
-    ranked = heads.top_per(pairs, ["s_suppkey"], [F.round("distance", 6), F.col("c_custkey")], 1_000_000_000)
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("s_suppkey").orderBy(F.round("distance", 6), "c_custkey")))
     return ranked.select("s_suppkey", "c_custkey", F.round("distance", 4).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 

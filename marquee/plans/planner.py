@@ -11,7 +11,7 @@ rather than the whole chain for each package.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import pyarrow as pa
@@ -120,6 +120,25 @@ def demo_bundle(spark: SparkSession) -> Bundle:
     return Bundle(sites, movement, shares, scores, panel, affinity, scenarios)
 
 
+def repeated_bundle(bundle: Bundle, n: int) -> Bundle:
+    """The inventory with ``n`` faces made by going through its own again and again, at slightly other rates and in new suppliers' hands."""
+    spark = bundle.sites.sparkSession
+    own = bundle.sites.count()
+    copy = spark.range(n).select(F.col("id").cast("int").alias("k"), (F.col("id") % own).cast("int").alias("site_ord"))
+    names = bundle.sites.select("site_ord", F.col("site_id").alias("source")).join(copy, "site_ord").select("source", "k", F.concat_ws("-", "source", F.lit("copy"), "k").alias("copy_id"))
+
+    def copied(df: DataFrame, **changed: Column) -> DataFrame:
+        out = df.join(F.broadcast(names), F.col("site_id") == F.col("source")).withColumns({"site_id": F.col("copy_id"), **changed})
+        return out.drop("source", "copy_id", "k")
+
+    sites = copied(bundle.sites, site_ord=F.col("k"), supplier_id=F.concat(F.lit("benchmark-supplier-"), F.col("k") % 12), rate=F.col("rate") + F.col("k") % 7 * 10_000)
+    return replace(bundle, sites=sites, movement=copied(bundle.movement), shares=copied(bundle.shares), scores=copied(bundle.scores))
+
+
+#: The brief of the published planner timings.
+BENCHMARK = Brief("fmcg", "broad_reach", "pm", 100_000_000.0, 150_000_000.0)
+
+
 def flight_compatible(start: str, end: str) -> Column:
     return F.col("available") & (F.col("available_from") <= F.lit(start).cast("date")) & (F.col("available_to") >= F.lit(end).cast("date"))
 

@@ -145,13 +145,15 @@ SELECT entity_key, first(literal ORDER BY n DESC, literal) AS literal, sum(n)::B
 
 
 def unique_state_anchor(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_nationkey").cast("long").alias("state"), F.col("s_name").alias("airport"))
+    """Suppliers as airports of their nation; every third is alone in a state of its own."""
+    state = F.when(F.col("s_suppkey") % 3 == 0, 1000 + F.col("s_suppkey")).otherwise(F.col("s_nationkey")).cast("long")
+    rows = table(spark, sf, "supplier").select(state.alias("state"), F.col("s_name").alias("airport"))
     return relational.unique_anchor(rows, "state", "airport")
 
 
 UNIQUE_STATE_ANCHOR = """
-SELECT s_nationkey::BIGINT AS state, CASE WHEN count(DISTINCT s_name) = 1 THEN min(s_name) END AS airport, CASE WHEN count(DISTINCT s_name) = 1 THEN 'anchored' ELSE 'review' END AS status
-FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY s_nationkey
+SELECT (CASE WHEN s_suppkey % 3 = 0 THEN 1000 + s_suppkey ELSE s_nationkey END)::BIGINT AS state, CASE WHEN count(DISTINCT s_name) = 1 THEN min(s_name) END AS airport, CASE WHEN count(DISTINCT s_name) = 1 THEN 'anchored' ELSE 'review' END AS status
+FROM supplier GROUP BY 1
 """
 
 
