@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.operators import adjust, assertions, checks, parse, policies, site_context
+from marquee.operators import adjust, assertions, checks, parse, policies, runs, site_context
+from marquee.operators.heads import top_per
 from marquee.plans.rules import SECTORS, listed, pick
 from marquee.plans.warehouse import table
 
@@ -143,8 +144,6 @@ SELECT k AS o_orderkey, CASE WHEN NOT (h * 0.5::DOUBLE <= CASE WHEN k % 9 = 0 TH
 
 def adjustment_options(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as faces with their nations as zones; a plan per region with the region's three lowest keys."""
-    from marquee.operators.heads import top_per
-
     sites = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("site_id"), F.col("s_nationkey").cast("string").alias("zone_id"), F.col("s_acctbal").alias("rate"), (F.col("s_suppkey") % 5 != 0).alias("flies"))
     regions = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("zone_id"), F.col("n_regionkey").alias("plan_id"))
     three = top_per(sites.join(regions, "zone_id"), ["plan_id"], [F.col("site_id").cast("long")], 3)
@@ -297,3 +296,59 @@ ENTRIES = {
     "licence_coverage": (licence_coverage, LICENCE_COVERAGE),
     "flag_counts": (flag_counts, FLAG_COUNTS),
 }
+
+
+def fact_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items of the latest run's files, with six look-ups by type and literal, counted by what they found."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")
+    k = F.col("l_suppkey")
+    facts = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat(F.lit("src"), k % 4).alias("source_id"), F.concat(F.lit("sha"), F.col("l_partkey") % 3).alias("sha256"), F.col("o_orderpriority").alias("state"), F.col("l_returnflag").alias("city"), F.col("o_orderstatus").alias("category"),
+        F.col("l_linestatus").alias("format_category"), F.concat(F.lit("s"), k % 10).alias("advertiser"), F.concat(F.lit("b"), F.col("l_partkey") % 10).alias("brand"),
+    )
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("n"))
+    made = nations.select(F.concat(F.lit("run"), "n").alias("run_id"), F.when(F.col("n") % 4 == 3, "failed").otherwise("succeeded").alias("status"), F.when(F.col("n") % 5 != 0, F.col("n") % 7).alias("completed_at"))
+    run_sources = nations.select(F.concat(F.lit("run"), "n").alias("run_id"), F.inline(F.array(*[F.struct(F.lit(f"src{s}").alias("source_id"), F.concat(F.lit("sha"), (F.col("n") + s) % 3).alias("sha256")) for s in range(3)])))
+    literals = {"state": ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"), "city": ("A", "N"), "category": ("F", "O"), "format": ("F",), "advertiser": tuple(f"s{i}" for i in range(0, 10, 2)), "brand": tuple(f"b{i}" for i in range(7))}
+    entries = [(v, t, s, f"{t}:{s}") for t, names in literals.items() for s in names for v in ("v1", "v2") if v == "v2" or s < "F"]
+    aliases = spark.createDataFrame(entries, "resolver_version string, entity_type string, source_literal string, entity_id string")
+    found = runs.with_entities(runs.of_run(facts, run_sources, runs.latest_run(made)), aliases, "v2")
+    names = [f"{c}_entity_id" for c, _ in runs.LOOKUPS]
+    return found.groupBy("source_id", "sha256").agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(n).alias(n.replace("_entity_id", "_found")) for n in names])
+
+
+FACT_ENTITIES = """
+WITH r AS (SELECT n_nationkey AS n FROM nation WHERE n_nationkey % 4 <> 3 ORDER BY CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey % 7 END DESC NULLS LAST, 'run' || n_nationkey DESC LIMIT 1),
+x AS (SELECT s, (n + s) % 3 AS h FROM r, (SELECT unnest([0, 1, 2]) AS s)),
+f AS (SELECT l_suppkey % 4 AS s, l_partkey % 3 AS h, o_orderpriority AS p, l_returnflag AS c, o_orderstatus AS g, l_linestatus AS t, l_suppkey % 10 AS a, l_partkey % 10 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT 'src' || s AS source_id, 'sha' || h AS sha256, count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE p IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'))::BIGINT AS state_found, count(*) FILTER (WHERE c IN ('A', 'N'))::BIGINT AS city_found,
+  count(*) FILTER (WHERE g IN ('F', 'O'))::BIGINT AS category_found, count(*) FILTER (WHERE t = 'F')::BIGINT AS format_category_found, count(*) FILTER (WHERE a % 2 = 0)::BIGINT AS advertiser_found, count(*) FILTER (WHERE b < 7)::BIGINT AS brand_found
+FROM f JOIN x USING (s, h) GROUP BY ALL
+"""
+
+
+def context_bindings(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    packages = table(spark, sf, "orders").select(k.alias("package_id"), (F.col("o_custkey") + F.when(k % 50 == 0, 10_000_000).otherwise(0)).alias("snapshot_id"), F.when(k % 17 == 0, "f2").otherwise("f1").alias("feature_version"), F.lit("v2").alias("resolver_version"), F.col("o_custkey").cast("string").alias("source_fingerprint"), F.when(k % 23 == 0, "x").alias("resolution_fingerprint"))
+    snapshots = table(spark, sf, "customer").select(F.col("c_custkey").alias("snapshot_id"), F.lit("f1").alias("feature_version"), F.when(F.col("c_custkey") % 31 != 0, "v2").alias("resolver_version"), F.col("c_custkey").cast("string").alias("source_fingerprint"), F.lit(None).cast("string").alias("resolution_fingerprint"))
+    return runs.binding_failures(packages, snapshots)
+
+
+CONTEXT_BINDINGS = """
+SELECT o_orderkey AS package_id, CASE WHEN o_orderkey % 50 = 0 OR c_custkey IS NULL THEN 'CALIBRATION_CONTEXT_SNAPSHOT_NOT_FOUND' ELSE 'CALIBRATION_CONTEXT_BINDING_MISMATCH' END AS reason
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 50 = 0 OR c_custkey IS NULL OR o_orderkey % 17 = 0 OR o_orderkey % 23 = 0 OR c_custkey % 31 = 0
+"""
+
+
+def run_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit row of a run with three outputs."""
+    found = runs.run_counts("run-1", {n: table(spark, sf, n) for n in ("orders", "nation", "supplier")})
+    return found.select("run_id", "status", F.to_json("counts").alias("counts"))
+
+
+RUN_AUDIT = """
+SELECT 'run-1' AS run_id, 'succeeded' AS status, '{"nation":' || (SELECT count(*) FROM nation) || ',"orders":' || (SELECT count(*) FROM orders) || ',"supplier":' || (SELECT count(*) FROM supplier) || '}' AS counts
+"""
+
+ENTRIES |= {"fact_entities": (fact_entities, FACT_ENTITIES), "context_bindings": (context_bindings, CONTEXT_BINDINGS), "run_audit": (run_audit, RUN_AUDIT)}

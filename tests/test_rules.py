@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.operators import adjust, assertions, briefs, checks, delivery, evidence, parse, policies, survey, uploads
+from marquee.operators import adjust, assertions, briefs, checks, delivery, evidence, parse, policies, runs, survey, uploads
 from marquee.plans import planner
 from marquee.sources import registry
 
@@ -178,3 +178,38 @@ def test_copy_text_and_swaps(spark, tmp_path):
     registry.swap_folder(frame.limit(1), target)
     assert spark.read.parquet(target).count() == 1 and sorted(p.name for p in tmp_path.iterdir()) == ["copy", "table"]
     assert frame.select(registry.canonical_rows(frame).alias("j")).orderBy(F.desc("j")).first().j == '{"a":null,"d":"2026-01-02","t":null,"x":null}'
+
+
+def test_runs_and_field_maps(spark):
+    rows = [("a", "succeeded", 3), ("b", "succeeded", 5), ("c", "succeeded", 5), ("d", "failed", 9), ("e", "succeeded", None)]
+    assert runs.latest_run(spark.createDataFrame(rows, "run_id string, status string, completed_at int")).first().run_id == "c"
+    assert runs.field_map({"building_count": " n ", "place_code": None}) == {"feature_id": "$fid", "building_count": "n"}
+    for wrong, code in (({"x": "y"}, "KEY_INVALID"), ({"place_code": " "}, "VALUE_REQUIRED"), ({"place_code": "n", "building_count": "n"}, "DUPLICATE")):
+        with pytest.raises(ValueError, match=code):
+            runs.field_map(wrong)
+    frame = spark.createDataFrame([("7", "q")], "n string, other string")
+    r = runs.mapped_fields(frame, runs.field_map({"building_count": "n"}), F.lit("row-1")).first()
+    assert (r.feature_id, r.building_count, r.place_code) == ("row-1", "7", None)
+    assert runs.without_absent({"a": ..., "b": [1, ..., {"c": ...}]}) == {"b": [1, None, {}]} and runs.digest({"b": 1, "a": 2}) == runs.digest({"a": 2, "b": 1})
+    lock = spark.createDataFrame([("t", "1")], "table string, revision string")
+    assert runs.pinned(spark.createDataFrame([("t", "1"), ("t", "2")], "table string, revision string"), lock).first().revision == "2"
+    facts = spark.createDataFrame([("x", None), ("x", "e")], "a_entity_id string, b_entity_id string")
+    assert [tuple(r) for r in runs.unmapped(facts, ("a", "b")).collect()] == [("b", 1)]
+
+
+def test_context_artifact_must_be_of_the_same_snapshot(spark):
+    art = lambda d, u="context_only": F.struct(F.lit(d).alias("snapshot_digest"), F.lit(u).alias("decision_use"))
+    artifacts = F.create_map(F.lit("p"), art("d1"), F.lit("q"), art("d2"), F.lit("r"), art("d1", "any"))
+    got = [one(spark, x=runs.resolved_artifact(F.lit(p).cast("string"), artifacts, art("d1"))).x for p in ("p", "q", "r", None)]
+    assert [x.failure for x in got] == [None, "SURVEY_SEGMENT_SOURCE_SNAPSHOT_MISMATCH", "SURVEY_SEGMENT_DECISION_USE_INVALID", None] and got[3].artifact.snapshot_digest == "d1"
+
+
+def test_radii_and_latitudes(spark):
+    from marquee.functions import geo
+
+    assert geo.context_radii("vector", [500, 250, 500]) == [250, 500]
+    for family, values in (("vector", []), ("vector", [6000]), ("vector", range(1, 9)), ("settlement", [10])):
+        with pytest.raises(ValueError, match="RADII_INVALID"):
+            geo.context_radii(family, list(values))
+    with pytest.raises(Exception, match="LATITUDE_BEYOND_CELLS"):
+        geo.up_to_latitude(spark.createDataFrame([(20.0,)], "lat double"), "lat", 15.0).collect()
