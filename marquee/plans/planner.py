@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import dates
+from marquee.operators import delivery
 from marquee.operators.heads import top_per
 from marquee.sources.literal import literal_table
 
@@ -232,6 +233,49 @@ def measure(bundle: Bundle, brief: Brief | tuple[Brief, ...], packages: DataFram
     )
 
 
+def site_traffic(bundle: Bundle, brief: Brief | tuple[Brief, ...]) -> DataFrame:
+    """Per brief and site its movement and views over the flight in the base scenario."""
+    rows = brief_rows(bundle.sites.sparkSession, brief)
+    flights = rows.select("brief_id", "flight_start", "flight_end", F.col("daypart").alias("d"))
+    blocks = dates.exposure_blocks(flights, "flight_start", "flight_end", "d").groupBy("brief_id", F.col("block_daypart").alias("daypart")).agg(F.count(F.lit(1)).alias("n"))
+    base = F.broadcast(bundle.scenarios.where("scenario = 'base'"))
+    each = bundle.sites.join(bundle.movement, "site_id").join(F.broadcast(blocks), "daypart").join(base)
+    movement = F.col("base_movement") * F.col("movement_mult") * F.col("n")
+    views = movement * F.least(F.lit(1.0), F.col("visibility") * F.col("visibility_mult")) * F.col("uptime") * F.col("share_of_time")
+    return each.groupBy("brief_id", "site_id").agg(F.sum(movement).alias("movement"), F.sum(views).alias("views"))
+
+
+def estimate(bundle: Bundle, brief: Brief | tuple[Brief, ...], packages: DataFrame, inputs: DataFrame) -> DataFrame:
+    """What may be claimed of each package and what it delivers.
+
+    ``inputs`` has a row per brief_id: highest (the ceiling of ``claim``), reach_ok, influence_ok and serviceability_ok
+    (``delivery.compatible_inputs``), activity, and evidence grades reach_grade, influence_grade, serviceability_grade.
+    Numbers that may not be claimed are null; ``fingerprint`` tells equal estimates, ``comparability_key`` comparable ones.
+    """
+    asked = brief_rows(bundle.sites.sparkSession, brief)
+    keyed = _keyed(packages).select("brief_id", "package_id", "sites")
+    c = F.col
+    measured = measure(bundle, brief, keyed).join(F.broadcast(inputs), "brief_id")
+    shown = delivery.permitted_scenario(c("highest"), c("failure"), c("influence_ok"), c("serviceability_ok"))
+    measured = measured.select("brief_id", "package_id", "scenario", *[v.alias(n) for n, v in shown.items()])
+    names = ("target_chances", "reach", "influence_mass", "influence_capture", "serviceable_reach", "frequency", "failure")
+    at = lambda n: F.array(*[F.max(F.when(c("scenario") == s, c(n))) for s in ("low", "base", "high")]).alias(n)
+    wide = measured.groupBy("brief_id", "package_id").agg(*[at(n) for n in names])
+    traffic = keyed.select("brief_id", "package_id", F.explode("sites").alias("site_id")).join(site_traffic(bundle, brief), ["brief_id", "site_id"])
+    traffic = traffic.groupBy("brief_id", "package_id").agg(F.sum("movement").alias("movement"), F.sum("views").alias("views"))
+    rows = wide.join(traffic, ["brief_id", "package_id"]).join(keyed, ["brief_id", "package_id"]).join(F.broadcast(inputs), "brief_id").join(asked.select("brief_id", "sector", "objective", "daypart", "flight_start", "flight_end"), "brief_id")
+    claimed = delivery.selected_claim(c("highest"), c("reach"), F.get("target_chances", F.lit(1)), c("views"), c("movement"), c("activity"))
+    rows = rows.withColumn("claim", claimed)
+    ok = {"reach": c("reach_ok"), "influence": c("influence_ok"), "serviceability": c("serviceability_ok")}
+    grades = {n: c(f"{n}_grade") for n in ("reach", "influence", "serviceability")}
+    values = {"target_reach": c("reach"), "influence_weighted_reached_mass": c("influence_mass"), "serviceable_target_reach": c("serviceable_reach")}
+    basis = {n: c(n).cast("string") for n in ("sector", "objective", "daypart", "flight_start", "flight_end", "highest")}
+    key = delivery.comparability_key(basis)
+    found = delivery.objective_delivery(c("objective"), ok, c("claim.kind"), grades, values)
+    print_ = F.sha2(delivery.comparability_key(basis | {"sites": F.array_join(F.array_sort("sites"), "|"), "values": F.to_json(F.struct(*names), {"ignoreNullFields": "false"})}), 256)
+    return rows.select("brief_id", "package_id", "claim", found.alias("delivery"), *names, key.alias("comparability_key"), print_.alias("fingerprint"))
+
+
 def candidate_sets(bundle: Bundle, brief: Brief | tuple[Brief, ...]) -> DataFrame:
     """brief_id, package_id and sites of all packages of three to six sites in exactly three zones within the normalisation budget.
 
@@ -471,6 +515,15 @@ SELECT package_id, zone AS zone_id, round(greatest(0, v.delivery - w.delivery),
 """
 
 
+PACKAGE_ESTIMATES = f"""
+WITH {PLAN_CTES}, w AS (SELECT mk, s, scenario, reach, CASE objective WHEN 'broad_reach' THEN reach WHEN 'influential_core' THEN im ELSE sr END AS v, tc, NOT bad AND tc / reach <= 12 AS ok FROM r JOIN tc USING (mk, scenario, s) JOIN fb USING (mk, scenario, s) JOIN br USING (s)),
+a AS (SELECT mk, s, bool_and(ok) AS whole, max(reach) FILTER (WHERE scenario = 'base') AS reach, max(tc) FILTER (WHERE scenario = 'base') AS tc, max(v) FILTER (WHERE scenario = 'low') AS lo, max(v) FILTER (WHERE scenario = 'base') AS ba, max(v) FILTER (WHERE scenario = 'high') AS hi FROM w GROUP BY ALL),
+e AS (SELECT *, CASE WHEN NOT whole THEN 'UNIQUE_REACH_UNAVAILABLE' WHEN s = 1 THEN 'INFLUENCE_PROFILE_INCOMPATIBLE' WHEN NOT (lo <= ba AND ba <= hi) THEN 'INCOHERENT_OBJECTIVE_RANGE' END AS reason FROM a)
+SELECT sector, package_id, CASE WHEN whole THEN 'scenario_target_reach' ELSE 'target_ots' END AS claim, round(CASE WHEN whole THEN reach ELSE tc END, 3) AS claim_value, CASE WHEN reason IS NULL THEN round(lo, 3) END AS low, CASE WHEN reason IS NULL THEN round(ba, 3) END AS base, CASE WHEN reason IS NULL THEN round(hi, 3) END AS high, reason
+FROM e JOIN mask USING (mk) JOIN br USING (s) WHERE n BETWEEN 3 AND 6 AND nz = 3 AND cost <= 30000000
+"""
+
+
 def _sector_names(df: DataFrame) -> DataFrame:
     return df.withColumn("sector", F.element_at(F.array(*[F.lit(b.sector) for b in BRIEFS]), F.col("brief_id") + 1)).drop("brief_id")
 
@@ -485,6 +538,20 @@ def plan_options(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("sector", "style", "package_id", "cost", F.round("fit", 6).alias("fit"), F.round("delivery", 3).alias("delivery"))
 
 
+def package_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    """All packages of the three briefs; the second brief has no fitting influence inputs."""
+    bundle = demo_bundle(spark)
+    word, flag = pa.string(), pa.bool_()
+    n = len(BRIEFS)
+    inputs = literal_table(
+        spark,
+        {"brief_id": list(range(n)), "highest": ["scenario_target_reach"] * n, "reach_ok": [True] * n, "influence_ok": [k != 1 for k in range(n)], "serviceability_ok": [True] * n, "activity": [50.0] * n} | {f"{g}_grade": ["D"] * n for g in ("reach", "influence", "serviceability")},
+        {"brief_id": pa.int32(), "highest": word, "reach_ok": flag, "influence_ok": flag, "serviceability_ok": flag, "activity": pa.float64(), "reach_grade": word, "influence_grade": word, "serviceability_grade": word},
+    )
+    found = _sector_names(estimate(bundle, BRIEFS, candidate_sets(bundle, BRIEFS), inputs))
+    return found.select("sector", "package_id", F.col("claim.kind").alias("claim"), F.round("claim.value", 3).alias("claim_value"), *[F.round(f"delivery.{x}", 3).alias(x) for x in ("low", "base", "high")], "delivery.reason")
+
+
 def reach_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
     bundle, brief = demo_bundle(spark), BRIEFS[0]
     return leave_one_zone_out(bundle, brief, candidate_sets(bundle, brief)).select("package_id", "zone_id", F.round("marginal", 3).alias("marginal"))
@@ -495,5 +562,6 @@ ENTRIES = {
     "reach_panel": (reach_panel, REACH_PANEL),
     "plan_candidates": (plan_candidates, PLAN_CANDIDATES),
     "plan_options": (plan_options, PLAN_OPTIONS),
+    "package_estimates": (package_estimates, PACKAGE_ESTIMATES),
     "reach_leave_one_out": (reach_leave_one_out, REACH_LEAVE_ONE_OUT),
 }
