@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import geo
-from marquee.operators import spatial
+from marquee.operators import polygons, spatial
 from marquee.plans.warehouse import table
 
 RADII = [500, 1000, 2000]
@@ -108,3 +108,30 @@ ENTRIES = {
     "bbox_scan": (bbox_scan, BBOX_SCAN),
     "distinct_connectors": (distinct_connectors, DISTINCT_CONNECTORS),
 }
+
+
+def points_in_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' places in squares with a square hole around the suppliers' sites, counted by site and segment."""
+    p = lambda x, y: F.struct((F.col("lon") + x).alias("lon"), (F.col("lat") + y).alias("lat"))
+    square = lambda h: F.array(p(-h, -h), p(h, -h), p(h, h), p(-h, h))
+    shapes = sites(spark, sf).select(F.col("s_suppkey").alias("polygon_id"), F.array(square(0.00401), square(0.00101)).alias("rings"))
+    points = places(spark, sf).select("c_custkey", "c_mktsegment", F.col("to_lon").alias("lon"), F.col("to_lat").alias("lat"))
+    return polygons.containing(points, shapes).groupBy("polygon_id", "c_mktsegment").agg(F.count(F.lit(1)).alias("n_places"))
+
+
+POINTS_IN_POLYGONS = """
+WITH s AS (SELECT s_suppkey, 3.30::DOUBLE + ((s_suppkey * 7919) % 1000)::DOUBLE / 10000 AS lon, 6.45::DOUBLE + ((s_suppkey * 104729) % 1000)::DOUBLE / 10000 AS lat FROM supplier),
+c AS (SELECT c_mktsegment, 3.30::DOUBLE + ((c_custkey * 7919) % 1000)::DOUBLE / 10000 AS x, 6.45::DOUBLE + ((c_custkey * 104729) % 1000)::DOUBLE / 10000 AS y FROM customer)
+SELECT s_suppkey AS polygon_id, c_mktsegment, count(*)::BIGINT AS n_places FROM s JOIN c ON greatest(abs(x - lon), abs(y - lat)) <= 0.00401::DOUBLE AND greatest(abs(x - lon), abs(y - lat)) >= 0.00101::DOUBLE GROUP BY ALL
+"""
+
+
+def nearest_planar(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest place of each site by degrees, among those within two kilometres."""
+    found = polygons.nearest_planar(spatial.within(sites(spark, sf), places(spark, sf), 2000.0), ["s_suppkey"], ["c_custkey"])
+    return found.select("s_suppkey", "c_custkey", F.round("distance", 4).alias("distance"))
+
+
+NEAREST_PLANAR = f"WITH {PLACES_SQL} SELECT s_suppkey, c_custkey, round(distance, 4) AS distance FROM pairs WHERE distance <= 2000 QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY sqrt(pow(to_lon - lon, 2) + pow(to_lat - lat, 2)), c_custkey) = 1"
+
+ENTRIES |= {"points_in_polygons": (points_in_polygons, POINTS_IN_POLYGONS), "nearest_planar": (nearest_planar, NEAREST_PLANAR)}

@@ -213,3 +213,22 @@ def test_radii_and_latitudes(spark):
             geo.context_radii(family, list(values))
     with pytest.raises(Exception, match="LATITUDE_BEYOND_CELLS"):
         geo.up_to_latitude(spark.createDataFrame([(20.0,)], "lat double"), "lat", 15.0).collect()
+
+
+def test_polygons(spark, tmp_path):
+    from marquee.operators import polygons
+
+    ring = lambda *c: [{"lon": x, "lat": y} for x, y in c]
+    shape = [ring((0.0, 0.0), (0.01, 0.0), (0.01, 0.01), (0.0, 0.01)), ring((0.004, 0.004), (0.006, 0.004), (0.006, 0.006), (0.004, 0.006))]
+    shapes = spark.createDataFrame([("p", shape)], "polygon_id string, rings array<array<struct<lon:double,lat:double>>>")
+    cases = {"in": (0.002, 0.002), "edge": (0.01, 0.005), "corner": (0.0, 0.0), "hole": (0.005, 0.005), "rim": (0.004, 0.005), "out": (0.0101, 0.005), "far": (0.5, 0.5)}
+    points = spark.createDataFrame([(n, *c) for n, c in cases.items()], "site_id string, lon double, lat double")
+    assert sorted(r.site_id for r in polygons.containing(points, shapes).collect()) == ["corner", "edge", "in", "rim"]
+    near = {r.site_id: r.distance for r in polygons.touching(points, shapes, 50.0).collect()}
+    assert near["in"] == 0 and near["out"] == pytest.approx(11.13, abs=0.02) and near["far"] is None and near["hole"] is None
+    assert {r.site_id: r.distance for r in polygons.touching(points, shapes, 200.0).collect()}["hole"] == pytest.approx(110.6, abs=0.5)
+    path = str(tmp_path / "places")
+    spark.createDataFrame([(i, {"xmin": i / 10, "ymin": 6.0, "xmax": i / 10, "ymax": 6.0}) for i in range(50)], "id int, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>").write.parquet(path)
+    found = polygons.read_places(spark, path, 1.0, 5.0, 2.0, 7.0)
+    assert found.count() == 11 and "PushedFilters: [IsNotNull(bbox.xmin), IsNotNull(bbox.ymin), GreaterThanOrEqual(bbox.xmin,1.0)" in found._jdf.queryExecution().toString().replace("...", "")
+    assert polygons.read_roads(spark, path, 1.0, 5.0, 2.0, 7.0).count() == 11
