@@ -16,6 +16,34 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts]), {"ignoreNullFields": "false"}), 256), 1, 32))
 
 
+#: Fixed value: the version under which derived ids are made.
+RESOLVER = "entity-resolver-v1"
+
+
+def site_id(strict_key: Column) -> Column:
+    return stable_id("site", F.lit(RESOLVER), strict_key)
+
+
+def entity_id(kind: Column, key: Column) -> Column:
+    return stable_id("entity", F.lit(RESOLVER), kind, key)
+
+
+def alias_id(kind: Column, literal: Column) -> Column:
+    return stable_id("alias", F.lit(RESOLVER), kind, literal)
+
+
+def airport_id(name_key: Column) -> Column:
+    return stable_id("airport", F.lit(RESOLVER), name_key)
+
+
+def airport_alias_id(kind: Column, literal: Column) -> Column:
+    return stable_id("airport-alias", F.lit(RESOLVER), kind, literal)
+
+
+def review_id(domain: Column, reason: Column, *identity: Column) -> Column:
+    return stable_id("review", F.lit(RESOLVER), domain, reason, *identity)
+
+
 def fnv1a(text: str) -> str:
     """32-bit FNV-1a of a text's UTF-16 units, as eight hex digits."""
     h = 0x811C9DC5

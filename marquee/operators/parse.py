@@ -108,7 +108,7 @@ def airport_links(names: DataFrame, aliases: DataFrame, anchors: DataFrame) -> D
     return out.select("label", "state", F.coalesce("a.airport", "anchor").alias("airport"), how.alias("method"))
 
 
-SITE_KEY = ("state", "city", "address", "format", "media_owner")
+SITE_KEY = ("state", "city", "address", "board_type", "format")
 
 
 def site_entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,10 +118,17 @@ def site_entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     complete = F.lit(True)
     for c in SITE_KEY:
         complete = complete & F.col(f"__{c}").isNotNull()
-    good = keyed.where(complete).withColumn("site_id", ids.stable_id("site", *[F.col(f"__{c}") for c in SITE_KEY]))
+    good = keyed.where(complete).withColumn("site_id", ids.site_id(F.concat_ws("|", *[F.col(f"__{c}") for c in SITE_KEY])))
     return good.drop(*[f"__{c}" for c in SITE_KEY]), keyed.where(~complete).select(*rows.columns)
 
 
+def representative_sites(sites: DataFrame, order: list[Column]) -> DataFrame:
+    """One row per site_id with the attributes of its first row in an order, and its rows and literals' number."""
+    columns = [c for c in sites.columns if c != "site_id"]
+    key = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)])
+    return sites.groupBy("site_id").agg(F.min_by(F.struct(*columns), key).alias("r"), F.count(F.lit(1)).alias("n_rows")).select("site_id", "r.*", "n_rows")
+
+
 def non_empty_rows(rows: DataFrame) -> DataFrame:
     """Rows of which some cell holds text; ``cells`` is an array of strings."""
     return rows.where(F.exists("cells", lambda x: text.source_text(x).isNotNull()))

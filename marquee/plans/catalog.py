@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.plans import context, governance, governed, places, planner, rules, warehouse
+from marquee.plans import cells, context, governance, governed, places, planner, rules, warehouse
 
-MODULES = (warehouse, places, governance, planner, context, rules, governed)
+MODULES = (warehouse, places, governance, planner, context, rules, governed, cells)
 
 
 def entries() -> dict[str, tuple]:

@@ -124,9 +124,11 @@ def test_headers():
 
 
 def test_sites_and_airports(spark):
-    rows = spark.createDataFrame([(1, "Lagos", "Ikeja", "1 Rd", "Static", "ACME LTD."), (2, " lagos", "IKEJA", "1 rd.", "static", " acme ltd "), (3, "Lagos", "Ikeja", None, "Static", "Acme")], "id int, state string, city string, address string, format string, media_owner string")
+    rows = spark.createDataFrame([(1, "Lagos", "Ikeja", "1 Rd", "Static", "UNI-POLE."), (2, " lagos", "IKEJA", "1 rd.", "static", " uni pole "), (3, "Lagos", "Ikeja", None, "Static", "Wall")], "id int, state string, city string, address string, format string, board_type string")
     good, review = parse.site_entities(rows)
     assert len({r.site_id for r in good.collect()}) == 1 and [r.id for r in review.collect()] == [3]
+    one = parse.representative_sites(good, [F.col("id")]).first()
+    assert (one.id, one.board_type, one.n_rows) == (1, "UNI-POLE.", 2)
     names = spark.createDataFrame([("Murtala Muhammed", "Lagos"), ("LOS", "Lagos"), ("Other", "Lagos"), ("Some", "Abuja")], "label string, state string")
     aliases = spark.createDataFrame([("murtala muhammed", "LOS", 0), ("los", "LOS", 1)], "key string, airport string, rank int")
     anchors = relational.unique_anchor(spark.createDataFrame([("Lagos", "LOS"), ("Abuja", "ABV"), ("Abuja", "XXX")], "state string, airport string"), "state", "airport")
