@@ -43,7 +43,7 @@ def percentile_summary(rows: DataFrame, keys: list[str], value: str, parts: tupl
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n_rated"), F.min(v).alias("lo"), *found, F.max(v).alias("hi"), F.sum(v.cast("decimal(28,4)")).cast("double").alias("total"))
 
 
-def split_percentiles(rows: DataFrame, keys: list[str], value: str, parts: tuple[float, ...] = (0.25, 0.5, 0.75), splits: int = 128) -> DataFrame:
+def split_percentiles(rows: DataFrame, keys: list[str], value: str, parts: tuple[float, ...] = (0.25, 0.5, 0.75), splits: int = 32) -> DataFrame:
     """``percentile_summary`` for few large keys: no task sorts or holds a whole key.
 
     Approximate percentiles cut each key's values into ``splits`` ranges.  Counts of
