@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import html_text, language_id, lm_scoring, mixing, nearest, packing, quality_rules, simhash, token_files, toxicity
+from marquee.llm import fill_middle, html_text, language_id, lm_scoring, mixing, nearest, packing, quality_rules, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.query,
         "op9_simhash": simhash.query,
         "op10_toxicity": toxicity.query,
+        "op12_fill_middle": fill_middle.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op12_fill_middle": fill_middle.SQL}
