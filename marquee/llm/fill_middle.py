@@ -46,15 +46,14 @@ def unit_count(text: Column) -> Column:
 
 
 def requests(numbered: DataFrame, seed: int = SEED) -> DataFrame:
-    """Two rows a document: the number of units before the cut, and the run that holds the unit at the cut."""
+    """A row a document with its two cut requests: units before the cut, and the run that holds the unit at the cut."""
     a, b, *_ = draws(F.col("doc_id"), seed)
     counted = numbered.select("row", unit_count(F.col("text")).alias("n"), a.alias("a"), b.alias("b"))
     a, b = F.col("a") % (F.col("n") + 1), F.col("b") % (F.col("n") + 1)
-    cuts = F.array(F.least(a, b), F.greatest(a, b))
-    cut = counted.select("row", "n", F.posexplode_outer(cuts).alias("side", "cut"))
     # A cut behind the last unit lies at the end of the last run.
-    last = F.greatest(F.col("n") - 1, F.lit(0))
-    return cut.select("row", "n", "side", "cut", F.floor(F.least("cut", last) / GROUP).cast("int").alias("run"))
+    run = lambda cut: F.floor(F.least(cut, F.greatest(F.col("n") - 1, F.lit(0))) / GROUP).cast("int")
+    cuts = [F.struct(F.lit(side).alias("side"), cut.alias("cut"), run(cut).alias("run")) for side, cut in enumerate((F.least(a, b), F.greatest(a, b)))]
+    return counted.select("row", "n", F.array(*cuts).alias("cuts"))
 
 
 def runs(numbered: DataFrame) -> DataFrame:
@@ -70,9 +69,12 @@ def offsets(numbered: DataFrame, seed: int = SEED) -> DataFrame:
 
     The id is carried along so that every branch reads the same columns of the dealt rows: Spark then deals them once.
     """
-    hit = runs(numbered).join(requests(numbered, seed), ["row", "run"])
+    # The run's ordinal is no key of the join: as one, Spark would deal the runs anew by both.
+    both = runs(numbered).withColumnRenamed("run", "at_run").join(requests(numbered, seed), "row")
+    wanted = F.filter("cuts", lambda c: c["run"] == F.col("at_run"))
+    hit = both.where(F.size(wanted) > 0).select("row", "doc_id", "n", "before", "units", F.explode(wanted).alias("cut"))
     units = F.regexp_extract_all("units", F.lit(f"({UNIT})"))
-    spelt = hit.select("row", "doc_id", "n", "side", "before", (F.col("cut") - F.col("run") * GROUP).alias("left"), F.posexplode_outer(units).alias("at", "unit"))
+    spelt = hit.select("row", "doc_id", "n", "cut.side", "before", (F.col("cut.cut") - F.col("cut.run") * GROUP).alias("left"), F.posexplode_outer(units).alias("at", "unit"))
     inside = F.when(F.col("at") < F.col("left"), F.length("unit").cast("long")).otherwise(0)
     summed = spelt.groupBy("row", "side").agg(F.max("doc_id").alias("id"), F.max("n").alias("n"), (F.max("before") + F.sum(inside)).alias("offset"))
     side = lambda k: F.max(F.when(F.col("side") == k, F.col("offset")))
