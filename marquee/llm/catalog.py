@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.llm import divergence, fill_middle, html_text, language_id, lm_scoring, mixing, nearest, packing, quality_rules, simhash, token_files, toxicity
+from marquee.llm import divergence, fill_middle, html_text, language_id, lm_scoring, minhash, mixing, nearest, packing, quality_rules, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.query,
         "op9_simhash": simhash.query,
         "op10_toxicity": toxicity.query,
+        "op11_minhash": minhash.query,
         "op12_fill_middle": fill_middle.query,
         "op13_divergence": divergence.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.SQL, "op12_fill_middle": fill_middle.SQL, "op13_divergence": divergence.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op11_minhash": minhash.SQL, "op12_fill_middle": fill_middle.SQL, "op13_divergence": divergence.SQL}
