@@ -51,12 +51,12 @@ SCALE = 1_000_000_000
 TOP = 50
 #: Terms of a shard, groups of a block, rounds of a job.
 SHARD, BLOCK, WAVE = 16_384, 16, 8
-#: Entries after which a task hands its counts on.
-ENTRIES = 400_000
+#: Entries after which a task hands its counts on, and rows of a batch of them.
+ENTRIES, ROWS = 200_000, 20_000
 
 #: Bytes of letters, lower-cased, and of code points beyond ASCII stay; all others separate terms.
 _TERMS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-_COUNTS = "lang string, source string, term string, n long, docs long"
+_COUNTS = "lang string, term string, docs long, sources array<string>, n array<long>"
 _VECTOR = "lang string, source string, shard int, block int, places binary, shares binary, base long, size int"
 _PAIR = "lang string, source string, item string, value long"
 _TERM = "lang string, source string, shard int, place int, value long"
@@ -66,38 +66,54 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERMS).split()
 
 
+def _handed_on(tables: dict[tuple, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    """One row a language and term, with the documents of all sources and the occurrences by source."""
+    for lang in dict.fromkeys(lang for lang, _ in tables):
+        names = [source for x, source in tables if x == lang]
+        mine = [tables[lang, source] for source in names]
+        coded = pa.chunked_array([pa.array(list(table), pa.binary()) for table in mine], pa.binary()).combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        both = np.concatenate([np.fromiter(table.values(), np.int64, len(table)) for table in mine])
+        owner = np.repeat(np.arange(len(names), dtype=np.int32), [len(table) for table in mine])
+        order = np.argsort(code, kind="stable")
+        ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
+        docs = np.add.reduceat((both & 0xFFFFFFFF)[order], np.r_[0, ends[:-1]]) if len(code) else both
+        terms_, sources, n = coded.dictionary.cast(pa.string()), pa.array(names, pa.string()), both[order] >> 32
+        for k in range(0, len(ends), ROWS):
+            last = ends[k : k + ROWS]
+            at = pa.array(np.r_[0 if k == 0 else ends[k - 1], last].astype(np.int32))
+            part = slice(at[0].as_py(), at[len(at) - 1].as_py())
+            offsets = pa.array((at.to_numpy() - part.start).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (sources.take(pa.array(owner[order[part]])), pa.array(n[part]))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(last), pa.string()), terms_.slice(k, len(last)), pa.array(docs[k : k + ROWS]), *lists], names=["lang", "term", "docs", "sources", "n"]
+            )
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of terms by group; a number holds both, documents in its lower 32 bits."""
     tables: dict[tuple, dict[bytes, int]] = {}
     size = 0
-
-    def handed_on() -> Iterator[pa.RecordBatch]:
-        for (lang, source), table in tables.items():
-            values = list(table.values())
-            n, docs = pa.array([v >> 32 for v in values], pa.int64()), pa.array([v & 0xFFFFFFFF for v in values], pa.int64())
-            term = pa.array(list(table), pa.binary()).cast(pa.string())
-            names = [pa.array([x] * len(table), pa.string()) for x in (lang, source)]
-            yield pa.RecordBatch.from_arrays([*names, term, n, docs], names=["lang", "source", "term", "n", "docs"])
-
     for batch in batches:
         langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
         for lang, source, text in zip(langs, sources, batch.column("text").cast(pa.binary())):
+            found = Counter(terms(text.as_py()))
+            if not found:
+                continue
             table = tables.setdefault((lang, source), {})
             before, get = len(table), table.get
-            for term, n in Counter(terms(text.as_py())).items():
+            for term, n in found.items():
                 table[term] = get(term, 0) + (n << 32) + 1
             size += len(table) - before
             if size > ENTRIES:
-                yield from handed_on()
+                yield from _handed_on(tables)
                 tables, size = {}, 0
-    yield from handed_on()
+    yield from _handed_on(tables)
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """Occurrences and documents of each term of each group."""
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    found = docs.select(*named).mapInArrow(_counted, _COUNTS)
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """Parts of the counts, to be summed: per language and term its documents, and its occurrences by source."""
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]).mapInArrow(_counted, _COUNTS)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -149,7 +165,8 @@ def _packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def vectors(counted: DataFrame, grouped: DataFrame, vocabulary: DataFrame, langs: DataFrame) -> DataFrame:
     """One row a group and shard; a null source is the language itself, in each of its blocks."""
-    placed = materialize(counted.join(vocabulary, ["lang", "term"]).select("lang", "source", "shard", "place", "n"), "placed")
+    each = counted.join(vocabulary, ["lang", "term"]).select("lang", "shard", "place", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("n").alias("n"))))
+    placed = materialize(each.groupBy("lang", "source", "shard", "place").agg(F.sum("n").alias("n")), "placed")
     block = F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int").alias("block")
     each = grouped.join(placed.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang")
     each = each.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "terms", "shards", block)
