@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.operators import ranks
+
 #: Rows of a cohort below which no activity potential is stated, and slack of area sums.
 LEAST_COHORT = 30
 AREA_SLACK = 1.00000001
@@ -41,18 +43,11 @@ def broken(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(True)), name) for name, ok in rules.items()]))
 
 
-def activity_potential(values: DataFrame, cohort: DataFrame, keys: list[str]) -> DataFrame:
-    """Values (keys, value) with their mid-rank percentage among a fixed cohort (value); null if the cohort is too small.
-
-    The cohort is ranked once by value; values meet it through a window over both, not a join by inequality.
-    """
-    c = cohort.groupBy("value").agg(F.count(F.lit(1)).alias("__n"))
-    both = values.select(*keys, "value", F.lit(0).cast("long").alias("__n"), F.lit(True).alias("__own")).unionByName(c.select(*[F.lit(None).cast(dict(values.dtypes)[k]).alias(k) for k in keys], "value", "__n", F.lit(False).alias("__own")))
-    upto = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    same = F.sum("__n").over(Window.partitionBy("value"))
-    total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
-    ranked = both.withColumns({"__upto": upto, "__same": same, "__total": total}).where("__own")
-    return ranked.select(*keys, "value", F.when(F.col("__total") >= LEAST_COHORT, 100.0 * (F.col("__upto") - 0.5 * F.col("__same")) / F.col("__total")).alias("potential"))
+def activity_potential(values: DataFrame, cohort: DataFrame, keys: list[str], ranges: int = 64) -> DataFrame:
+    """Values (keys, value) with their mid-rank percentage among a fixed cohort (value); null if the cohort is too small."""
+    ranked = ranks.mid_ranks(cohort, values, ranges)
+    potential = F.when(F.col("total") >= LEAST_COHORT, 100.0 * (F.col("below") + 0.5 * F.col("same")) / F.col("total")).alias("potential")
+    return values.select(*keys, "value").join(ranked, "value", "left").select(*keys, "value", potential)
 
 
 def claim_failure(kind: Column, low: Column, base: Column, high: Column, universe: Column, state: Column, evidence: Column, quantile: Column) -> Column:

@@ -163,7 +163,9 @@ def board_quality_rows(rows: DataFrame, year: int) -> tuple[DataFrame, DataFrame
 def weight_months(rows: DataFrame, keys: list[str], cells: str, starts: list[int], annual: int) -> DataFrame:
     """One row per month of weights whose columns start at any place; a month has a reported total only if three columns lie before the next start."""
     ends = [*starts[1:], annual]
-    at = lambda k: text.loose_number(F.get(cells, F.lit(k)))
+    # Cells are read once as an array: a copy of the reader for each of them would be too long a method to compile.
+    rows = rows.select(*keys, F.inline(F.array(F.struct(F.transform(cells, text.loose_number).alias("__numbers")))))
+    at = lambda k: F.get("__numbers", F.lit(k))
     parts = [F.struct(F.lit(m).alias("month"), at(a).alias("imports"), at(a + 1).alias("exports"), (at(a + 2) if b - a >= 3 else F.lit(None).cast("double")).alias("reported_total"), F.lit(b - a >= 3).alias("has_total")) for m, (a, b) in enumerate(zip(starts, ends), 1)]
     long = rows.select(*keys, F.inline(F.array(*parts)))
     derived = F.col("imports") + F.col("exports")

@@ -5,6 +5,8 @@ A polygon is ``rings``: an array of rings, each an array of lon/lat structs, the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +53,32 @@ def boxed(polygons: DataFrame, margin: Column | float = 0.0) -> DataFrame:
     return polygons.withColumns({"xmin": of(F.array_min, "lon") - m, "xmax": of(F.array_max, "lon") + m, "ymin": of(F.array_min, "lat") - m, "ymax": of(F.array_max, "lat") + m})
 
 
+#: Cells grow by this factor from level to level, up to the whole globe.
+GROWTH, LEVELS = 4, 9
+
+
 def _candidates(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Points with the polygons whose box holds them; a polygon stands in every cell that its box touches."""
-    span = lambda a, b: F.explode(F.sequence(geo.cell(F.col(a), size), geo.cell(F.col(b), size)))
-    placed = polygons.withColumn("gx", span("xmin", "xmax")).withColumn("gy", span("ymin", "ymax"))
-    pairs = geo.in_own_cell(points, "lon", "lat", size).join(placed, ["gx", "gy"]).drop("gx", "gy")
+    """Points with the polygons whose box holds them.
+
+    A polygon stands in the cells that its box touches, of a level whose cells are about as wide as the box, so that a
+    country is as few rows as a house.  Points are placed at the levels that occur, nine at most.
+    """
+    span = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(size))
+    levelled = polygons.withColumn("level", F.least(F.ceil(F.log(float(GROWTH), span / size) - 1e-9), F.lit(LEVELS - 1)).cast("int"))
+    levels = sorted(r.level for r in levelled.where("level IS NOT NULL").select("level").distinct().collect())
+    width = F.lit(size) * F.pow(F.lit(float(GROWTH)), F.col("level"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    placed = levelled.withColumn("gx", cells("xmin", "xmax")).withColumn("gy", cells("ymin", "ymax"))
+    own = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    own = own.withColumns({"gx": F.floor(F.col("lon") / width), "gy": F.floor(F.col("lat") / width)})
+    pairs = own.join(placed, ["level", "gx", "gy"]).drop("level", "gx", "gy")
     return pairs.where(F.col("lon").between(F.col("xmin"), F.col("xmax")) & F.col("lat").between(F.col("ymin"), F.col("ymax")))
 
 
-def containing(points: DataFrame, polygons: DataFrame, size: float = 0.01) -> DataFrame:
-    """Points (lon, lat) with each polygon (polygon_id, rings) that covers them; ``size`` is the cell in degrees, about a polygon's width."""
+def containing(points: DataFrame, polygons: DataFrame, size: float = 0.01, keep_rings: bool = False) -> DataFrame:
+    """Points (lon, lat) with each polygon (polygon_id, rings) that covers them; ``size`` is the least cell in degrees, about a small polygon's width."""
     pairs = _candidates(points, boxed(polygons), size)
-    return pairs.where(covers(F.col("rings"), F.col("lon"), F.col("lat"))).drop("rings", "xmin", "xmax", "ymin", "ymax")
+    return pairs.where(covers(F.col("rings"), F.col("lon"), F.col("lat"))).drop(*([] if keep_rings else ["rings"]), "xmin", "xmax", "ymin", "ymax")
 
 
 def ring_distance(rings: Column, lon: Column, lat: Column) -> Column:
@@ -77,6 +93,32 @@ def ring_distance(rings: Column, lon: Column, lat: Column) -> Column:
     return F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(edges(r), away))))
 
 
+def plane(rings: Column, lon: Column, lat: Column) -> Column:
+    """A polygon's rings as x/y structs in metres around a point."""
+
+    def corner(p: Column) -> Column:
+        x, y = local_xy(p["lon"], p["lat"], lon, lat)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(rings, lambda r: F.transform(r, corner))
+
+
+def _summed(ring: Column, of: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(edges(ring), F.lit(0.0), lambda a, e: a + of(e["a"], e["b"]))
+
+
+def plane_area(rings: Column) -> Column:
+    """Square metres of a polygon in a plane; rings after the first are holes."""
+    of = lambda r: F.abs(_summed(r, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])) / 2
+    return F.aggregate(rings, F.lit(0.0), lambda a, r: a - of(r)) + 2 * of(F.get(rings, F.lit(0)))
+
+
+def plane_perimeter(rings: Column) -> Column:
+    """Metres of all rings of a polygon in a plane."""
+    of = lambda r: _summed(r, lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
+    return F.aggregate(rings, F.lit(0.0), lambda a, r: a + of(r))
+
+
 def touching(sites: DataFrame, polygons: DataFrame, metres: float, max_latitude: float = 15.0) -> DataFrame:
     """Each site once without, or with each polygon that comes within ``metres`` of it, and its distance (0 inside)."""
     size = geo.cell_size(metres, max_latitude)

@@ -1,143 +1,67 @@
-"""Settlement form around sites: exact area and parts of the union of polygons within a circle.
+"""Settlement context of sites: the extents that contain a site, and the settled ground within circles around it.
 
-Polygons are taken to a local plane and cut by the circle's polygon; the union's
-area comes from vertical slabs between all corner and crossing abscissas, where
-edges do not cross and the covered height is a sum of intervals; parts are found
-by joining intervals that touch from slab to slab.
+Extents are found by a join on cells (``polygons``), measured in the plane around each site, and overlaid tile by tile
+(``overlay``), so neither an extent nor a circle is ever the work of one task.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marquee.functions import stats
+from marquee.operators import overlay, polygons
+
+
+def near_extents(sites: DataFrame, extents: DataFrame, metres: float, max_latitude: float = 15.0) -> DataFrame:
+    """Sites (site_id, lon, lat) with each extent (polygon_id, rings) within ``metres``, its distance and its rings in metres."""
+    found = polygons.touching(sites, extents, metres, max_latitude).where(F.col("polygon_id").isNotNull())
+    return found.select("site_id", "lon", "lat", "polygon_id", "rings", "distance", polygons.plane(F.col("rings"), F.col("lon"), F.col("lat")).alias("plane"))
 
-Ring = list[tuple[float, float]]
-_A, _E2 = 6_378_137.0, 0.00669437999014
-
-
-def to_plane(ring: Ring, lon: float, lat: float) -> Ring:
-    s = math.sin(math.radians(lat))
-    w = 1 - _E2 * s * s
-    kx = math.radians(1) * _A / math.sqrt(w) * math.cos(math.radians(lat))
-    ky = math.radians(1) * _A * (1 - _E2) / w**1.5
-    return [((x - lon) * kx, (y - lat) * ky) for x, y in ring]
-
-
-def circle(radius: float, corners: int = 32) -> Ring:
-    """The circle's inscribed polygon: eight segments a quadrant."""
-    return [(radius * math.cos(2 * math.pi * k / corners), radius * math.sin(2 * math.pi * k / corners)) for k in range(corners)]
-
-
-def edges_of(ring: Ring) -> list[tuple[float, float, float, float]]:
-    return [(*a, *b) if a[0] < b[0] else (*b, *a) for a, b in zip(ring, ring[1:] + ring[:1]) if a[0] != b[0]]
-
-
-def crossings(edges: np.ndarray) -> np.ndarray:
-    """Abscissas at which two edges cross."""
-    found = []
-    for k in range(len(edges) - 1):
-        x1, y1, x2, y2 = edges[k]
-        o = edges[k + 1 :]
-        dx, dy, ex, ey = x2 - x1, y2 - y1, o[:, 2] - o[:, 0], o[:, 3] - o[:, 1]
-        det = dx * ey - dy * ex
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((o[:, 0] - x1) * ey - (o[:, 1] - y1) * ex) / det
-            u = ((o[:, 0] - x1) * dy - (o[:, 1] - y1) * dx) / det
-        hit = (det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        found.append(x1 + t[hit] * dx)
-    return np.concatenate(found) if found else np.empty(0)
-
-
-def covers(ring: Ring, x: float, y: float) -> bool:
-    """Even-odd test; the boundary counts as inside."""
-    inside = False
-    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
-        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-        if abs(cross) <= 1e-9 * max(1.0, abs(bx - ax) + abs(by - ay)) and min(ax, bx) - 1e-12 <= x <= max(ax, bx) + 1e-12 and min(ay, by) - 1e-12 <= y <= max(ay, by) + 1e-12:
-            return True
-        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
-            inside = not inside
-    return inside
-
-
-def union_within(polygons: list[list[Ring]], window: Ring) -> tuple[float, list[float]]:
-    """Area of the union of polygons (outer ring and holes) inside ``window``, and the areas of its parts, largest first."""
-    groups = [[e for ring in p for e in edges_of(ring)] for p in polygons] + [edges_of(window)]
-    flat = np.array([e for g in groups for e in g])
-    if not len(flat):
-        return 0.0, []
-    xs = np.unique(np.concatenate([flat[:, 0], flat[:, 2], crossings(flat)]))
-    low, high = min(p[0] for p in window), max(p[0] for p in window)
-    xs = xs[(xs >= low) & (xs <= high)]
-    arrays = [np.array(g).reshape(-1, 4) for g in groups]
-    parent: list[int] = []
-    areas: list[float] = []
-
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    before: list[tuple[float, float, int]] = []
-    for a, b in zip(xs, xs[1:]):
-        if b - a < 1e-12:
-            continue
-        mid = (a + b) / 2
-        spans = []
-        for g in arrays:
-            on = g[(g[:, 0] <= a + 1e-12) & (g[:, 2] >= b - 1e-12)]
-            k = (on[:, 3] - on[:, 1]) / (on[:, 2] - on[:, 0])
-            order = np.argsort(on[:, 1] + k * (mid - on[:, 0]))
-            y = np.stack([on[:, 1] + k * (a - on[:, 0]), on[:, 1] + k * (b - on[:, 0])], axis=1)[order]
-            spans.append([(y[j], y[j + 1]) for j in range(0, len(y) - 1, 2)])
-        inside = []
-        for w0, w1 in spans[-1]:
-            for part in spans[:-1]:
-                for s0, s1 in part:
-                    p, q = (w0 if w0.sum() > s0.sum() else s0), (w1 if w1.sum() < s1.sum() else s1)
-                    if q.sum() > p.sum():
-                        inside.append((p, q))
-        inside.sort(key=lambda s: s[0].sum())
-        merged: list[list[np.ndarray]] = []
-        for p, q in inside:
-            if merged and p.sum() <= merged[-1][1].sum() + 1e-9:
-                if q.sum() > merged[-1][1].sum():
-                    merged[-1][1] = q
-            else:
-                merged.append([p, q])
-        now = []
-        for p, q in merged:
-            me = len(parent)
-            parent.append(me)
-            areas.append((b - a) * float((q - p).sum()) / 2)
-            for c, d, other in before:
-                if min(q[0], d) - max(p[0], c) > 1e-9:
-                    parent[find(me)] = find(other)
-            now.append((float(p[1]), float(q[1]), me))
-        before = now
-    parts: dict[int, float] = {}
-    for k, area in enumerate(areas):
-        parts[find(k)] = parts.get(find(k), 0.0) + area
-    sizes = sorted((a for a in parts.values() if a > 1e-6), reverse=True)
-    return sum(sizes), sizes
-
-
-def morphology(pairs: DataFrame) -> DataFrame:
-    """Per site and radius: settled area, parts, largest part and shares.
-
-    ``pairs``: site_id, radius, lon, lat, rings (array of rings of [lon, lat]) of each polygon near the site; a group is one circle.
-    """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        window = circle(float(first["radius"]))
-        shapes = [[to_plane([tuple(p) for p in ring], first["lon"], first["lat"]) for ring in rings] for rings in pdf["rings"]]
-        area, parts = union_within(shapes, window)
-        whole = 0.5 * sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(window, window[1:] + window[:1]))
-        return pd.DataFrame([(first["site_id"], int(first["radius"]), area, len(parts), parts[0] if parts else 0.0, area / whole, parts[0] / area if parts else None)], columns=["site_id", "radius", "settled_m2", "n_parts", "largest_m2", "settled_share", "largest_share"])
+def within_circles(sites: DataFrame, near: DataFrame, radii: list[int]) -> DataFrame:
+    """A row for each site and radius: extents met, settled ground, its parts, and their shares of the circle and of the whole."""
+    measured = overlay.union_within(near, radii)
+    every = sites.select("site_id", F.explode(F.array(*[F.lit(r) for r in radii]).cast("array<int>")).alias("radius"))
+    whole = overlay.circle_area(F.col("radius"))
+    settled = F.coalesce("settled_m2", F.lit(0.0))
+    largest = F.coalesce("largest_m2", F.lit(0.0))
+    return every.join(measured, ["site_id", "radius"], "left").select(
+        "site_id", "radius", whole.alias("circle_m2"), F.coalesce("n_extents", F.lit(0)).alias("n_extents"), settled.alias("settled_m2"), F.coalesce("n_parts", F.lit(0)).alias("n_parts"),
+        largest.alias("largest_m2"), F.least(F.lit(1.0), settled / whole).alias("settled_share"), (F.coalesce("n_parts", F.lit(0)) / (whole / 1_000_000)).alias("parts_per_km2"),
+        F.when(settled > 0, F.least(F.lit(1.0), largest / settled)).alias("largest_share"),
+    )
 
-    return pairs.groupBy("site_id", "radius").applyInPandas(one, "site_id string, radius int, settled_m2 double, n_parts int, largest_m2 double, settled_share double, largest_share double")
+
+def primary_extents(sites: DataFrame, near: DataFrame) -> DataFrame:
+    """A row for each site: how many extents contain it, the smallest of them (ties by id) with its form, and the nearest extent.
+
+    ``core_depth_m`` is how far inside the primary extent the site lies; ``nearest_m`` is 0 inside, and null if no extent
+    is as near as ``near`` reaches.
+    """
+    plane, own = F.col("plane"), F.col("distance") == 0
+    area, perimeter = polygons.plane_area(plane), polygons.plane_perimeter(plane)
+    depth = polygons.ring_distance(F.col("rings"), F.col("lon"), F.col("lat"))
+    form = F.struct(area.alias("area_m2"), F.col("polygon_id").alias("primary_id"), perimeter.alias("perimeter_m"), depth.alias("core_depth_m"))
+    each = near.select("site_id", "distance", F.when(own, form).alias("form"))
+    found = each.groupBy("site_id").agg(F.min("distance").alias("nearest_m"), F.count("form").cast("int").alias("n_containing"), F.min("form").alias("form"))
+    joined = sites.select("site_id").join(found, "site_id", "left").select("site_id", F.coalesce("n_containing", F.lit(0)).alias("n_containing"), "form.*", "nearest_m")
+    compactness = stats.compactness(F.col("area_m2"), F.col("perimeter_m")).alias("compactness")
+    return joined.select("site_id", F.col("primary_id").isNotNull().alias("inside"), "n_containing", "primary_id", "area_m2", "perimeter_m", compactness, "core_depth_m", "nearest_m")
+
+
+def covered(sites: DataFrame, coverage: DataFrame, radii: list[int], max_latitude: float = 15.0) -> DataFrame:
+    """Per site and radius whether the whole circle lies in one of the source's coverage polygons (polygon_id, rings)."""
+    held = polygons.containing(sites.select("site_id", "lon", "lat"), coverage, keep_rings=True)
+    margin = held.groupBy("site_id").agg(F.max(polygons.ring_distance(F.col("rings"), F.col("lon"), F.col("lat"))).alias("margin"))
+    every = sites.select("site_id", F.explode(F.array(*[F.lit(r) for r in radii]).cast("array<int>")).alias("radius")).join(margin, "site_id", "left")
+    return every.select("site_id", "radius", F.coalesce(F.col("margin") >= F.col("radius") * math.cos(math.pi / overlay.CORNERS), F.lit(False)).alias("source_covered"))
+
+
+def context(sites: DataFrame, extents: DataFrame, coverage: DataFrame, radii: list[int], search: float, max_latitude: float = 15.0) -> DataFrame:
+    """One row a site and radius with all of the above; a circle beyond the coverage is ``partial_source_coverage``."""
+    near = near_extents(sites, extents, max([float(r) for r in radii] + [search]), max_latitude)
+    found = within_circles(sites, near, radii).join(covered(sites, coverage, radii, max_latitude), ["site_id", "radius"]).join(primary_extents(sites, near), "site_id")
+    return found.withColumn("coverage_status", F.when(F.col("source_covered"), "complete").otherwise("partial_source_coverage"))

@@ -15,15 +15,59 @@ def accessible_population(spark: SparkSession, sf: str) -> DataFrame:
     return raster.accessible_population(raster.demo_windows(spark), [3.0, 6.0, 12.0], 30.0)
 
 
+#: Sites of the settlement query stand on a lattice of so many columns and rows, STEP degrees apart.
+COLUMNS, ROWS, STEP = 200, 230, 0.06
+#: Three squares by the place of their centre and half their side, in degrees times a size that varies by site.
+SQUARES = (("a", 0.0, 0.0, 0.002), ("b", 0.003, 0.001, 0.002), ("c", -0.006, 0.0, 0.001))
+
+
+def settlement_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Square settlements of three sizes, a few for each supplier; all lie in one table and are found by the sites' circles."""
+    k = F.col("s_suppkey")
+    lon, lat = 3.0 + (k % COLUMNS) * STEP, 0.5 + (F.floor(k / COLUMNS) % ROWS) * STEP
+    placed = table(spark, sf, "supplier").select(k.cast("string").alias("site_id"), lon.alias("lon"), lat.alias("lat"), (1 + (k % 5) * 0.1).alias("size"))
+    square = F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(h).alias("h")) for n, x, y, h in SQUARES]))
+    drawn = placed.select("site_id", "lon", "lat", "size", square)
+    corner = lambda a, b: F.struct((F.col("lon") + F.col("size") * (F.col("dx") + a * F.col("h"))).alias("lon"), (F.col("lat") + F.col("size") * (F.col("dy") + b * F.col("h"))).alias("lat"))
+    extents = drawn.select(F.concat_ws(":", "site_id", "name").alias("polygon_id"), F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))).alias("rings"))
+    box = lambda *c: F.array(F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in c]))
+    coverage = spark.range(1).select(F.lit("whole").alias("polygon_id"), box((2.0, 0.485), (20.0, 0.485), (20.0, 15.0), (2.0, 15.0)).alias("rings"))
+    found = settlement.context(placed.drop("size"), extents, coverage, [1200, 2000], 1000.0)
+    metres = ("circle_m2", "settled_m2", "largest_m2", "area_m2", "perimeter_m", "core_depth_m", "nearest_m")
+    shares = ("settled_share", "parts_per_km2", "largest_share", "compactness")
+    return found.select(
+        "site_id", "radius", "n_extents", "n_parts", "source_covered", "coverage_status", "inside", "n_containing", "primary_id", *[F.round(c, 2).alias(c) for c in metres], *[F.round(c, 6).alias(c) for c in shares]
+    )
+
+
+SETTLEMENT_CONTEXT = f"""
+WITH s AS (SELECT s_suppkey AS k, 0.5 + ((s_suppkey // {COLUMNS}) % {ROWS}) * {STEP} AS lat, (s_suppkey % {COLUMNS})::VARCHAR || ':' || ((s_suppkey // {COLUMNS}) % {ROWS})::VARCHAR AS place,
+        1 + (s_suppkey % 5) * 0.1::DOUBLE AS size FROM supplier),
+m AS (SELECT *, pi() / 180 * 6378137.0 / sqrt(w) * cos(radians(lat)) AS kx, pi() / 180 * 6378137.0 * (1 - 0.00669437999014) / pow(w, 1.5) AS ky
+      FROM (SELECT *, 1 - 0.00669437999014 * pow(sin(radians(lat)), 2) AS w FROM s)),
+p AS (SELECT place, count(*) AS n, min(k::VARCHAR || ':a') AS primary_id FROM s GROUP BY place),
+-- Squares a and b overlap in 1 by 3 thousandths of a degree; c lies apart.
+c AS (SELECT m.*, p.n, p.primary_id, r.radius, 33e-6 * size * size * kx * ky AS settled, 29e-6 * size * size * kx * ky AS largest, 16e-6 * size * size * kx * ky AS area,
+        0.008 * size * (kx + ky) AS perimeter, 16 * r.radius * r.radius * sin(pi() / 16) AS circle
+      FROM m JOIN p USING (place), (SELECT unnest([1200, 2000]) AS radius) r)
+SELECT k::VARCHAR AS site_id, radius, (3 * n)::INT AS n_extents, 2 AS n_parts, (lat - 0.485) * ky >= radius * cos(pi() / 32) AS source_covered,
+  CASE WHEN (lat - 0.485) * ky >= radius * cos(pi() / 32) THEN 'complete' ELSE 'partial_source_coverage' END AS coverage_status, true AS inside, n::INT AS n_containing, primary_id,
+  round(circle, 2) AS circle_m2, round(settled, 2) AS settled_m2, round(largest, 2) AS largest_m2, round(area, 2) AS area_m2, round(perimeter, 2) AS perimeter_m,
+  round(0.002 * size * least(kx, ky), 2) AS core_depth_m, 0.0::DOUBLE AS nearest_m, round(settled / circle, 6) AS settled_share, round(2 / (circle / 1000000), 6) AS parts_per_km2,
+  round(largest / settled, 6) AS largest_share, round(4 * pi() * area / (perimeter * perimeter), 6) AS compactness
+FROM c
+"""
+
+
+CIRCLES = ("site_id", "radius", "n_extents", "n_parts", "settled_m2", "largest_m2", "settled_share", "largest_share")
+
+
 def settlement_morphology(spark: SparkSession, sf: str) -> DataFrame:
-    """Squares around each supplier's site, with an overlapping and a separate one."""
-    chosen = sites(spark, sf).select(F.col("s_suppkey").cast("string").alias("site_id"), "lon", "lat")
-    square = F.inline(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy"), F.lit(h).alias("h")) for x, y, h in ((0.0, 0.0, 0.002), (0.003, 0.001, 0.002), (-0.006, 0.0, 0.001))]))
-    corner = lambda a, b: F.array(F.col("lon") + F.col("dx") + a * F.col("h"), F.col("lat") + F.col("dy") + b * F.col("h"))
-    shapes = chosen.select("site_id", "lon", "lat", square).withColumn("rings", F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))))
-    pairs = shapes.withColumn("radius", F.explode(F.array(F.lit(250), F.lit(1000))))
-    found = settlement.morphology(pairs)
-    return found.select("site_id", "radius", *[F.round(c, 3).alias(c) for c in ("settled_m2", "largest_m2")], "n_parts", *[F.round(c, 6).alias(c) for c in ("settled_share", "largest_share")])
+    """The settled ground within the circles alone."""
+    return settlement_context(spark, sf).select(*CIRCLES)
+
+
+SETTLEMENT_MORPHOLOGY = f"SELECT {', '.join(CIRCLES)} FROM ({SETTLEMENT_CONTEXT})"
 
 
 def network_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +92,8 @@ EVENT_WINDOWS = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_st
 
 ENTRIES = {
     "accessible_population": (accessible_population, None),
-    "settlement_morphology": (settlement_morphology, None),
+    "settlement_context": (settlement_context, SETTLEMENT_CONTEXT),
+    "settlement_morphology": (settlement_morphology, SETTLEMENT_MORPHOLOGY),
     "network_context": (network_context, None),
     "event_windows": (event_windows, EVENT_WINDOWS),
 }

@@ -37,12 +37,12 @@ SELECT scope, n::BIGINT AS n, metric, d::BIGINT AS denominator, CASE WHEN d >= 3
 
 
 def survey_multiselect(spark: SparkSession, sf: str) -> DataFrame:
-    people = _responses(spark, sf).where("value > 20").groupBy("user_id", "balance").agg(F.collect_list("event_type").alias("kinds"))
+    people = _responses(spark, sf).groupBy("user_id", "balance").agg(F.collect_list("event_type").alias("kinds"))
     return survey.multiselect(people, "user_id", "balance", "kinds")
 
 
 SURVEY_MULTISELECT = f"""
-WITH {RESPONSES}, p AS (SELECT DISTINCT user_id, balance, event_type AS category FROM r WHERE value > 20), t AS (SELECT balance, count(DISTINCT user_id) AS d FROM p GROUP BY 1), c AS (SELECT balance, category, count(*) AS n FROM p GROUP BY ALL)
+WITH {RESPONSES}, p AS (SELECT DISTINCT user_id, balance, event_type AS category FROM r), t AS (SELECT balance, count(DISTINCT user_id) AS d FROM p GROUP BY 1), c AS (SELECT balance, category, count(*) AS n FROM p GROUP BY ALL)
 SELECT balance, category, n::BIGINT AS numerator, d::BIGINT AS denominator, CASE WHEN d >= 30 THEN floor(n::DOUBLE / d * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE END AS share FROM c JOIN t USING (balance)
 """
 
@@ -146,9 +146,10 @@ ATTRIBUTION = "SELECT DISTINCT source, lang FROM documents"
 def changed_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Parts that a supplier gained or lost between line items of even and odd orders."""
     rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_orderkey") % 2).alias("side"))
-    sides = rows.groupBy("l_suppkey").agg(F.collect_set(F.when(F.col("side") == 0, F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("side") == 1, F.col("l_partkey"))).alias("b"))
-    changed = F.array_sort(F.array_union(F.array_except("a", "b"), F.array_except("b", "a")))
-    return sides.select("l_suppkey", F.array_join(F.transform(changed, lambda x: x.cast("string")), ",").alias("changed"))
+    pairs = rows.groupBy("l_suppkey", "l_partkey").agg(F.min("side").alias("a"), F.max("side").alias("b"))
+    # Only what changed is gathered; it is the result.
+    changed = F.array_sort(F.collect_list(F.when(F.col("a") == F.col("b"), F.col("l_partkey"))))
+    return pairs.groupBy("l_suppkey").agg(changed.alias("parts")).select("l_suppkey", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("changed"))
 
 
 CHANGED_SETS = """

@@ -16,6 +16,8 @@ def spark():
 
     session = local_session(4, 4, "3g")
     session.sparkContext.setLogLevel("ERROR")
+    # A query whose generated code is too long to compile is an error here, not a slow query.
+    session.conf.set("spark.sql.codegen.fallback", "false")
     yield session
     session.stop()
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import geo
-from marquee.operators import heads, parse, raster, relational, settlement, spatial, store, survey
+from marquee.operators import heads, parse, raster, relational, spatial, store, survey
 from marquee.sources import files
 from marquee.streaming import windows
 
@@ -75,30 +75,6 @@ def test_slow_band_lowers_access(spark):
     assert got["mixed", 6.0] > got["walking", 6.0] > got["walking", 3.0] > 0
 
 
-def square(x, y, h):
-    return [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
-
-
-def test_union_area():
-    window = square(0, 0, 100)
-    area, parts = settlement.union_within([[square(0, 0, 10)], [square(5, 5, 10)], [square(50, 0, 5)]], window)
-    assert area == pytest.approx(400 + 400 - 225 + 100) and parts == pytest.approx([575, 100])
-    assert settlement.union_within([[square(0, 0, 10), square(0, 0, 4)]], window)[0] == pytest.approx(400 - 64)
-    assert settlement.union_within([[square(95, 0, 10)]], window)[0] == pytest.approx(15 * 20)
-    assert settlement.union_within([[square(500, 0, 10)]], window) == (0, [])
-    assert settlement.covers(square(0, 0, 1), 1, 0) and not settlement.covers(square(0, 0, 1), 1.1, 0)
-
-
-def test_union_area_by_sampling():
-    rng = np.random.default_rng(6)
-    shapes = [[square(*rng.uniform(-60, 60, 2), rng.uniform(5, 25))] for _ in range(12)]
-    window = settlement.circle(70.0)
-    area, parts = settlement.union_within(shapes, window)
-    points = rng.uniform(-70, 70, (20_000, 2))
-    inside = sum(settlement.covers(window, *p) and any(settlement.covers(s[0], *p) for s in shapes) for p in points[:4000]) / 4000 * 140**2
-    assert area == pytest.approx(inside, rel=0.08) and sum(parts) == pytest.approx(area)
-
-
 def test_placement_rows(spark):
     row = ["1", "Acme", "SW", "Lagos", "Ikeja", "1 Road", "Brand", "Beer", "Billboard", "Static", "A", "1,200,000", "abc", "2021", "Q2", "April"]
     table = [("s", "x", 1, row), ("s", "x", 2, [None] * 16), ("s", "x", 3, [*row[:13], "21", "1", "May"]), ("s", "x", 4, ["2", None, *row[2:]]), ("s", "x", 5, [*row[:13], "2020", "7", "June/July"])]

@@ -71,12 +71,11 @@ def test_request_lines_keep_suppliers_apart(spark):
     assert len({r.supplier_id for r in lines}) == len(lines)
 
 
-def test_settlement_and_network_take_all_rows(spark, duck, sf, monkeypatch):
+def test_network_takes_all_rows(spark, duck, sf, monkeypatch):
     from marquee.operators import spatial
     from marquee.plans import context
 
     sites = {r[0] for r in duck.execute("SELECT s_suppkey::VARCHAR FROM supplier").fetchall()}
-    assert sorted((r.site_id, r.radius) for r in context.settlement_morphology(spark, sf).collect()) == sorted((s, k) for s in sites for k in (250, 1000))
     given, found = [], spatial.network_context
     monkeypatch.setattr(spatial, "network_context", lambda sites, roads, radii: given.append(roads) or found(sites, roads, radii))
     assert {r.site_id for r in context.network_context(spark, sf).collect()} == sites
