@@ -18,8 +18,8 @@ whom: the stars' components are clusters, and within a cluster every two nodes t
 are not linked already are compared on full sets.  A cluster is cut into blocks of
 bounded size.  A block finds its own links by breadth-first search, in which a node
 is compared with those not yet reached.  What lies outside a cluster's largest group
-of linked nodes then visits all its blocks, VISITORS at a time, until no pair of
-unlinked nodes is left uncompared.  The links found span the groups; no list of all
+of linked nodes then visits all its blocks, a bounded number at a time, until no pair
+of unlinked nodes is left uncompared.  The links found span the groups; no list of all
 pairs of a group is made.
 
 Shingles are told apart by 64-bit hashes of their words' 64-bit hashes, sets by 128
@@ -55,8 +55,10 @@ SHINGLE = 3
 PERCENT = 85
 #: Bands and values a band of the two bandings.
 NARROW, STRICT = (42, 6), (140, 12)
-#: Shingles and nodes of a block, and nodes of a cluster that visit its blocks in one round.
-BLOCK_SHINGLES, BLOCK_NODES, VISITORS = 200_000, 2_000, 512
+#: Shingles and nodes of a block.
+BLOCK_SHINGLES, BLOCK_NODES = 500_000, 2_000
+#: Nodes of a cluster that visit its blocks in one round, and their shingles together.
+VISITORS, VISIT_SHINGLES = 4_000, 2_000_000
 #: Words a worker remembers.
 CACHE = 500_000
 
@@ -280,7 +282,7 @@ def _visited(key: tuple[pa.Scalar, ...], table: pa.Table, visitors: pa.Table) ->
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def cluster_links(edges: DataFrame, sets: DataFrame, shingles_: int = BLOCK_SHINGLES, nodes_: int = BLOCK_NODES, visitors_: int = VISITORS) -> DataFrame:
+def cluster_links(edges: DataFrame, sets: DataFrame, shingles_: int = BLOCK_SHINGLES, nodes_: int = BLOCK_NODES, visitors_: int = VISITORS, visit_shingles: int = VISIT_SHINGLES) -> DataFrame:
     """Links (u, v) that span the groups of linked nodes within each component of ``edges``."""
     spark = sets.sparkSession
     joined = components(edges)
@@ -297,27 +299,32 @@ def cluster_links(edges: DataFrame, sets: DataFrame, shingles_: int = BLOCK_SHIN
     if large.isEmpty():
         return links
     residents = home.join(large.select("cluster"), "cluster").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cluster", "block").persist(StorageLevel.DISK_ONLY)
-    narrow = materialize(residents.select("cluster", "node", "local"), "narrow")
-    found = materialize(narrow.where("node <> local").select(F.col("node").alias("u"), F.col("local").alias("v")), "links")
-    done = None
+    narrow = materialize(residents.join(sets.select("node", "n"), "node").select("cluster", "node", "n", F.col("local").alias("group")), "narrow")
+    group, found, done = narrow, None, None
     while True:
-        root = components(found)
-        group = narrow.join(root, narrow["node"] == root["u"], "left").select("cluster", "node", F.coalesce("v", "node").alias("group"))
-        sizes = materialize(group.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "group")).alias("top")).select("cluster", F.col("top.group").alias("group"))
+        # All pairs are compared once every node outside some set of linked nodes has visited; the largest local group is one.
+        sizes = group.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("k"))
+        largest = sizes.groupBy("cluster").agg(F.max(F.struct("k", "group")).alias("top")).select("cluster", F.col("top.group").alias("group"))
         left = group.join(largest, ["cluster", "group"], "left_anti")
         left = left if done is None else left.join(done, "node", "left_anti")
         order = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
-        chosen = materialize(left.select("cluster", "node", F.row_number().over(order).alias("k")).where(F.col("k") <= visitors_).select("cluster", "node"), "visitors")
-        if chosen.isEmpty():
+        first = left.select("cluster", "node", "n", F.row_number().over(order).alias("k")).where(F.col("k") <= visitors_ + 1)
+        first = materialize(first.select("*", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto")), "visitors")
+        chosen = first.where((F.col("k") <= visitors_) & ((F.col("upto") <= visit_shingles) | (F.col("k") == 1))).select("cluster", "node")
+        visiting = first.agg(F.count(F.lit(1)), F.count_if((F.col("k") > visitors_) | ((F.col("upto") > visit_shingles) & (F.col("k") > 1)))).first()
+        if not visiting[0]:
             break
         calls = chosen.join(large, "cluster").select("node", F.col("cluster").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
         calls = calls.join(sets.select("node", "found"), "node")
-        met = residents.groupBy("cluster", "block").cogroup(calls.groupBy("to", "at")).applyInArrow(_visited, "u long, v long")
-        found = materialize(found.union(met.where("u <> v")), "links")
-        done = chosen.select("node") if done is None else materialize(done.union(chosen.select("node")), "done")
+        met = residents.groupBy("cluster", "block").cogroup(calls.groupBy("to", "at")).applyInArrow(_visited, "u long, v long").where("u <> v")
+        found = materialize(met if found is None else found.union(met), "links")
+        if not visiting[1]:
+            break
+        done = materialize(chosen.select("node") if done is None else done.union(chosen.select("node")), "done")
+        root = components(found.union(narrow.where("node <> group").select(F.col("node").alias("u"), F.col("group").alias("v"))))
+        group = narrow.join(root, narrow["node"] == root["u"], "left").select("cluster", "node", "n", F.coalesce("v", "node").alias("group"))
     residents.unpersist()
-    return links.union(found)
+    return links if found is None else links.union(found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

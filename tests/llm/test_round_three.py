@@ -71,8 +71,8 @@ def test_minhash_on_families(spark, monkeypatch):
     texts = [*family(1, 60, 120, 12), *family(2, 25, 40, 3), *family(3, 15, 9, 1), *(f"{shared} " + " ".join(f"u{k}x{i}" for i in range(90)) for k in range(40)), *["the same text here"] * 30]
     sizes, groups = brute_groups(texts)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    for shingles, visitors in ((minhash.BLOCK_SHINGLES, minhash.VISITORS), (1_500, 5)):
-        monkeypatch.setattr(minhash.cluster_links, "__defaults__", (shingles, minhash.BLOCK_NODES, visitors))
+    for shingles, visitors in ((minhash.BLOCK_SHINGLES, minhash.VISITORS), (1_500, 25)):
+        monkeypatch.setattr(minhash.cluster_links, "__defaults__", (shingles, minhash.BLOCK_NODES, visitors, minhash.VISIT_SHINGLES if visitors > 25 else 2_000))
         got = {r.doc_id: r for r in minhash.near_duplicates(frame).collect()}
         assert [got[i].n_shingles for i in range(len(texts))] == sizes
         assert [got[i].component_id for i in range(len(texts))] == groups
