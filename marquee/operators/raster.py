@@ -1,29 +1,126 @@
-"""Accessible population: cheapest walks over a friction grid, per site and mode."""
+"""Windows of tiled rasters around sites, and the population that cheapest walks over a friction grid reach.
+
+A raster is a frame of tiles (tile_row, tile_col, row0, col0, height, width, values row by row), as ``sources.tiff``
+reads it or ``tiled`` makes it from cells, and a ``Grid``.  A window joins the tiles it touches by their numbers; only
+its own stretch of each row is kept.  A window's size follows from the metres it reaches and not from the data.
+"""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.functions import affine, geo
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A raster's affine map, size, tile size, and the value that stands for none."""
+
+    gt: affine.Affine
+    width: int
+    height: int
+    tile_width: int = 256
+    tile_height: int = 256
+    nodata: float | None = None
+
+
+def tiled(cells: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Cells (row, col, value; those missing are null) as tiles, for each of the keys' values."""
+    place = [F.floor(F.col(c) / s).cast("int").alias(n) for c, s, n in (("row", grid.tile_height, "tile_row"), ("col", grid.tile_width, "tile_col"))]
+    placed = cells.select(*keys, *place, "row", "col", "value")
+    row0, col0 = F.col("tile_row") * grid.tile_height, F.col("tile_col") * grid.tile_width
+    height, width = F.least(F.lit(grid.tile_height), grid.height - row0).cast("int"), F.least(F.lit(grid.tile_width), grid.width - col0).cast("int")
+    at = ((F.col("row") - row0) * width + F.col("col") - col0).cast("int")
+    packed = placed.groupBy(*keys, "tile_row", "tile_col").agg(F.map_from_entries(F.collect_list(F.struct(at, F.col("value").cast("double")))).alias("m"))
+    values = F.transform(F.sequence(F.lit(0), height * width - 1), lambda k: F.try_element_at("m", k))
+    return packed.select(*keys, "tile_row", "tile_col", row0.cast("int").alias("row0"), col0.cast("int").alias("col0"), height.alias("height"), width.alias("width"), values.alias("values"))
+
+
+def windows(sites: DataFrame, grid: Grid, metres: float) -> DataFrame:
+    """Sites (site_id, lon, lat) with the columns and rows of the raster around them, and whether the raster holds all of them.
+
+    The window holds the circle's eight points of the compass with two pixels to spare; ``inside`` says whether any of it
+    lies in the raster.
+    """
+    ring = F.transform(F.array(*[F.lit(float(b)) for b in range(0, 360, 45)]), lambda b: geo.destination(F.col("lon"), F.col("lat"), b, F.lit(float(metres))))
+    ring = F.concat(ring, F.array(F.struct("lon", "lat")))
+
+    def pixel(p: Column) -> Column:
+        col, row = affine.to_pixel(grid.gt, p["lon"], p["lat"])
+        return F.struct(col.alias("col"), row.alias("row"))
+
+    found = sites.select("site_id", "lon", "lat", F.transform(ring, pixel).alias("ring"))
+    of = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    raw = {f"{a}0": F.floor(of(F.array_min, c)) - 2 for a, c in (("x", "col"), ("y", "row"))} | {f"{a}1": F.ceil(of(F.array_max, c)) + 2 for a, c in (("x", "col"), ("y", "row"))}
+    found = found.withColumns({k: v.cast("int") for k, v in raw.items()}).drop("ring")
+    whole = (F.col("x0") >= 0) & (F.col("y0") >= 0) & (F.col("x1") <= grid.width) & (F.col("y1") <= grid.height)
+    found = found.withColumn("covered", whole)
+    cut = {"x0": F.greatest("x0", F.lit(0)), "y0": F.greatest("y0", F.lit(0)), "x1": F.least("x1", F.lit(grid.width)), "y1": F.least("y1", F.lit(grid.height))}
+    return found.withColumns(cut).withColumn("inside", (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+
+
+def window_rows(found: DataFrame, tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each window and tile it touches, one row a raster row: site_id, the keys, row, col (of the first value) and values."""
+    span = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / size).cast("int"), F.floor((F.col(b) - 1) / size).cast("int")))
+    asked = found.where("inside").withColumn("tile_row", span("y0", "y1", grid.tile_height)).withColumn("tile_col", span("x0", "x1", grid.tile_width))
+    met = asked.select("site_id", "x0", "y0", "x1", "y1", "tile_row", "tile_col").join(tiles, ["tile_row", "tile_col"])
+    first, last = F.greatest("y0", "row0"), F.least(F.col("y1"), F.col("row0") + F.col("height")) - 1
+    left, right = F.greatest("x0", "col0"), F.least(F.col("x1"), F.col("col0") + F.col("width"))
+    rows = met.select("site_id", *keys, "row0", "col0", "width", "values", left.alias("col"), right.alias("right"), F.explode(F.sequence(first, last)).alias("row"))
+    start = (F.col("row") - F.col("row0")) * F.col("width") + F.col("col") - F.col("col0") + 1
+    return rows.select("site_id", *keys, "row", "col", F.slice("values", start, F.col("right") - F.col("col")).alias("values"))
 
-def cost_surface(friction: np.ndarray, start: tuple[int, int], cell_metres: float, most: float) -> np.ndarray:
-    """Minutes from ``start`` to each cell by eight-neighbour moves; friction is minutes per metre, not positive or nan blocks.
+
+def population_within(sites: DataFrame, tiles: DataFrame, grid: Grid, radii: list[int]) -> DataFrame:
+    """Per site and radius the population of the cells whose centres lie within it, cells with and without a value, and coverage."""
+    found = windows(sites, grid, float(max(radii)))
+    cells = window_rows(found, tiles, grid).select("site_id", "row", "col", F.posexplode("values").alias("k", "value"))
+    lon, lat = affine.to_world(grid.gt, F.col("col") + F.col("k") + 0.5, F.col("row") + 0.5)
+    near = cells.join(sites.select("site_id", "lon", "lat"), "site_id").select("site_id", geo.haversine(lon, lat, F.col("lon"), F.col("lat")).alias("distance"), value_of(grid).alias("value"))
+    # A cell counts once, at the smallest radius that holds it; larger radii are sums.
+    ordered = sorted(set(radii))
+    least = F.get(F.array(*[F.lit(r) for r in ordered]), F.size(F.filter(F.array(*[F.lit(r) for r in ordered]), lambda r: r < F.col("distance"))))
+    once = near.select("site_id", "value", least.alias("least")).where(F.col("least").isNotNull()).groupBy("site_id", "least").agg(F.sum("value").alias("p"), F.count("value").alias("v"), F.count(F.lit(1)).alias("n"))
+    spread = once.select("site_id", "p", "v", "n", F.explode(F.filter(F.array(*[F.lit(r) for r in ordered]), lambda r: r >= F.col("least"))).alias("radius"))
+    summed = spread.groupBy("site_id", "radius").agg(F.sum("p").alias("population"), F.sum("v").alias("n_valid"), F.sum("n").alias("n_candidates"))
+    every = found.select("site_id", "covered", "inside", F.explode(F.array(*[F.lit(r) for r in ordered])).alias("radius"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_valid")]
+    return every.join(summed, ["site_id", "radius"], "left").select(
+        "site_id", "radius", F.coalesce("population", F.lit(0.0)).alias("population"), *counts, (F.coalesce("n_candidates", F.lit(0)) - F.coalesce("n_valid", F.lit(0))).alias("n_nodata"), coverage().alias("status")
+    )
+
+
+def value_of(grid: Grid) -> Column:
+    """A population value, or null where there is none."""
+    v = F.col("value")
+    ok = v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v < float("inf"))
+    return F.when(ok if grid.nodata is None else ok & (v != grid.nodata), v)
+
+
+def coverage() -> Column:
+    return F.when(F.col("covered"), "complete").when(F.col("inside"), "partial_source_coverage").otherwise("outside_source_coverage")
+
+
+def cost_surface(friction: np.ndarray, start: tuple[int, int], most: float, step_x: float, step_y: float) -> np.ndarray:
+    """Minutes from ``start`` to each cell by eight-neighbour moves; friction is minutes a unit of the steps, not positive or nan blocks.
 
     A move costs the mean friction of its two cells times its length, so it is the same both ways.
     """
     cost = np.full(friction.shape, np.inf)
     ok = np.isfinite(friction) & (friction > 0)
-    if not ok[start]:
+    if not (0 <= start[0] < friction.shape[0] and 0 <= start[1] < friction.shape[1] and ok[start]):
         return cost
     cost[start] = 0.0
     queue = [(0.0, *start)]
     rows, cols = friction.shape
-    moves = [(a, b, cell_metres * (2**0.5 if a and b else 1.0)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    moves = [(a, b, math.hypot(a * step_y, b * step_x)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     while queue:
         d, r, c = heapq.heappop(queue)
         if d > cost[r, c]:
@@ -38,37 +135,72 @@ def cost_surface(friction: np.ndarray, start: tuple[int, int], cell_metres: floa
     return cost
 
 
-def accessible_population(windows: DataFrame, thresholds: list[float], cell_metres: float) -> DataFrame:
-    """Population within each number of minutes per site and mode.
+_REACH = "site_id string, mode string, minutes double, population double, n_candidates long, n_valid long, n_nodata long, n_reachable long, n_unavailable long, n_friction_cells long, farthest_minutes double, status string"
+
+
+def _dense(rows: pd.DataFrame, window: dict, nodata: float | None) -> np.ndarray:
+    """A window's values; nan where there is none."""
+    found = np.full((window["y1"] - window["y0"], window["x1"] - window["x0"]), np.nan)
+    for row, col, values in zip(rows["row"].astype(int), rows["col"].astype(int), rows["values"]):
+        v = np.array(values, float)
+        found[row - window["y0"], col - window["x0"] : col - window["x0"] + len(v)] = v
+    return found if nodata is None else np.where(found == nodata, np.nan, found)
 
-    ``windows`` has a row per site, mode and cell of the site's bounded window:
-    row, col, friction, population, is_site.  A group is one window, whose size
-    follows from the largest threshold and not from the data.
-    """
-    top = max(thresholds)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        r0, c0 = r.min(), c.min()
-        shape = (r.max() - r0 + 1, c.max() - c0 + 1)
-        friction, people = np.full(shape, np.nan), np.full(shape, np.nan)
-        friction[r - r0, c - c0] = pdf["friction"].to_numpy(float)
-        people[r - r0, c - c0] = pdf["population"].to_numpy(float)
-        at = pdf[pdf["is_site"]].iloc[0]
-        cost = cost_surface(friction, (int(at["row"] - r0), int(at["col"] - c0)), cell_metres, top)
-        valid = np.isfinite(people) & (people >= 0)
-        key = pdf.iloc[0]
-        out = [(key["site_id"], key["mode"], t, float(people[valid & (cost <= t)].sum()), int((cost <= t).sum())) for t in sorted(set(thresholds))]
-        return pd.DataFrame(out, columns=["site_id", "mode", "minutes", "population", "n_cells"])
 
-    return windows.groupBy("site_id", "mode").applyInPandas(one, "site_id string, mode string, minutes double, population double, n_cells long")
+def accessible_population(sites: DataFrame, friction: DataFrame, friction_grid: Grid, population: DataFrame, population_grid: Grid, modes: list[str], minutes: list[float], metres: float) -> DataFrame:
+    """Population that each site reaches within each number of minutes, by mode.
 
+    ``friction`` has tiles by ``mode``, ``population`` tiles.  Walks go over the friction window; a population cell has the
+    cost of the friction cell in which its centre lies.  A site outside either raster, or on a blocked cell, reaches no one
+    and says so in ``status``; a walk that comes to the window's edge within the largest number of minutes is marked.
+    """
+    top, step_x, step_y = max(minutes), math.hypot(friction_grid.gt[1], friction_grid.gt[4]), math.hypot(friction_grid.gt[2], friction_grid.gt[5])
+    each_mode = F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode")
+    bounds = ("lon", "lat", "x0", "y0", "x1", "y1", "covered", "inside")
+    around = {"f": windows(sites, friction_grid, metres), "p": windows(sites, population_grid, metres)}
+    head = around["f"].select("site_id", F.struct(*bounds).alias("f")).join(around["p"].select("site_id", F.struct(*bounds).alias("p")), "site_id").select("site_id", each_mode, "f", "p")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("row", "int"), ("col", "int"), ("values", "array<double>"))]
+    walked = window_rows(around["f"], friction, friction_grid, ("mode",)).select("site_id", "mode", F.lit("f").alias("kind"), "row", "col", "values")
+    lived = window_rows(around["p"], population, population_grid).select("site_id", each_mode, F.lit("p").alias("kind"), "row", "col", "values")
+    shapes = [F.lit(None).cast(dict(head.dtypes)[c]).alias(c) for c in "fp"]
+    rows = head.select("site_id", "mode", F.lit("head").alias("kind"), *nothing, "f", "p")
+    for part in (walked, lived):
+        rows = rows.union(part.select("*", *shapes))
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        heads = pdf[pdf["kind"] == "head"]
+        if not len(heads):
+            return pd.DataFrame(columns=[c.strip().split(" ")[0] for c in _REACH.split(",")])
+        # Whole numbers come as floats where other rows of the group have none.
+        f, p = ({k: int(v) if k[0] in "xy" else v for k, v in dict(heads.iloc[0][c]).items()} for c in "fp")
+        cost = people = np.empty((0, 0))
+        status = None if f["inside"] and p["inside"] else "outside_source_coverage"
+        if status is None:
+            grid = _dense(pdf[pdf["kind"] == "f"], f, friction_grid.nodata)
+            people = _dense(pdf[pdf["kind"] == "p"], p, population_grid.nodata)
+            col, row = affine.to_pixel(friction_grid.gt, float(f["lon"]), float(f["lat"]))
+            start = (math.floor(row) - f["y0"], math.floor(col) - f["x0"])
+            cost = cost_surface(grid, start, top, step_x, step_y)
+            if not np.isfinite(cost).any():
+                status = "friction_cell_unavailable"
+        if status is None:
+            edge = np.concatenate([cost[0], cost[-1], cost[:, 0], cost[:, -1]])
+            status = "complete" if p["covered"] and not np.isfinite(edge).any() else "partial_or_truncated"
+            rows_, cols_ = np.indices(people.shape, dtype=float)
+            x, y = affine.to_world(population_grid.gt, cols_ + p["x0"] + 0.5, rows_ + p["y0"] + 0.5)
+            col, row = affine.to_pixel(friction_grid.gt, x, y)
+            r, c = np.floor(row).astype(int) - f["y0"], np.floor(col).astype(int) - f["x0"]
+            within = (r >= 0) & (c >= 0) & (r < cost.shape[0]) & (c < cost.shape[1])
+            warped = np.full(people.shape, np.inf)
+            warped[within] = cost[r[within], c[within]]
+        else:
+            warped = np.full(people.shape, np.inf)
+        valid = np.isfinite(people) & (people >= 0)
+        known = valid & np.isfinite(warped)
+        out = []
+        for m in sorted(set(minutes)):
+            reached, walks = known & (warped <= m), cost[cost <= m]
+            out.append((key[0], key[1], float(m), float(people[reached].sum()), people.size, int(valid.sum()), int((~valid).sum()), int(reached.sum()), int((valid & ~known).sum()), walks.size, float(walks.max(initial=0.0)), status))
+        return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in _REACH.split(",")])
 
-def demo_windows(spark, size: int = 41) -> DataFrame:
-    """A made-up window per mode: even friction with a slow band, one person in each cell."""
-    cells = spark.range(size * size).select((F.col("id") / size).cast("int").alias("row"), (F.col("id") % size).cast("int").alias("col"))
-    mode = F.explode(F.array(F.struct(F.lit("walking").alias("mode"), F.lit(0.02).alias("f")), F.struct(F.lit("mixed").alias("mode"), F.lit(0.01).alias("f"))))
-    half = size // 2
-    rows = cells.withColumn("m", mode)
-    slow = (F.col("m.mode") == "walking") & F.col("col").between(half + 4, half + 7)
-    return rows.select(F.lit("site:demo").alias("site_id"), F.col("m.mode").alias("mode"), "row", "col", F.when(slow, 0.4).otherwise(F.col("m.f")).alias("friction"), F.lit(1.0).alias("population"), ((F.col("row") == half) & (F.col("col") == half)).alias("is_site"))
+    return rows.groupBy("site_id", "mode").applyInPandas(one, _REACH)
