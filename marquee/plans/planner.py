@@ -215,7 +215,9 @@ def _keyed(packages: DataFrame) -> DataFrame:
 
 def measure(bundle: Bundle, brief: Brief | tuple[Brief, ...], packages: DataFrame) -> DataFrame:
     """Per package and scenario: target chances, reach, influence, serviceable reach, frequency and failure; ``packages`` has package_id, sites (array) and, for several briefs, brief_id."""
-    rates, sums = member_rates(bundle, brief)
+    # Only faces that some package has are measured; their number follows from the packages, not from the inventory.
+    chosen = packages.select(F.explode("sites").alias("site_id")).distinct()
+    rates, sums = member_rates(replace(bundle, sites=bundle.sites.join(chosen, "site_id", "left_semi")), brief)
     sites = _keyed(packages).select("brief_id", "package_id", F.explode("sites").alias("site_id"))
     people = sites.join(rates, ["brief_id", "site_id"]).groupBy("brief_id", "package_id", "scenario", "member_id", "weight", "qi", "serviceability").agg(F.sum("rate").alias("rate"))
     p = F.col("weight") * (1 - F.exp(-F.col("rate")))
@@ -450,118 +452,6 @@ SELECT k AS c_custkey,
 """
 
 
-def reach_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Reach of every package of three faces in three zones, under three scenarios."""
-    bundle, brief = demo_bundle(spark), BRIEFS[0]
-    packages = candidate_sets(bundle, brief).where(F.size("sites") == 3)
-    found = measure(bundle, brief, packages)
-    return found.select("package_id", "scenario", *[F.round(c, 3).alias(c) for c in ("target_chances", "reach", "influence_mass", "serviceable_reach", "influence_capture")], F.round("frequency", 6).alias("frequency"))
-
-
-REACH_PANEL = """
-WITH site AS (SELECT i, i // 2 AS z, i % 2 AS f, ['yaba', 'ikeja', 'vi', 'oshodi', 'lekki'][i // 2 + 1] || '-face-' || (i % 2 + 1) AS id, (48000 + 7500 * i) * 1.18::DOUBLE AS mov, 0.44::DOUBLE + 0.06::DOUBLE * (i % 4) AS vis, CASE WHEN i % 3 = 0 THEN 0.18::DOUBLE ELSE 1.0::DOUBLE END AS up FROM (SELECT unnest(range(10)) AS i)),
-sc AS (SELECT * FROM (VALUES ('low', 0.86::DOUBLE, 0.94::DOUBLE, 0.95::DOUBLE), ('base', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('high', 1.14::DOUBLE, 1.04::DOUBLE, 1.05::DOUBLE)) t(scenario, mm, vm, sm)),
-cell AS (SELECT * FROM (VALUES (0, 250000.0::DOUBLE, 0.20::DOUBLE, 0.82::DOUBLE), (1, 240000.0::DOUBLE, 0.30::DOUBLE, 0.88::DOUBLE), (2, 310000.0::DOUBLE, 0.15::DOUBLE, 0.91::DOUBLE)) t(c, u, qi, sv)),
-ots AS (SELECT scenario, i, z, c, u, qi, sv, mov * mm * least(1.0::DOUBLE, vis * vm) * up * (0.16::DOUBLE + 0.045::DOUBLE * ((z + c + f) % 5)) * sm AS o FROM site, sc, cell),
-mem AS (SELECT scenario, i, c, m, u / 24 AS w, qi, sv, o, (0.55::DOUBLE + ((7 * m + 3 * z + c) % 13)::DOUBLE / 10) * (0.70::DOUBLE + ((5 * m + 3 + c) % 9)::DOUBLE / 10) AS v FROM ots, (SELECT unnest(range(24)) AS m)),
-rate AS (SELECT *, 28 * o / sum(w * v) OVER (PARTITION BY scenario, i, c) * v AS lam FROM mem),
-pk AS (SELECT a.i AS x1, b.i AS x2, d.i AS x3, array_to_string(list_sort([a.id, b.id, d.id]), '|') AS package_id FROM site a JOIN site b ON a.z < b.z JOIN site d ON b.z < d.z),
-pr AS (SELECT package_id, scenario, c, m, w, qi, sv, sum(lam) AS lam FROM pk JOIN rate ON i IN (x1, x2, x3) GROUP BY ALL),
-r AS (SELECT package_id, scenario, sum(w * (1 - exp(-lam))) AS reach, sum(w * qi * (1 - exp(-lam))) AS im, sum(w * qi) AS iu, sum(w * sv * (1 - exp(-lam))) AS sr FROM pr GROUP BY ALL),
-t AS (SELECT package_id, scenario, sum(28 * o) AS tc FROM pk JOIN ots ON i IN (x1, x2, x3) GROUP BY ALL)
-SELECT package_id, scenario, round(tc, 3) AS target_chances, round(reach, 3) AS reach, round(im, 3) AS influence_mass, round(sr, 3) AS serviceable_reach, round(100 * im / iu, 3) AS influence_capture, round(tc / reach, 6) AS frequency FROM r JOIN t USING (package_id, scenario)
-"""
-
-
-_TARGETS_SQL = ", ".join(f"({t}, {SECTORS.index(x[0])}, {t % 3}, {float(x[2])}::DOUBLE, {x[3]}::DOUBLE, {x[4]}::DOUBLE)" for t, x in enumerate(TARGETS))
-_BRIEFS_SQL = ", ".join(f"({n}, '{b.sector}', '{b.objective}', {', '.join(f'{float(WEIGHTS[b.objective][k])}::DOUBLE' for k in 'ADCPE')})" for n, b in enumerate(BRIEFS))
-#: All packages of the demonstration inventory as sets of bits, measured for the three briefs.
-PLAN_CTES = f"""
-site AS (SELECT i, i // 2 AS z, i % 2 AS f, ['yaba', 'ikeja', 'vi', 'oshodi', 'lekki'][i // 2 + 1] AS zone, ['yaba', 'ikeja', 'vi', 'oshodi', 'lekki'][i // 2 + 1] || '-face-' || (i % 2 + 1) AS id, 2800000 + 240000 * i AS rate, (48000 + 7500 * i) * 1.18::DOUBLE AS mov, 0.44::DOUBLE + 0.06::DOUBLE * (i % 4) AS vis,
-  CASE WHEN i % 3 = 0 THEN 0.9::DOUBLE * 0.2::DOUBLE ELSE 1.0::DOUBLE END AS up FROM (SELECT unnest(range(10)) AS i)),
-sc AS (SELECT * FROM (VALUES ('low', 0.86::DOUBLE, 0.94::DOUBLE, 0.95::DOUBLE), ('base', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('high', 1.14::DOUBLE, 1.04::DOUBLE, 1.05::DOUBLE)) t(scenario, mm, vm, sm)),
-tg AS (SELECT * FROM (VALUES {_TARGETS_SQL}) t(t, s, c, u, qi, sv)), br AS (SELECT * FROM (VALUES {_BRIEFS_SQL}) t(s, sector, objective, wa, wd, wc, wp, we)),
-ots AS (SELECT scenario, i, z, s, t, u, qi, sv, mov * mm * least(1.0::DOUBLE, vis * vm) * up * ((0.16::DOUBLE + 0.045::DOUBLE * ((z + s + c + f) % 5)) * sm) AS o FROM site, sc, tg),
-mem AS (SELECT scenario, i, s, t, m, u / 24 AS w, qi, sv, o, (0.55::DOUBLE + ((7 * m + 3 * z + t) % 13)::DOUBLE / 10) * (0.70::DOUBLE + ((5 * m + 3 + t) % 9)::DOUBLE / 10) AS v FROM ots, (SELECT unnest(range(24)) AS m)),
-rate AS (SELECT *, o / sum(w * v) OVER (PARTITION BY scenario, i, t) AS k FROM mem),
-fail AS (SELECT scenario, i, s, bool_or(k < 1e-6::DOUBLE OR k > 12 OR k * v > 8) AS bad FROM rate GROUP BY ALL),
-mask AS (SELECT m AS mk, string_agg(id, '|' ORDER BY id) AS package_id, sum(rate)::DOUBLE AS cost, count(*) AS n, count(DISTINCT z) AS nz FROM (SELECT unnest(range(1, 1024)) AS m), site WHERE (m >> i) & 1 = 1 GROUP BY 1),
-pr AS (SELECT mk, scenario, s, t, m, w, qi, sv, sum(28 * k * v) AS lam FROM mask JOIN rate ON (mk >> i) & 1 = 1 WHERE n <= 6 GROUP BY ALL),
-r AS (SELECT mk, scenario, s, sum(w * (1 - exp(-lam))) AS reach, sum(w * qi * (1 - exp(-lam))) AS im, sum(w * sv * (1 - exp(-lam))) AS sr FROM pr GROUP BY ALL),
-tc AS (SELECT mk, scenario, s, sum(28 * o) AS tc FROM mask JOIN ots ON (mk >> i) & 1 = 1 WHERE n <= 6 GROUP BY ALL), fb AS (SELECT mk, scenario, s, bool_or(bad) AS bad FROM mask JOIN fail ON (mk >> i) & 1 = 1 WHERE n <= 6 GROUP BY ALL),
-d AS (SELECT r.mk, r.scenario, r.s, CASE WHEN NOT bad AND tc / reach <= 12 THEN CASE objective WHEN 'broad_reach' THEN reach WHEN 'influential_core' THEN im ELSE sr END END AS delivery FROM r JOIN tc USING (mk, scenario, s) JOIN fb USING (mk, scenario, s) JOIN br ON br.s = r.s),
-p AS (SELECT mk, s, max(delivery) FILTER (WHERE scenario = 'low') AS lo, max(delivery) FILTER (WHERE scenario = 'base') AS ba, max(delivery) FILTER (WHERE scenario = 'high') AS hi FROM d GROUP BY ALL),
-pil AS (SELECT mk, s, avg(55 + 5 * ((i + 3 * s) % 8)) AS a, avg(50 + 5 * ((2 * i + s) % 9)) AS c, avg(58 + 5 * ((z + s) % 7)) AS p, avg(52 + 5 * ((9 - i + s) % 8)) AS e FROM mask JOIN site ON (mk >> i) & 1 = 1 CROSS JOIN (SELECT s FROM br) WHERE n BETWEEN 3 AND 6 GROUP BY ALL),
-cand AS (SELECT sector, s, mk, package_id, cost, CASE WHEN lo <= ba AND ba <= hi THEN round(ba, 6) END AS delivery, a, c, pil.p, e, wa, wd, wc, wp, we, cost <= 18000000 AS valid FROM mask JOIN p USING (mk) JOIN pil USING (mk, s) JOIN br USING (s) WHERE n BETWEEN 3 AND 6 AND nz = 3 AND cost <= 30000000),
-dd AS (SELECT *, CASE WHEN delivery IS NOT NULL THEN 100.0::DOUBLE * ((rank() OVER (PARTITION BY s, delivery IS NULL ORDER BY delivery) - 1) + 0.5::DOUBLE * count(*) OVER (PARTITION BY s, delivery)) / count(delivery) OVER (PARTITION BY s) END AS mid FROM cand),
-ff AS (SELECT *, round((a * wa + mid * wd + c * wc + dd.p * wp + e * we) / 100, 9) AS fit FROM dd),
-rk AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY valid DESC, CASE WHEN NOT valid THEN cost - 18000000 END NULLS FIRST, fit DESC NULLS LAST, CASE WHEN fit IS NULL THEN (a + c + ff.p + e) / 4 END DESC NULLS LAST, cost, package_id) AS rank FROM ff)
-"""
-PLAN_CANDIDATES = f"""
-WITH {PLAN_CTES} SELECT sector, package_id, cost, round(delivery, 3) AS delivery, round(fit, 6) AS fit, valid, CASE WHEN valid THEN '' ELSE 'BUDGET_EXCEEDED' END AS reasons, rank::INT AS rank FROM rk
-"""
-PLAN_OPTIONS = f"""
-WITH {PLAN_CTES}, sc0 AS (SELECT *, coalesce(fit, (a + c + rk.p + e) / 4) AS score FROM rk), b AS (SELECT * FROM sc0 WHERE rank = 1),
-x AS (SELECT sc0.* FROM sc0 JOIN b USING (s) WHERE sc0.mk <> b.mk QUALIFY row_number() OVER (PARTITION BY sc0.s ORDER BY sc0.valid DESC, sc0.delivery DESC NULLS LAST, sc0.rank) = 1),
-y AS (SELECT sc0.* FROM sc0 JOIN b USING (s) JOIN x USING (s) WHERE sc0.mk <> b.mk AND sc0.mk <> x.mk
-  QUALIFY row_number() OVER (PARTITION BY sc0.s ORDER BY sc0.score >= b.score - 5 DESC, sc0.valid DESC, CASE WHEN sc0.score >= b.score - 5 THEN sc0.cost END NULLS FIRST, sc0.rank) = 1)
-SELECT sector, 'best_overall' AS style, package_id, cost, round(fit, 6) AS fit, round(delivery, 3) AS delivery FROM b UNION ALL SELECT sector, 'maximum_delivery', package_id, cost, round(fit, 6), round(delivery, 3) FROM x UNION ALL SELECT sector, 'budget_smart', package_id, cost, round(fit, 6), round(delivery, 3) FROM y
-"""
-REACH_LEAVE_ONE_OUT = f"""
-WITH {PLAN_CTES}, v AS (SELECT mk, delivery FROM d WHERE s = 0 AND scenario = 'base'),
-k AS (SELECT mk, package_id FROM mask WHERE n BETWEEN 3 AND 6 AND nz = 3 AND cost <= 30000000),
-zz AS (SELECT k.mk, package_id, zone, k.mk - sum(1 << i)::BIGINT AS rest FROM k JOIN site ON (k.mk >> i) & 1 = 1 GROUP BY k.mk, package_id, zone)
-SELECT package_id, zone AS zone_id, round(greatest(0, v.delivery - w.delivery), 3) AS marginal FROM zz JOIN v ON v.mk = zz.mk JOIN v w ON w.mk = rest
-"""
-
-
-PACKAGE_ESTIMATES = f"""
-WITH {PLAN_CTES}, w AS (SELECT mk, s, scenario, reach, CASE objective WHEN 'broad_reach' THEN reach WHEN 'influential_core' THEN im ELSE sr END AS v, tc, NOT bad AND tc / reach <= 12 AS ok FROM r JOIN tc USING (mk, scenario, s) JOIN fb USING (mk, scenario, s) JOIN br USING (s)),
-a AS (SELECT mk, s, bool_and(ok) AS whole, max(reach) FILTER (WHERE scenario = 'base') AS reach, max(tc) FILTER (WHERE scenario = 'base') AS tc, max(v) FILTER (WHERE scenario = 'low') AS lo, max(v) FILTER (WHERE scenario = 'base') AS ba, max(v) FILTER (WHERE scenario = 'high') AS hi FROM w GROUP BY ALL),
-e AS (SELECT *, CASE WHEN NOT whole THEN 'UNIQUE_REACH_UNAVAILABLE' WHEN s = 1 THEN 'INFLUENCE_PROFILE_INCOMPATIBLE' WHEN NOT (lo <= ba AND ba <= hi) THEN 'INCOHERENT_OBJECTIVE_RANGE' END AS reason FROM a)
-SELECT sector, package_id, CASE WHEN whole THEN 'scenario_target_reach' ELSE 'target_ots' END AS claim, round(CASE WHEN whole THEN reach ELSE tc END, 3) AS claim_value, CASE WHEN reason IS NULL THEN round(lo, 3) END AS low, CASE WHEN reason IS NULL THEN round(ba, 3) END AS base, CASE WHEN reason IS NULL THEN round(hi, 3) END AS high, reason
-FROM e JOIN mask USING (mk) JOIN br USING (s) WHERE n BETWEEN 3 AND 6 AND nz = 3 AND cost <= 30000000
-"""
-
-
-def _sector_names(df: DataFrame) -> DataFrame:
-    return df.withColumn("sector", F.element_at(F.array(*[F.lit(b.sector) for b in BRIEFS]), F.col("brief_id") + 1)).drop("brief_id")
-
-
-def plan_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    found = _sector_names(candidates(demo_bundle(spark), BRIEFS))
-    return found.select("sector", "package_id", "cost", F.round("delivery", 3).alias("delivery"), F.round("fit", 6).alias("fit"), "valid", F.array_join("reasons", ",").alias("reasons"), "rank")
-
-
-def plan_options(spark: SparkSession, sf: str) -> DataFrame:
-    found = _sector_names(options(candidates(demo_bundle(spark), BRIEFS)))
-    return found.select("sector", "style", "package_id", "cost", F.round("fit", 6).alias("fit"), F.round("delivery", 3).alias("delivery"))
-
-
-def package_estimates(spark: SparkSession, sf: str) -> DataFrame:
-    """All packages of the three briefs; the second brief has no fitting influence inputs."""
-    bundle = demo_bundle(spark)
-    word, flag = pa.string(), pa.bool_()
-    n = len(BRIEFS)
-    inputs = literal_table(
-        spark,
-        {"brief_id": list(range(n)), "highest": ["scenario_target_reach"] * n, "reach_ok": [True] * n, "influence_ok": [k != 1 for k in range(n)], "serviceability_ok": [True] * n, "activity": [50.0] * n} | {f"{g}_grade": ["D"] * n for g in ("reach", "influence", "serviceability")},
-        {"brief_id": pa.int32(), "highest": word, "reach_ok": flag, "influence_ok": flag, "serviceability_ok": flag, "activity": pa.float64(), "reach_grade": word, "influence_grade": word, "serviceability_grade": word},
-    )
-    found = _sector_names(estimate(bundle, BRIEFS, candidate_sets(bundle, BRIEFS), inputs))
-    return found.select("sector", "package_id", F.col("claim.kind").alias("claim"), F.round("claim.value", 3).alias("claim_value"), *[F.round(f"delivery.{x}", 3).alias(x) for x in ("low", "base", "high")], "delivery.reason")
-
-
-def reach_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
-    bundle, brief = demo_bundle(spark), BRIEFS[0]
-    return leave_one_zone_out(bundle, brief, candidate_sets(bundle, brief)).select("package_id", "zone_id", F.round("marginal", 3).alias("marginal"))
-
-
 ENTRIES = {
     "claim_ladder": (claim_ladder, CLAIM_LADDER),
-    "reach_panel": (reach_panel, REACH_PANEL),
-    "plan_candidates": (plan_candidates, PLAN_CANDIDATES),
-    "plan_options": (plan_options, PLAN_OPTIONS),
-    "package_estimates": (package_estimates, PACKAGE_ESTIMATES),
-    "reach_leave_one_out": (reach_leave_one_out, REACH_LEAVE_ONE_OUT),
 }
