@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.plans import cells, context, governance, governed, inventory, places, planner, rules, warehouse
+from marquee.plans import cells, context, governance, governed, inventory, jobs, places, planner, rules, warehouse
 
-MODULES = (warehouse, places, governance, planner, inventory, context, rules, governed, cells)
+MODULES = (warehouse, places, governance, planner, inventory, jobs, context, rules, governed, cells)
 
 
 def entries() -> dict[str, tuple]:
