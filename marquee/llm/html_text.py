@@ -12,7 +12,11 @@ Two additions keep what an article holds between its dense parts.  What stands
 between two taken children of one parent is taken, and so are the paragraphs, lists,
 tables, quotations and headings next to a taken child, unless half of their text is
 in links; of an element that only leads down to taken ones, just the headings right
-before it.
+before it.  A plain box without links beside a taken child is taken inside a box of
+their own (a lead or a byline), not where the parts of the page stand, and so is a box
+that holds just a heading before one.  Within what is taken, parts less dense than the
+threshold that are mostly several links (a menu in a cell beside the text) go, and at
+its ends short blocks that begin by speaking of the site's cookies.
 
 Elements that never hold the article (menus, page headers and footers, sidebars,
 notices, adverts, forms, reader comments, scripts, styles) are left out before
@@ -21,6 +25,7 @@ container, or an id of a plain one, that consists of such words (MARK) and words
 boxes, as ``cookie-notice``.  A name that only holds such a word, as
 ``social-impact`` or ``has-sidebar``, is no reason by itself: half of the element's
 text must stand in links, or it must hold form controls and no paragraph or heading.
+Names that are wholly words for adverts and cookies leave out elements of any kind.
 An article's own header stays.  ``<article>`` elements are left out as reader
 comments only, and the body and ``<main>`` never.
 
@@ -70,16 +75,27 @@ IMPLIED = {
 }
 #: Words that mark what is not the article.
 _MARK = (
-    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?"
-    r"|sidebar|footer|masthead|header|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|widget|pagination|complementary|contentinfo|search)"
+    r"(?:ads?|ad(?:box|slot|unit|block|wrap(?:per)?|container)s?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumbs?"
+    r"|sidebar|footer|masthead|header|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|widget|pagination|complementary|contentinfo|search"
+    r"|(?:more|other|latest|popular|trending)[_-](?:stories|articles|news|posts|reads)|read[_-](?:next|also))"
 )
 MARK = re.compile(rf"(?:^|[\s_-]){_MARK}(?:$|[\s_-])", re.I)
 #: A whole name of such words, with words for the kind of box around them.
-_BOX = r"(?:main|top|bottom|left|right|site|page|list|box|bar|area|wrap|wrapper|container|block|slot|unit|links?|posts?|articles?|buttons?|icons?|form|section|thread|item|body|\d+)"
+_BOX = r"(?:main|top|bottom|left|right|site|page|list|box|bar|area|wrap|wrapper|container|block|slot|unit|links?|posts?|articles?|buttons?|icons?|form|section|thread|item|body|reader|user|visitor|guest|google|story|inline|mobile|desktop|\d+)"
 WHOLE = re.compile(rf"(?:{_BOX}[_-])*{_MARK}(?:[_-](?:{_MARK}|{_BOX}))*", re.I)
 COMMENT = re.compile(rf"(?:{_BOX}[_-])*(?:comments?|repl(?:y|ies)|responses?)(?:[_-]{_BOX})*", re.I)
-PLAIN = frozenset("div ul ol dl table".split())
-CONTAINERS = PLAIN | {"section", "aside", "nav"}
+#: Names that leave out an element of any kind: adverts and notices about cookies.
+ANYWHERE = re.compile(
+    rf"(?:(?:{_BOX}|notice|banner|message|text|label)[_-])*(?:ads?|ad(?:box|slot|unit|block|wrap(?:per)?|container)s?|advert\w*|adsense|sponsor(?:ed|s)?|cookies?|gdpr)(?:[_-](?:{_BOX}|notice|banner|message|consent|text|label|content))*", re.I
+)
+PLAIN = frozenset("div ul ol dl table section".split())
+CONTAINERS = PLAIN | {"aside", "nav"}
+#: Elements whose share of links decides about them within the article too.
+PARTS = PLAIN | {"tr", "td", "th", "tbody", "details", "center"}
+#: A notice about cookies, which no name may mark.
+COOKIES = re.compile(r"\s*(?:(?:we|our partners and we|this (?:web)?site|our (?:web)?site|by (?:using|continuing)\b[^.]{0,80})\b[^.]{0,40}\bcookies?\b)", re.I)
+SITE = re.compile(r"site|experience|consent|accept|privacy|browser|agree|traffic", re.I)
+NOTICE_CHARS = 600
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTROLS = frozenset("form input button select textarea".split())
 ARTICLE = frozenset("article main".split())
@@ -87,6 +103,7 @@ ARTICLE = frozenset("article main".split())
 UNSEEN = frozenset("script style template noscript title head input button select textarea".split())
 #: What belongs to the text when it stands next to it; RUN is text without an element of its own.
 RUN = "#run"
+BOXES = frozenset("div header center".split())
 FLOW = HEADINGS | frozenset(("p", "ul", "ol", "dl", "table", "blockquote", "pre", "figure", "section", "details", RUN))
 
 _NAME = re.compile(r"[a-zA-Z][^\s>/]*")
@@ -123,7 +140,9 @@ def marked(tag: str, attributes: str) -> tuple[bool, bool]:
             if name == "class" and any(map(COMMENT.fullmatch, value.split())):
                 return True, False
             continue
-        if name == "id" and tag == "section" or not MARK.search(value):
+        if name == "class" and any(map(ANYWHERE.fullmatch, value.split())):
+            return True, False
+        if not MARK.search(value):
             continue
         if tag in (PLAIN if name == "id" else CONTAINERS) and any(map(WHOLE.fullmatch, value.split())):
             return True, False
@@ -380,9 +399,66 @@ def select(root: Node, nodes: list[Node]) -> list[Node]:
             found.append(n)
         elif id(n) in leads:
             todo += reversed(together(n, leads))
+    for n in found:
+        prune(n, threshold)
+    without_notices(found[0], 0)
+    without_notices(found[-1], -1)
     return found
 
 
+def prune(top: Node, threshold: float) -> None:
+    """Leave out the parts of a taken subtree that are less dense than the threshold and mostly several links: menus beside the text."""
+    todo = [top]
+    while todo:
+        for x in todo.pop().children:
+            if isinstance(x, str) or x.out or not x.chars or not x.block:
+                continue
+            if x.tag in PARTS and x.density < threshold and x.link_tags > 1 and 2 * x.link_chars >= x.chars:
+                x.out = True
+            else:
+                todo.append(x)
+
+
+def notice(n: Node) -> bool:
+    """Whether a short block speaks of the site's cookies from its beginning."""
+    if n.chars > NOTICE_CHARS:
+        return False
+    text = "".join(words(n))
+    return bool(COOKIES.match(text) and SITE.search(text))
+
+
+def without_notices(n: Node, end: int) -> None:
+    """Leave out the blocks at one end of a subtree that are such notices."""
+    while True:
+        own = [x for x in n.children if not isinstance(x, str) and not x.out and x.chars and x.block]
+        if not own or any(isinstance(x, str) and x.strip() for x in n.children):
+            return
+        if notice(own[end]):
+            own[end].out = True
+        else:
+            n = own[end]
+
+
+def words(top: Node) -> Iterator[str]:
+    todo: list = [top]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            yield n
+        elif not n.out:
+            todo += reversed(n.children)
+
+
+def only_heading(n: Node) -> bool:
+    """Whether an element leads down to one heading and nothing else."""
+    while n.tag not in HEADINGS:
+        own = [x for x in n.children if not isinstance(x, str) and not x.out and x.chars]
+        if len(own) != 1 or own[0].chars != n.chars:
+            return False
+        n = own[0]
+    return True
+
+
 def together(parent: Node, leads: set[int]) -> list[Node]:
     """The children of a node with taken ones below it that are taken, lead to taken ones, or stand with those."""
     own = [x for x in parent.children if not isinstance(x, str) and not x.out and x.chars]
@@ -392,8 +468,14 @@ def together(parent: Node, leads: set[int]) -> list[Node]:
     for k in range(sure[0], sure[-1]):
         kept[k] = kept[k] or not loose[k]
     flows = any(own[k].taken for k in sure)
+    # A plain box beside a taken part belongs to it inside a box of their own, not where the page's parts stand.
+    inside = parent.tag not in ("html", "body") and any(x.taken for x in own)
     for step, k in ((-1, sure[0] - 1), (1, sure[-1] + 1)):
-        while 0 <= k < len(own) and not loose[k] and (own[k].tag in FLOW if flows else step < 0 and own[k].tag in HEADINGS):
+        while 0 <= k < len(own) and not loose[k] and not notice(own[k]):
+            x = own[k]
+            heading = step < 0 and (x.tag in HEADINGS or x.tag in BOXES and only_heading(x))
+            if not (heading or flows and (x.tag in FLOW or inside and x.tag in BOXES and not x.link_tags)):
+                break
             kept[k] = True
             k += step
     for x, keep in zip(own, kept):

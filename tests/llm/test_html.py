@@ -60,10 +60,117 @@ def test_densities_and_heart(seed):
         blocks = [y for y in x if y.tag not in inline and count(y)[0]]
         sums.append(sum(density(y, body) for y in blocks) if blocks else d * (x.tag not in inline))
     assert root.best.total == pytest.approx(max(sums))
-    taken = html_text.select(root, nodes)
-    above = root.best
-    while above not in taken:
-        above = above.parent
+
+
+INLINE_TAGS = {"a", "b", "i"}
+
+
+def plain_selection(tree):
+    """The text by the definition: heart, threshold, further parts, what stands with them, and link-dense parts within."""
+    body = tree.find("body")
+    parent = {x: y for y in tree.iter() for x in y}
+    d = {x: density(x, body) for x in body.iter()}
+    c, lc = {x: count(x)[0] for x in body.iter()}, {x: count(x, True) for x in body.iter()}
+    blocks = lambda x: [y for y in x if y.tag not in INLINE_TAGS and c[y]]
+    total = {x: (sum(d[y] for y in blocks(x)) if blocks(x) else d[x]) if x.tag not in INLINE_TAGS else 0.0 for x in body.iter()}
+    order = {x: k for k, x in enumerate(body.iter())}
+    best = lambda top: max((x for x in top.iter() if x.tag not in INLINE_TAGS and c[x]), key=lambda x: (total[x], -count(x)[1], -order[x]))
+
+    def ways(x):
+        while x in parent:
+            x = parent[x]
+            yield x
+
+    heart = best(body)
+    threshold = min(d[x] for x in [heart, *ways(heart)] if x in d)
+    taken, leads = {heart}, set(ways(heart))
+
+    def visit(x):
+        if x in taken:
+            return
+        if x not in leads:
+            if x.tag in INLINE_TAGS or d[x] < threshold or 2 * lc[x][0] >= c[x]:
+                return
+            y = best(x)
+            taken.add(y)
+            leads.update(ways(y))
+            if y is x:
+                return
+        for y in blocks(x):
+            visit(y)
+
+    visit(body)
+    flow = {"h2", "p", "ul"}
+
+    def collected(x):
+        if x in taken:
+            return [x]
+        own = blocks(x)
+        sure = [k for k, y in enumerate(own) if y in taken or y in leads]
+        whole = any(own[k] in taken for k in sure)
+        loose = lambda y: 2 * lc[y][0] >= c[y]
+        keep = {k for k in range(sure[0], sure[-1] + 1) if k in sure or not loose(own[k])}
+
+        def beside(y, before):
+            z = y
+            while z.tag == "div" and len(blocks(z)) == 1:
+                z = blocks(z)[0]
+            if before and z.tag == "h2":
+                return True
+            return whole and (y.tag in flow or y.tag == "div" and x.tag not in ("html", "body") and not lc[y][1])
+
+        for step, k in ((-1, sure[0] - 1), (1, sure[-1] + 1)):
+            while 0 <= k < len(own) and not loose(own[k]) and beside(own[k], step < 0):
+                keep.add(k)
+                k += step
+        return [z for k in sorted(keep) for z in (collected(own[k]) if own[k] in leads and own[k] not in taken else [own[k]])]
+
+    def lines(x):
+        inner = [y for y in x if y.tag not in INLINE_TAGS]
+        if not inner:
+            return [" ".join("".join(x.itertext()).split())]
+        return [z for y in inner if not (y.tag in ("div", "ul") and c[y] and d[y] < threshold and lc[y][1] > 1 and 2 * lc[y][0] >= c[y]) for z in lines(y)]
+
+    return [z for x in collected(body) for z in lines(x) if z]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_selection(seed):
+    rng = random.Random(seed)
+    source = f"<html><body>{page(rng)}{page(rng, 1)}{page(rng, 1)}</body></html>"
+    assert html_text.extract(source).split("\n\n") == plain_selection(ET.fromstring(source))
+
+
+TEXT = [WORDS.strip() + f" {k}." for k in range(6)]
+BODY, WHOLE_TEXT = "".join(map(P, TEXT)), "\n\n".join(TEXT)
+NAV = "<nav><a href=/>Home</a></nav>"
+STORIES = "<h3>More</h3><p>One story about a thing that happened</p><p>Other story text here too</p>"
+COOKIES = "We use cookies to improve your experience on this site."
+
+
+@pytest.mark.parametrize(
+    "source, before, after",
+    [
+        (f"<article>{BODY}<section id='comments'>{P(WORDS * 2) * 2}</section></article>", "", ""), (f"<article>{BODY}<div id='reader-comments'>{P(WORDS * 2) * 2}</div></article>", "", ""),
+        (f"<article>{BODY}<ul class='user-comments'><li>{WORDS}</li><li>{WORDS}</li></ul></article>", "", ""), (f"<article>{BODY}<p class='ad'>Buy this now</p>{P('last words')}</article>", "", "\n\nlast words"),
+        (f"<article>{BODY}<p>Then <span class='advert'>Buy now</span> end.</p></article>", "", "\n\nThen end."), *[(f"<article>{BODY}<div class='{c}'>Buy this thing now</div>{P('last')}</article>", "", "\n\nlast") for c in ("google-ad", "story-ad", "adbox")],
+        (f"<article>{BODY}<p class='cookie-notice'>{COOKIES}</p></article>", "", ""), (f"<div>{BODY}</div><div>{COOKIES}</div>", "", ""), (f"<article>{BODY}<div>{COOKIES}</div></article>", "", ""), (f"<article>{BODY}<p>{COOKIES}</p></article>", "", ""),
+        (f"<article>{BODY}</article><div class='more-stories'>{STORIES}</div>", "", ""), (f"<article>{BODY}<div class='more-stories'>{STORIES}</div></article>", "", ""),
+        (f"<table><tr><td><a href=1>menu</a><br><a href=2>menu2</a></td><td>{BODY}</td></tr></table>", "", ""), (f"<article><div class=lead>A short lead.</div><div>{BODY}</div><div class=byline>By Me.</div></article>", "A short lead.\n\n", "\n\nBy Me."),
+        (f"<article><div>{BODY}</div><div>Short tail.</div></article>", "", "\n\nShort tail."), (f"<article><div class=hero><h1>The Title</h1></div><div>{BODY}</div></article>", "The Title\n\n", ""),
+        (f"<div class=hero><h1>The Title</h1></div><div>{BODY}</div><div>Copyright 2020 Site</div>", "The Title\n\n", ""), (f"<article>{P('We use cookies in this recipe, baked for an hour.')}{BODY}</article>", "We use cookies in this recipe, baked for an hour.\n\n", ""),
+    ],
+    ids=range(20),
+)
+def test_what_belongs_to_the_article(source, before, after):
+    assert html_text.extract(f"<body>{NAV}{source}<footer>f</footer></body>") == before + WHOLE_TEXT + after
+
+
+def test_repeated_rows_and_ties(spark):
+    tie = f"<body><div>{P(TEXT[0])}</div><hr><div>{P(TEXT[0])}</div></body>"
+    rows = [(1, "u", tie, "x"), (1, "u", tie, "x"), (None, None, f"<body>{BODY}</body>", "y"), (2, "v", None, None)]
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == [(0, WHOLE_TEXT), *[(1, html_text.extract(tie))] * 2, (2, "")] and all(r.n_chars == len(r.text) for r in got)
 
 
 @pytest.mark.parametrize(
