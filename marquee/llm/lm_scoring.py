@@ -48,8 +48,6 @@ from marquee.llm import memo
 from marquee.llm.features import words
 from marquee.llm.scratch import materialize
 
-#: Entries that a model spreads its added counts over, at the least; a larger vocabulary counts in full.
-WORDS = 2048
 #: Words and documents after which a chunk is closed.
 CHUNK, CHUNK_DOCS = 1_000_000, 50_000
 #: Keys that a range should hold, and the least number of leading bits that make ranges.
@@ -293,7 +291,7 @@ def score_documents(docs: DataFrame, good: DataFrame) -> DataFrame:
     asks = listed.cogroup(pairs.select("chunk", "leads", "kinds").groupBy("chunk")).applyInArrow(_ask_words(bits, range_bits), _ASK)
     found = materialize(answers(asks), "sums")
     # All distinct words, the start, and one never seen.
-    size = max(WORDS, (found.agg(F.sum("n_first")).first()[0] or 0) + 1)
+    size = (found.agg(F.sum("n_first")).first()[0] or 0) + 1
     sums = pairs.select("chunk", "range", "sums", F.lit(False).alias("of_words")).union(found.select("chunk", "range", "sums", F.lit(True)))
     scored = content.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInArrow(_score(tokens, size, bits), _SCORE)
     return scored.select("*", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
