@@ -26,9 +26,10 @@ of vectors verified falls.
 Defined cases: vectors that are null, zero, or hold null or non-finite numbers take
 no part, neither do rows without an id.  Vectors of different lengths are no
 neighbours; each length is searched by itself.  Equal vectors are kept together in
-a bucket and give way to smaller ids.  A repeated query id is searched once, a
-repeated candidate row counts each time.  Other columns, whatever their names, are
-not read.  An empty table gives an empty result.
+a bucket and give way to smaller ids.  A repeated query id is searched once, by the
+least of its vectors (by their bytes); only that row is no candidate of its own, the
+id's other rows and repeated candidates count each.  Other columns, whatever their
+names, are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -232,7 +233,10 @@ class Tree:
         for k in near[near >= 0]:
             v = self.original[k]
             score = float(original @ v) / (size * float(np.sqrt(v @ v)))
-            found += [(-score, int(i)) for i in self.ids[k] if i != own]
+            ids = self.ids[k].tolist()
+            if own in ids and np.array_equal(v, original):
+                ids.remove(own)
+            found += [(-score, i) for i in ids]
         return [(-s, i) for s, i in sorted(found)[:K]]
 
 
@@ -283,7 +287,7 @@ def _of_size(raw: DataFrame, size: int, total: int, is_query: Column, certainty:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec_id", "v", "leaf"])
 
     placed = materialize(clean.mapInArrow(place, "vec_id long, v binary, leaf int"), "vectors")
-    queries = placed.where(is_query).dropDuplicates(["vec_id"])
+    queries = placed.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "leaf")).alias("q")).select("vec_id", "q.v", "q.leaf")
     # At most LEAVES rows.
     shards = {r[0]: -(-r[1] // SHARD) for r in placed.groupBy("leaf").count().collect()}
     split = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair]) if shards else F.lit(None).cast("map<int,int>")

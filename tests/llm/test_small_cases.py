@@ -644,9 +644,6 @@ def brute_losses(table, good):
 
     docs = [(i, words(t)) for i, t in table]
     count = collections.Counter(w for _, ws in docs for w in ws)
-    h = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w.encode())).view(np.int64))
-    vocab = set(sorted(count, key=lambda w: (-count[w], h(w)))[: lm_scoring.WORDS - 2])
-    coded = [(i, [w if w in vocab else None for w in ws]) for i, ws in docs]
 
     def model(chosen):
         pairs = collections.Counter()
@@ -657,14 +654,14 @@ def brute_losses(table, good):
             unigram[b] += n
             seen[a] += n
             kinds[a] += 1
-        total = sum(unigram.values()) + lm_scoring.WORDS - 1
+        total = sum(unigram.values()) + len(count) + 1  # a start and a word never seen
         def loss(a, b):
             u = (unigram[b] + 1) / total
             return -math.log((pairs[a, b] + kinds[a] * u) / (seen[a] + kinds[a]) if seen[a] else u)
         return loss
 
-    target, background = model([ws for i, ws in coded if i in good]), model([ws for _, ws in coded])
-    return {i: tuple(sum(m(a, b) for a, b in zip(["<s>", *ws], ws)) / len(ws) for m in (target, background)) if ws else (None, None) for i, ws in coded}
+    target, background = model([ws for i, ws in docs if i in good]), model([ws for _, ws in docs])
+    return {i: tuple(sum(m(a, b) for a, b in zip(["<s>", *ws], ws)) / len(ws) for m in (target, background)) if ws else (None, None) for i, ws in docs}
 
 
 def test_lm_scoring(spark, docs, empty, labels):
@@ -681,7 +678,7 @@ def test_lm_scoring(spark, docs, empty, labels):
 
 
 def test_lm_scoring_knows_all_words(spark, monkeypatch):
-    """More words than the models' least size; documents that differ in rare words only; several chunks."""
+    """Documents that differ in rare words only; several chunks."""
     monkeypatch.setattr(lm_scoring, "CHUNK", 700, raising=False)
     common, rare = [f"c{k}" for k in range(2100)], lambda side, k: f"{side}{k % 30}"
     table = [(i, " ".join([*common, *common])) for i in range(2)]
@@ -689,7 +686,6 @@ def test_lm_scoring_knows_all_words(spark, monkeypatch):
     good = {10 + i for i in range(0, 20, 2)}
     frame = spark.createDataFrame(table, "doc_id long, text string").repartition(2)
     got = {r.doc_id: r for r in lm_scoring.score_documents(frame, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()}
-    monkeypatch.setattr(lm_scoring, "WORDS", 2100 + 40 + 2)
     for i, (t, b) in brute_losses(table, good).items():
         assert (got[i].target_loss, got[i].background_loss) == (pytest.approx(t, rel=1e-9), pytest.approx(b, rel=1e-9))
     assert max(got[10 + i].difference for i in range(20, 40, 2)) < min(got[10 + i].difference for i in range(21, 40, 2))
@@ -737,3 +733,22 @@ def test_html_keeps_what_only_sounds_like_furniture():
     want = ["Title", long, "Impact", "Work before.", "One month.", "Search", "code here", "A caption", "Let x=1 and more of it.", "Kept", "Theory."]
     left_out = "<div class='sidebar'>Side</div><div class='comment-list'>A reader.</div><div class='my-related-things'><a href=x>Elsewhere</a></div><div class='x-search'>Find <input></div><div class='ad'>Buy</div>"
     assert html_text.extract(f"<body><article>{body}{left_out}</article></body>") == "\n\n".join(want)
+
+
+def test_repeated_query_ids_are_one_query_however_dealt(spark):
+    """Of a repeated id the least vector asks; the id's other rows are candidates like any."""
+    rng = np.random.default_rng(4)
+    table = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    table += [(50, rng.normal(size=6).tolist()), (100, table[100][1]), (7, table[50][1])]
+    frame = spark.createDataFrame(table, "vec_id long, embedding array<double>")
+    got = {n: sorted(map(tuple, nearest.neighbours(frame.repartition(n), F.col("vec_id") % 50 == 0).collect())) for n in (1, 5)}
+    assert got[1] == got[5] and len(got[1]) == 6 * nearest.K
+    asked = min((np.array(v).tobytes(), v) for i, v in table if i == 50)[1]
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    score = lambda v: float(np.array(asked) @ np.array(v) / (np.linalg.norm(asked) * np.linalg.norm(v)))
+    others = [(i, v) for i, v in table]
+    others.remove((50, asked))
+    want = sorted((-score(v), i) for i, v in others)[: nearest.K]
+    assert [r[2] for r in got[1] if r[0] == 50] == [i for _, i in want] and unit(asked).shape == (6,)
+    # A second row with a query's id and vector is not its own row.
+    assert (100, 1, 100) in [r[:3] for r in got[1]]
