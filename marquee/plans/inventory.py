@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +135,19 @@ def plan_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("sector", "package_id", "cost", F.round("delivery", 3).alias("delivery"), "fit", F.round("context_score", 6).alias("context_score"), "valid", F.array_join("reasons", ",").alias("reasons"), "rank")
 
 
+#: The first brief after its budgets have changed.
+CHANGED = replace(BRIEFS[0], budget=22_000_000.0, normalization_budget=26_000_000.0)
+PLAN_RECALCULATED = f"WITH {_ctes(BRIEFS[:1])}, {_RANKED} SELECT package_id, cost, round(delivery, 3) AS delivery, fit, valid, rank::INT AS rank FROM rk".replace("30000000", "26000000").replace("18000000", "22000000")
+
+
+def plan_recalculated(spark: SparkSession, sf: str) -> DataFrame:
+    """The plan of a brief whose budgets change, from the measures of the plan before."""
+    bundle = supplier_bundle(spark, sf)
+    before = planner.recalculate(bundle, BRIEFS[0])
+    after = planner.recalculate(bundle, CHANGED, before)
+    return after.ranked.select("package_id", "cost", F.round("delivery", 3).alias("delivery"), "fit", "valid", "rank")
+
+
 PLAN_OPTIONS = f"""
 WITH {_ctes()}, {_RANKED}, sc0 AS (SELECT *, coalesce(fit, context_score) AS score FROM rk), b1 AS (SELECT * FROM sc0 WHERE rank = 1),
 x AS (SELECT sc0.* FROM sc0 JOIN b1 USING (b) WHERE sc0.q <> b1.q QUALIFY row_number() OVER (PARTITION BY sc0.b ORDER BY sc0.valid DESC, sc0.delivery DESC NULLS LAST, sc0.rank) = 1),
@@ -206,6 +221,7 @@ ENTRIES = {
     "reach_panel": (reach_panel, REACH_PANEL),
     "plan_candidates": (plan_candidates, PLAN_CANDIDATES),
     "plan_options": (plan_options, PLAN_OPTIONS),
+    "plan_recalculated": (plan_recalculated, PLAN_RECALCULATED),
     "package_estimates": (package_estimates, PACKAGE_ESTIMATES),
     "reach_leave_one_out": (reach_leave_one_out, REACH_LEAVE_ONE_OUT),
 }

@@ -215,9 +215,18 @@ def _keyed(packages: DataFrame) -> DataFrame:
 
 def measure(bundle: Bundle, brief: Brief | tuple[Brief, ...], packages: DataFrame) -> DataFrame:
     """Per package and scenario: target chances, reach, influence, serviceable reach, frequency and failure; ``packages`` has package_id, sites (array) and, for several briefs, brief_id."""
-    # Only faces that some package has are measured; their number follows from the packages, not from the inventory.
+    rates, sums = member_rates(_faces_of(bundle, packages), brief)
+    return measured_from(bundle, rates, sums, packages)
+
+
+def _faces_of(bundle: Bundle, packages: DataFrame) -> Bundle:
+    """The bundle with the faces alone that some package has; their number follows from the packages, not from the inventory."""
     chosen = packages.select(F.explode("sites").alias("site_id")).distinct()
-    rates, sums = member_rates(replace(bundle, sites=bundle.sites.join(chosen, "site_id", "left_semi")), brief)
+    return replace(bundle, sites=bundle.sites.join(chosen, "site_id", "left_semi"))
+
+
+def measured_from(bundle: Bundle, rates: DataFrame, sums: DataFrame, packages: DataFrame) -> DataFrame:
+    """``measure`` from the members' rates and the chances of faces."""
     sites = _keyed(packages).select("brief_id", "package_id", F.explode("sites").alias("site_id"))
     people = sites.join(rates, ["brief_id", "site_id"]).groupBy("brief_id", "package_id", "scenario", "member_id", "weight", "qi", "serviceability").agg(F.sum("rate").alias("rate"))
     p = F.col("weight") * (1 - F.exp(-F.col("rate")))
@@ -314,11 +323,12 @@ def candidate_sets(bundle: Bundle, brief: Brief | tuple[Brief, ...]) -> DataFram
     return top_per(named, ["brief_id"], [F.desc("score"), F.col("cost"), F.col("package_id")], 512).select("brief_id", "package_id", "sites")
 
 
-def candidates(bundle: Bundle, brief: Brief | tuple[Brief, ...], extra: DataFrame | None = None) -> DataFrame:
+def candidates(bundle: Bundle, brief: Brief | tuple[Brief, ...], extra: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
     """All candidate packages with delivery, pillars, fit, validity and rank.
 
     Packages that cannot fly are left out unless none can.  ``extra`` packages are
-    measured against the same cohort without being part of it.
+    measured against the same cohort without being part of it.  ``measured`` holds the
+    measures of all of them where they are known.
     """
     asked = brief_rows(bundle.sites.sparkSession, brief)
     sets = candidate_sets(bundle, brief).withColumn("extra", F.lit(False))
@@ -334,7 +344,8 @@ def candidates(bundle: Bundle, brief: Brief | tuple[Brief, ...], extra: DataFram
     of_brief = Window.partitionBy("brief_id")
     summed = summed.withColumn("__any", F.max(F.col("flies") & ~F.col("extra")).over(of_brief)).where(F.col("flies") | F.col("extra") | ~F.col("__any")).drop("__any")
     # An extra package may be one of the candidates as well; it is measured once.
-    measured = measure(bundle, brief, sets.select("brief_id", "package_id", "sites").dropDuplicates(["brief_id", "package_id"]) if extra is not None else sets)
+    if measured is None:
+        measured = measure(bundle, brief, sets.select("brief_id", "package_id", "sites").dropDuplicates(["brief_id", "package_id"]) if extra is not None else sets)
     goals = asked.select("brief_id", "objective")
     metric = F.when(F.col("objective") == "broad_reach", F.col(DELIVERY["broad_reach"]))
     for objective in ("influential_core", "near_conversion"):
@@ -366,6 +377,57 @@ def candidates(bundle: Bundle, brief: Brief | tuple[Brief, ...], extra: DataFram
     return ranked.drop("budget", "normalization_budget", *[f"w_{k}" for k in "ADCPE"])
 
 
+@dataclass(frozen=True)
+class Basis:
+    """What a plan was made from, kept for the next one: a brief, its faces' rates and chances, and its packages' measures.
+
+    ``fresh`` are the packages that were measured when it was made.
+    """
+
+    brief: Brief
+    rates: DataFrame
+    sums: DataFrame
+    measured: DataFrame
+    fresh: DataFrame
+    ranked: DataFrame
+
+    def release(self) -> None:
+        for df in (self.rates, self.sums, self.measured, self.fresh):
+            df.unpersist()
+
+
+def selected_package(spark: SparkSession, sites: list[str]) -> DataFrame:
+    return literal_table(spark, {"brief_id": [0], "package_id": ["|".join(sorted(sites))], "sites": [list(sites)]}, {"brief_id": pa.int32(), "package_id": pa.string(), "sites": pa.list_(pa.string())})
+
+
+def recalculate(bundle: Bundle, brief: Brief, earlier: Basis | None = None, selected: list[str] | None = None) -> Basis:
+    """The plan of a changed brief, or with packages that the user selected, from what an earlier plan of the bundle has measured.
+
+    Rates depend on the sector, the part of the day and the flight alone: if one of these differs all is measured anew.
+    Else only faces without rates and packages without measures are; a change of budget or of pillars needs none.  The
+    selected package is ranked as an ``extra`` one.  Kept frames are persisted; ``release`` frees them.
+    """
+    spark = bundle.sites.sparkSession
+    extra = selected_package(spark, selected) if selected else None
+    sets = candidate_sets(bundle, brief)
+    if extra is not None:
+        sets = sets.unionByName(extra).dropDuplicates(["brief_id", "package_id"])
+    sets = sets.persist()
+    basis = ("sector", "daypart", "flight_start", "flight_end")
+    same = earlier is not None and all(getattr(earlier.brief, n) == getattr(brief, n) for n in basis)
+    fresh = (sets.join(earlier.measured.select("brief_id", "package_id").distinct(), ["brief_id", "package_id"], "left_anti") if same else sets).persist()
+    faces = _faces_of(bundle, fresh)
+    if same:
+        faces = replace(faces, sites=faces.sites.join(earlier.sums.select("site_id").distinct(), "site_id", "left_anti"))
+    new_rates, new_sums = member_rates(faces, brief)
+    rates, sums = ((earlier.rates.unionByName(new_rates), earlier.sums.unionByName(new_sums)) if same else (new_rates, new_sums))
+    rates, sums = rates.persist(), sums.persist()
+    added = measured_from(bundle, rates, sums, fresh)
+    measured = (earlier.measured.unionByName(added) if same else added).persist()
+    ranked = candidates(bundle, brief, extra, measured.join(sets.select("brief_id", "package_id"), ["brief_id", "package_id"], "left_semi"))
+    return Basis(brief, rates, sums, measured, fresh, ranked)
+
+
 def options(ranked: DataFrame) -> DataFrame:
     """Per brief best overall, maximum delivery and budget smart, none twice; invalid packages only where no valid one is left.
 
