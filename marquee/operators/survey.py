@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,3 +168,41 @@ def canonical_responses(rows: DataFrame, multi: dict[str, tuple[tuple[str, str],
     )
     matrix = F.array(*[F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), c(col).try_cast("double").alias("rating")) for a, b, col in ratings])
     return rows.select("source_row", eligible.alias("eligible"), city.alias("city"), age.alias("age_band"), commute_pattern(c("commute")).alias("commute_pattern"), moment(c("started")).alias("started"), moment(c("ended")).alias("ended"), *[v.alias(q) for q, v in chosen.items()], matrix.alias("ratings"), diagnostics.alias("diagnostics"))
+
+
+@dataclass(frozen=True)
+class Workbook:
+    """What a survey's workbook must be; ``header_sha256`` is the digest of its column names as a JSON list."""
+
+    source_id: str
+    sha256: str
+    sheet: str
+    rows: int
+    columns: int
+    header_sha256: str
+
+
+#: Fixed values of the survey of 2026.
+SURVEY_2026 = Workbook(
+    "rbl-loma-nigeria-ooh-consumer-penetration-2026-r1", "780a9fbaa2b4e736c4a4236fae751cb8c314aabaf6cad8206e553870bc5032e2", "Nigeria OOH 3", 1_844, 302, "8ef2dc4ede086ba1e7b28e78f9c413eeea4463ee658b9f394dfbc7b955d12acc"
+)
+
+
+def header_digest(headers: list[str]) -> str:
+    return hashlib.sha256(json.dumps(headers, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def structure_failures(rows: DataFrame, sha256: str, wanted: Workbook = SURVEY_2026) -> list[str]:
+    """What in a workbook's rows (sheet, row from 1, cells) and checksum is not as wanted, in order; empty if all is.
+
+    The first row of the wanted sheet holds the column names; rows after it that have a filled cell are data.
+    """
+    sheet = rows.where(F.col("sheet") == wanted.sheet)
+    head = sheet.where("row = 1").select("cells").first()
+    headers = list(head.cells) if head else []
+    filled = F.exists("cells", lambda x: F.length(F.trim(F.coalesce(x, F.lit("")))) > 0)
+    checks = {
+        "SOURCE_SHA256_MISMATCH": sha256 == wanted.sha256, "SHEET_NAME_MISMATCH": head is not None, "COLUMN_COUNT_MISMATCH": len(headers) == wanted.columns, "HEADER_SHA256_MISMATCH": header_digest(headers) == wanted.header_sha256,
+        "DATA_ROW_COUNT_MISMATCH": sheet.where((F.col("row") > 1) & filled).count() == wanted.rows,
+    }
+    return [code for code, ok in checks.items() if not ok]
