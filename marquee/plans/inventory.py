@@ -86,7 +86,7 @@ _SCENARIOS_SQL = ", ".join(f"('{n}', {m}::DOUBLE, {v}::DOUBLE, {s}::DOUBLE)" for
 
 
 def _ctes(briefs: tuple[Brief, ...] = BRIEFS, claims: list[tuple[int, bool]] | None = None) -> str:
-    """Packages of the best eight zones' one or two best sites, measured member by member."""
+    """Packages of the best eight zones' one or two best sites, or of all sites if they are few, measured member by member."""
     return f"""
 {_briefs_sql(briefs, claims or [(5, True)] * len(briefs))},
 li AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
@@ -98,7 +98,10 @@ top AS (SELECT *, row_number() OVER (PARTITION BY b, zone ORDER BY score DESC, r
 zone AS (SELECT b, zone, count(*) AS held FROM top GROUP BY b, zone QUALIFY row_number() OVER (PARTITION BY b ORDER BY avg(score) DESC, zone) <= 8),
 v AS (SELECT b, zone, n FROM zone, (SELECT unnest([1, 2]) AS n) WHERE n <= held),
 trio AS (SELECT b, row_number() OVER () AS q, [x.zone, y.zone, w.zone] AS zones, [x.n, y.n, w.n] AS ns FROM v x JOIN v y USING (b) JOIN v w USING (b) WHERE x.zone < y.zone AND y.zone < w.zone),
-inn AS (SELECT t.b, q, top.k, id, top.zone, rate FROM (SELECT b, q, unnest(zones) AS zone, unnest(ns) AS n FROM trio) t JOIN top ON top.b = t.b AND top.zone = t.zone AND place <= n),
+num AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS faces FROM site),
+masks AS (SELECT m FROM (SELECT unnest(range(1, (SELECT CASE WHEN max(faces) <= {planner.MAX_EXHAUSTIVE_SITES} THEN 1::BIGINT << max(faces) ELSE 1 END FROM num))) AS m) JOIN num ON (m >> i) & 1 = 1 GROUP BY m HAVING count(*) BETWEEN 3 AND 6 AND count(DISTINCT zone) = 3),
+inn AS (SELECT t.b, q, top.k, id, top.zone, rate FROM (SELECT b, q, unnest(zones) AS zone, unnest(ns) AS n FROM trio) t JOIN top ON top.b = t.b AND top.zone = t.zone AND place <= n WHERE (SELECT max(faces) FROM num) > {planner.MAX_EXHAUSTIVE_SITES}
+  UNION ALL SELECT b, -m, k, id, zone, rate FROM masks JOIN num ON (m >> i) & 1 = 1, br),
 pk AS (SELECT b, q, string_agg(id, '|' ORDER BY id) AS package_id, sum(rate) AS cost, count(*) AS n FROM inn GROUP BY ALL HAVING sum(rate) <= 30000000),
 mb AS (SELECT c_nationkey * 5 + list_position({list(SEGMENTS)}, c_mktsegment) - 1 AS j, count(*) * 100.0::DOUBLE AS w FROM customer GROUP BY 1),
 used AS (SELECT DISTINCT b, k FROM inn),
