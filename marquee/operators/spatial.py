@@ -4,11 +4,16 @@ Points meet through grid cells as wide as the largest distance, one side spread
 over its nine neighbouring cells, so that a join by distance is an equi-join on
 the cell followed by the exact test.  Several radii are served by one such join at
 the largest radius.
+
+Rows that share a position have the same distances, so callers measure positions
+(``positions``, with the places of a position added up beforehand) and hand what
+was found to every row there (``for_each``): the number of pairs follows from the
+positions, however many rows stand at them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import geo
@@ -28,29 +33,61 @@ def within(left: DataFrame, right: DataFrame, metres: float, max_latitude: float
     return pairs.withColumn("distance", geo.haversine(F.col("lon"), F.col("lat"), F.col("to_lon"), F.col("to_lat"))).where(F.col("distance") <= metres)
 
 
+def positions(rows: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """The distinct positions of rows."""
+    return rows.select(lon, lat).distinct()
+
+
+def tasks(spark: SparkSession) -> int:
+    """The number of tasks for a step whose work its input's size does not show, so that Spark would join them to few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def for_each(sites: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found for positions (lon, lat), for each site there.
+
+    If that is many rows a position, sites of a position are dealt to several tasks, each with a copy of the position's
+    rows; there are no more copies than sites at a position on average.
+    """
+    n, places = sites.agg(F.count(F.lit(1)), F.countDistinct("lon", "lat")).first()
+    copies = max(1, min(COPIES, n // max(places, 1)))
+    parts = tasks(sites.sparkSession)
+    dealt = sites.withColumn("__copy", (F.monotonically_increasing_id() % copies).cast("int")).repartition(parts, "lon", "lat", "__copy")
+    copied = found.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(parts, "lon", "lat", "__copy")
+    return dealt.join(copied, ["lon", "lat", "__copy"]).drop("__copy")
+
+
+#: The most tasks that the sites of one position are dealt to.
+COPIES = 16
+
+
 def by_radius(pairs: DataFrame, radii: list[int]) -> DataFrame:
     """Each pair once for every radius that reaches it."""
     return pairs.withColumn("radius", F.explode(F.filter(F.array(*[F.lit(r) for r in sorted(set(radii))]), lambda r: F.col("distance") <= r)))
 
 
-def radius_summary(sites: DataFrame, pairs: DataFrame, radii: list[int], key: str, counts: dict[str, Column], covered: Column | None = None) -> DataFrame:
-    """Counts per site and radius; covered radii without a hit give zeros, uncovered ones give no row."""
+def radius_summary(sites: DataFrame, pairs: DataFrame, radii: list[int], key: str, counts: dict[str, Column], covered: Column | None = None, at: list[str] | None = None) -> DataFrame:
+    """Counts per site and radius; covered radii without a hit give zeros, uncovered ones give no row.
+
+    ``at``: the columns of ``sites`` that ``pairs`` are by, if not by the key.
+    """
+    at = at or [key]
     every = sites.withColumn("radius", F.explode(F.array(*[F.lit(r) for r in sorted(set(radii))])))
     if covered is not None:
         every = every.where(covered)
-    found = by_radius(pairs, radii).groupBy(key, "radius").agg(*[c.alias(n) for n, c in counts.items()])
-    return every.join(found, [key, "radius"], "left").select(key, "radius", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts])
+    found = by_radius(pairs, radii).groupBy(*at, "radius").agg(*[c.alias(n) for n, c in counts.items()])
+    return every.join(found, [*at, "radius"], "left").select(key, "radius", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in counts])
 
 
-def count_map(rows: DataFrame, keys: list[str], category: str) -> DataFrame:
-    """A map of category to count per key, in order of the category."""
-    n = rows.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("n"))
+def count_map(rows: DataFrame, keys: list[str], category: str, count: Column | None = None) -> DataFrame:
+    """A map of category to count per key, in order of the category; ``count`` is the number that a row stands for."""
+    n = rows.groupBy(*keys, category).agg(F.sum(F.lit(1) if count is None else count).alias("n"))
     return n.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(category).alias("k"), F.col("n").alias("v"))))).alias("counts"))
 
 
-def entropy(rows: DataFrame, keys: list[str], category: str) -> DataFrame:
-    """Shannon entropy (nats) of the known categories per key."""
-    n = rows.where(F.col(category).isNotNull()).groupBy(*keys, category).agg(F.count(F.lit(1)).cast("double").alias("n"))
+def entropy(rows: DataFrame, keys: list[str], category: str, count: Column | None = None) -> DataFrame:
+    """Shannon entropy (nats) of the known categories per key; ``count`` is the number that a row stands for."""
+    n = rows.where(F.col(category).isNotNull()).groupBy(*keys, category).agg(F.sum(F.lit(1) if count is None else count).cast("double").alias("n"))
     total, weighted = F.sum("n"), F.sum(F.col("n") * F.log("n"))
     return n.groupBy(*keys).agg((F.log(total) - weighted / total).alias("entropy"), F.count(F.lit(1)).alias("n_categories"))
 
@@ -137,7 +174,8 @@ def network_context(sites: DataFrame, roads: DataFrame, radii: list[int], max_la
 
 def population_within(sites: DataFrame, cells: DataFrame, radii: list[int]) -> DataFrame:
     """Population sums over raster cells whose centres are within each radius, with valid and nodata cells."""
-    pairs = within(sites.select("site_id", "lon", "lat"), cells.select(F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat"), "value"), float(max(radii)))
-    found = by_radius(pairs, radii).groupBy("site_id", "radius").agg(F.sum("value").alias("population"), F.count("value").alias("n_valid"), F.count_if(F.col("value").isNull()).alias("n_nodata"))
-    every = sites.select("site_id").withColumn("radius", F.explode(F.array(*[F.lit(r) for r in sorted(set(radii))])))
-    return every.join(found, ["site_id", "radius"], "left").select("site_id", "radius", "population", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("n_nodata", F.lit(0)).alias("n_nodata"))
+    centres = cells.groupBy(F.col("lon").alias("to_lon"), F.col("lat").alias("to_lat")).agg(F.sum("value").alias("p"), F.count("value").alias("v"), F.count_if(F.col("value").isNull()).alias("n"))
+    pairs = within(positions(sites), centres, float(max(radii)))
+    found = by_radius(pairs, radii).groupBy("lon", "lat", "radius").agg(F.sum("p").alias("population"), F.sum("v").alias("n_valid"), F.sum("n").alias("n_nodata"))
+    every = sites.select("site_id", "lon", "lat").withColumn("radius", F.explode(F.array(*[F.lit(r) for r in sorted(set(radii))])))
+    return every.join(found, ["lon", "lat", "radius"], "left").select("site_id", "radius", "population", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("n_nodata", F.lit(0)).alias("n_nodata"))
