@@ -142,27 +142,44 @@ def network_context(sites: DataFrame, roads: DataFrame, radii: list[int], max_la
     """Per site and radius: roads, connectors, lengths by class, density, and the nearest road and major road.
 
     ``sites``: site_id, lon, lat; one beyond ``max_latitude``, for which cells are sized, is an error.  ``roads``: road_id, road_class, connectors, path.
+    Rows of one road_id and class are one road, with the segments and connectors of all of them.  Roads of one course are
+    measured once, and sites at one position as well.
     """
     top = float(max(radii))
     size = geo.cell_size(top, max_latitude)
-    sites = geo.up_to_latitude(sites, "lat", max_latitude)
-    seg = segments(roads.select("road_id", "road_class", "connectors", "path"))
+    spots = positions(geo.up_to_latitude(sites, "lat", max_latitude))
+    each_radius = F.explode(F.array(*[F.lit(r) for r in sorted(set(radii))]))
+    # A road's course is its distinct segments in order; a line without a segment is never met.
+    pairs_of = F.filter(F.transform("path", lambda p, i: F.struct(p["lon"].alias("a_lon"), p["lat"].alias("a_lat"), F.get("path", i + 1)["lon"].alias("b_lon"), F.get("path", i + 1)["lat"].alias("b_lat"), (i + 1 < F.size("path")).alias("more"))), lambda s: s["more"])
+    parts = tasks(sites.sparkSession)
+    whole = roads.repartition(parts, "road_id", "road_class").select("road_id", "road_class", "connectors", pairs_of.alias("s")).groupBy("road_id", "road_class").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("course"), F.flatten(F.collect_list("connectors")).alias("connectors"))
+    whole = whole.withColumn("course_id", F.sha2(F.to_json("course"), 256))
+    classes = whole.groupBy("course_id", "road_class").agg(F.count(F.lit(1)).alias("n"), F.min("road_id").alias("road_id"), F.any_value("course").alias("course"))
+    # One row a course, with as many entries as there are classes.
+    courses = classes.groupBy("course_id").agg(F.any_value("course").alias("course"), F.collect_list(F.struct("road_class", "n", "road_id")).alias("roads"))
+    seg = courses.select("course_id", F.inline("course")).drop("more")
     # A segment stands in every cell that its box touches.
     span = lambda a, b: F.sequence(geo.cell(F.least(a, b), size), geo.cell(F.greatest(a, b), size))
     placed = seg.withColumn("gx", F.explode(span(F.col("a_lon"), F.col("b_lon")))).withColumn("gy", F.explode(span(F.col("a_lat"), F.col("b_lat"))))
-    pairs = geo.near_cells(sites.select("site_id", "lon", "lat"), "lon", "lat", size).join(placed, ["gx", "gy"]).drop("gx", "gy").distinct()
-    pairs = pairs.withColumn("radius", F.explode(F.array(*[F.lit(r) for r in sorted(set(radii))])))
-    hits = segment_measures(pairs).where(F.col("distance") <= F.col("radius"))
+    pairs = geo.near_cells(spots, "lon", "lat", size).join(placed, ["gx", "gy"]).drop("gx", "gy").distinct()
+    hits = segment_measures(pairs.withColumn("radius", each_radius)).where(F.col("distance") <= F.col("radius"))
+    met = hits.groupBy("lon", "lat", "radius", "course_id").agg(F.min("distance").alias("distance"), F.sum("length_m").alias("length_m"))
+    lines = met.join(courses.select("course_id", "roads"), "course_id").select("lon", "lat", "radius", "distance", "length_m", F.inline("roads"))
     major = F.col("road_class").isin(*MAJOR_ROADS)
-    lines = hits.groupBy("site_id", "radius", "road_id", "road_class").agg(F.min("distance").alias("distance"), F.sum("length_m").alias("length_m"), F.first("connectors").alias("connectors"))
     least = lambda c: F.min(F.when(c, F.struct("distance", "road_id")))
-    summary = lines.groupBy("site_id", "radius").agg(
-        F.count(F.lit(1)).alias("n_roads"), F.count_if(major).alias("n_major"), F.sum("length_m").alias("length_m"), F.sum(F.when(major, F.col("length_m")).otherwise(0.0)).alias("major_length_m"),
+    total = F.col("n") * F.col("length_m")
+    summary = lines.groupBy("lon", "lat", "radius").agg(
+        F.sum("n").alias("n_roads"), F.sum(F.when(major, F.col("n")).otherwise(0)).alias("n_major"), F.sum(total).alias("length_m"), F.sum(F.when(major, total).otherwise(0.0)).alias("major_length_m"),
         least(F.lit(True)).alias("__n"), least(major).alias("__m"),
     )
-    joints = lines.select("site_id", "radius", F.explode("connectors").alias("c")).groupBy("site_id", "radius").agg(F.countDistinct("c").alias("n_connectors"))
-    every = sites.select("site_id").withColumn("radius", F.explode(F.array(*[F.lit(r) for r in sorted(set(radii))])))
-    out = every.join(summary, ["site_id", "radius"], "left").join(joints, ["site_id", "radius"], "left")
+    # A connector counts from the least radius that holds one of its roads.  Few rows come in and many go out: tasks are set by number.
+    joints = whole.select("course_id", F.explode("connectors").alias("c")).where("c IS NOT NULL").distinct()
+    nearest_met = met.groupBy("lon", "lat", "course_id").agg(F.min("radius").alias("least"))
+    reached = nearest_met.repartition(parts, "course_id").join(joints.repartition(parts, "course_id"), "course_id").groupBy("lon", "lat", "c").agg(F.min("least").alias("least"))
+    counted = reached.groupBy("lon", "lat", "least").agg(F.count(F.lit(1)).alias("n"))
+    joined = counted.withColumn("radius", each_radius).where("radius >= least").groupBy("lon", "lat", "radius").agg(F.sum("n").alias("n_connectors"))
+    every = sites.select("site_id", "lon", "lat").withColumn("radius", each_radius)
+    out = every.join(summary.join(joined, ["lon", "lat", "radius"], "left"), ["lon", "lat", "radius"], "left")
     import math
 
     length = F.coalesce("length_m", F.lit(0.0))

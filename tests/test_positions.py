@@ -13,13 +13,13 @@ QUERIES = ["nearest_class", "nearest_planar", "category_entropy", "points_in_pol
 
 @pytest.fixture(scope="module")
 def shared(spark, tmp_path_factory):
-    """Twenty positions, each with several suppliers and customers."""
+    """A hundred positions, each with several suppliers and customers."""
     folder = tmp_path_factory.mktemp("shared")
-    at = lambda key: (F.col("id") % 20 + F.floor(F.col("id") / 20) * 1000).alias(key)
-    spark.range(20 * COPIES).select(at("s_suppkey")).write.parquet(f"{folder}/supplier.parquet")
+    at = lambda key: (F.col("id") % 100 + F.floor(F.col("id") / 100) * 1000).alias(key)
+    spark.range(100 * COPIES).select(at("s_suppkey")).write.parquet(f"{folder}/supplier.parquet")
     segment = F.element_at(F.array(F.lit("BUILDING"), F.lit("MACHINERY"), F.lit("FURNITURE")), (F.col("id") % 3 + 1).cast("int"))
-    spark.range(20 * COPIES).select(at("c_custkey"), segment.alias("c_mktsegment"), (F.col("id") % 7 - 2.25).alias("c_acctbal")).write.parquet(f"{folder}/customer.parquet")
-    spark.range(20 * COPIES).select(at("p_partkey")).write.parquet(f"{folder}/part.parquet")
+    spark.range(100 * COPIES).select(at("c_custkey"), segment.alias("c_mktsegment"), (F.col("id") % 7 - 2.25).alias("c_acctbal")).write.parquet(f"{folder}/customer.parquet")
+    spark.range(100 * COPIES).select(at("p_partkey")).write.parquet(f"{folder}/part.parquet")
     return str(folder)
 
 
@@ -38,5 +38,17 @@ def test_shared_positions(spark, shared, monkeypatch, name):
     key = lambda r: tuple(map(str, r))
     assert sorted((tuple(r) for r in got.select(columns).collect()), key=key) == sorted(want, key=key)
     # Sites of one position are one side of a pair, whatever their number; only the ranking keeps places apart.
-    assert 0 < met[0].count() <= 20 * 20 * (COPIES if name == "proximity_250m" else 3)
+    assert 0 < met[0].count() <= 100 * 100 * (COPIES if name == "proximity_250m" else 3) / 4
     assert not {"s_suppkey", "polygon_id"} & set(met[0].columns)
+
+
+def test_network_measures_positions(spark, shared, monkeypatch):
+    from marquee.plans import context
+
+    met, measure = [], spatial.segment_measures
+    monkeypatch.setattr(spatial, "segment_measures", lambda pairs: met.append(pairs) or measure(pairs))
+    got = {(r.site_id, r.radius): r for r in context.network_context(spark, shared).collect()}
+    assert len(got) == 100 * COPIES * 2
+    # Two segments and two radii for each position and course at most.
+    assert not {"site_id", "road_id"} & set(met[0].columns) and 0 < met[0].count() <= 100 * 100 * 4
+    assert all(got[f"{k}", r].n_roads == got[f"{k + 1000}", r].n_roads and got[f"{k}", r].n_roads % COPIES == 0 for k in range(100) for r in (500, 1000))
