@@ -102,18 +102,24 @@ def with_segment(rows: DataFrame, texts: list[Column], available: Column, name:
     A term counts as whole words only.  Candidates are taken in order of the rules;
     the first that ``available`` (an array of ``dimension=value``) holds is selected.
     """
+    # Each step is a generated column: Spark would copy a plain one into every place, lambdas included, that reads it.
+    step = lambda df, **made: df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
     rows = rows.withColumn("__brief", nfkd(F.concat_ws(" ", *texts)))
-    text = F.concat(F.lit(" "), brief_text(F.regexp_replace(F.lower(F.col("__brief")), "[₦,–—-]+", " ")), F.lit(" "))
+    rows = step(rows, __text=F.concat(F.lit(" "), brief_text(F.regexp_replace(F.lower(F.col("__brief")), "[₦,–—-]+", " ")), F.lit(" ")))
+    text = F.col("__text")
     candidates = lambda pairs: F.array(*[F.lit(f"{d}={v}") for d, v in pairs])
     rules = F.array(*[F.struct(F.lit(name).alias("name"), _words(terms).alias("words"), candidates(pairs).alias("candidates")) for name, terms, pairs in SEGMENTS])
     found = F.transform(rules, lambda r: F.struct(r["name"].alias("name"), r["candidates"].alias("candidates"), F.filter(r["words"], lambda w: F.contains(text, F.concat(F.lit(" "), w["word"], F.lit(" ")))).alias("hit")))
-    found = F.filter(found, lambda r: F.size(r["hit"]) > 0)
-    asked = F.array_distinct(F.flatten(F.transform(found, lambda r: r["candidates"])))
-    selected = F.get(F.filter(asked, lambda c: F.array_contains(available, c)), F.lit(0))
+    rows = step(rows, __found=F.filter(found, lambda r: F.size(r["hit"]) > 0))
+    found = F.col("__found")
+    rows = step(rows, __asked=F.array_distinct(F.flatten(F.transform(found, lambda r: r["candidates"]))))
+    asked = F.col("__asked")
+    rows = step(rows, __selected=F.get(F.filter(asked, lambda c: F.array_contains(available, c)), F.lit(0)))
+    selected = F.col("__selected")
     place = F.array_position(asked, selected)
     mode = F.when(F.size(asked) == 0, "fallback_no_match").when(selected.isNull(), "fallback_suppressed").when(place == 1, "matched").otherwise("matched_after_suppression")
     answer = F.struct(
         mode.alias("mode"), selected.alias("selected"), F.get(asked, F.lit(0)).alias("requested"), F.array_distinct(F.transform(F.flatten(F.transform(found, lambda r: r["hit"])), lambda w: w["term"])).alias("terms"),
         F.transform(found, lambda r: r["name"]).alias("rules"), F.when(selected.isNull(), asked).otherwise(F.slice(asked, 1, (place - 1).cast("int"))).alias("unavailable"),
     )
-    return rows.withColumn(name, answer).drop("__brief")
+    return rows.withColumn(name, answer).drop("__brief", "__text", "__found", "__asked", "__selected")

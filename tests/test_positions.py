@@ -52,3 +52,15 @@ def test_network_measures_positions(spark, shared, monkeypatch):
     # Two segments and two radii for each position and course at most.
     assert not {"site_id", "road_id"} & set(met[0].columns) and 0 < met[0].count() <= 100 * 100 * 4
     assert all(got[f"{k}", r].n_roads == got[f"{k + 1000}", r].n_roads and got[f"{k}", r].n_roads % COPIES == 0 for k in range(100) for r in (500, 1000))
+
+
+def test_segments_are_steps(spark):
+    """The text is made once: no later expression holds its own copy of the patterns."""
+    from marquee.operators import briefs
+
+    df = briefs.with_segment(spark.createDataFrame([("Campus students",), (None,)], "t string"), [F.col("t")], F.array(F.lit("ageBand=18-25")))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2
+    got = df.collect()
+    assert (got[0].segment.mode, got[0].segment.selected, sorted(got[0].segment.terms)) == ("matched_after_suppression", "ageBand=18-25", ["campus", "students"])
+    assert got[1].segment.mode == "fallback_no_match"
