@@ -14,24 +14,27 @@ REQUIRED = ("advertiser", "state", "city", "category", "format")
 
 def placement_rows(rows: DataFrame, month_first: bool = False, superseded_years: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Records and quarantined rows of ``source, sheet, row, cells``; blank rows are dropped."""
-    cell = lambda k: text.source_text(F.get("cells", F.lit(k)))
     y, q, m = (15, 13, 14) if month_first else (13, 14, 15)
-    blank = ~F.exists("cells", lambda c: text.source_text(c).isNotNull())
-    parsed = rows.where(~blank).select("*", *[cell(k + 1).alias(n) for k, n in enumerate(PLACEMENT)], text.loose_integer(cell(y)).alias("year"), text.loose_integer(F.regexp_replace(cell(q), "(?i)^q", "")).alias("quarter"), text.source_period(cell(m)).alias("period"))
+    # Cells, then what they hold, are generated columns: Spark would copy plain ones into the filters and flags that read them.
+    rows = rows.select("*", F.inline(F.array(F.struct(F.transform("cells", text.source_text).alias("__cells"))))).where(F.exists("__cells", lambda c: c.isNotNull()))
+    cell = lambda k: F.get("__cells", F.lit(k))
+    made = [cell(k + 1).alias(n) for k, n in enumerate(PLACEMENT)] + [text.loose_integer(cell(y)).alias("year"), text.loose_integer(F.regexp_replace(cell(q), "(?i)^q", "")).alias("quarter"), text.source_period(cell(m)).alias("period")]
+    rates = {n: text.loose_number(cell(1 + PLACEMENT.index(n))) for n in ("annual_rate", "monthly_rate")}
+    parsed = rows.select(*[c for c in rows.columns if c != "__cells"], F.inline(F.array(F.struct(*made, *[v.alias(f"__{n}") for n, v in rates.items()]))))
     missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), n) for n in REQUIRED]))
     reason = F.when(F.col("year").isNull() | ~F.col("year").between(1900, 2100), "invalid_year").when(F.size(missing) > 0, "invalid_row_shape")
     parsed = parsed.withColumn("reason", reason)
     flags = F.array_compact(
         F.array(
-            F.when(F.col("annual_rate").isNotNull() & text.loose_number(F.col("annual_rate")).isNull(), "annual_rate_unparsed"),
-            F.when(F.col("monthly_rate").isNotNull() & text.loose_number(F.col("monthly_rate")).isNull(), "monthly_rate_unparsed"),
+            F.when(F.col("annual_rate").isNotNull() & F.col("__annual_rate").isNull(), "annual_rate_unparsed"),
+            F.when(F.col("monthly_rate").isNotNull() & F.col("__monthly_rate").isNull(), "monthly_rate_unparsed"),
             F.when(F.col("period.kind") == "unparsed", "period_unparsed"),
             F.when(F.col("quarter").isNull() | ~F.col("quarter").between(1, 4), "quarter_invalid"),
         )
     )
     status = F.when(F.col("year").isin(*superseded_years), "superseded").otherwise("active") if superseded_years else F.lit("active")
     good = parsed.where("reason IS NULL").select(
-        "source", "sheet", "row", *[c for c in PLACEMENT if "rate" not in c], text.loose_number(F.col("annual_rate")).alias("annual_rate"), text.loose_number(F.col("monthly_rate")).alias("monthly_rate"), "year", "quarter", "period", flags.alias("flags"), status.alias("canonical_status")
+        "source", "sheet", "row", *[c for c in PLACEMENT if "rate" not in c], F.col("__annual_rate").alias("annual_rate"), F.col("__monthly_rate").alias("monthly_rate"), "year", "quarter", "period", flags.alias("flags"), status.alias("canonical_status")
     )
     raw = F.to_json("cells", {"ignoreNullFields": "false"})
     bad = parsed.where("reason IS NOT NULL").select("source", "sheet", "row", "reason", raw.alias("raw"), ids.stable_id("quarantine", F.col("source"), F.col("sheet"), F.col("row").cast("string"), F.col("reason"), raw).alias("quarantine_id"))
@@ -114,7 +117,8 @@ SITE_KEY = ("state", "city", "address", "board_type", "format")
 def site_entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sites by a strict key of five normalised parts, and rows whose key is incomplete, for review."""
     parts = [text.entity_literal(F.col(c)) for c in SITE_KEY]
-    keyed = rows.withColumns({f"__{c}": p for c, p in zip(SITE_KEY, parts)})
+    # Generated, so that the filters do not make their own copies.
+    keyed = rows.select("*", F.inline(F.array(F.struct(*[p.alias(f"__{c}") for c, p in zip(SITE_KEY, parts)]))))
     complete = F.lit(True)
     for c in SITE_KEY:
         complete = complete & F.col(f"__{c}").isNotNull()
@@ -122,11 +126,19 @@ def site_entities(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.drop(*[f"__{c}" for c in SITE_KEY]), keyed.where(~complete).select(*rows.columns)
 
 
-def representative_sites(sites: DataFrame, order: list[Column]) -> DataFrame:
-    """One row per site_id with the attributes of its first row in an order, and its rows and literals' number."""
-    columns = [c for c in sites.columns if c != "site_id"]
+def first_spellings(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row for each spelling of a site's five parts: the first values of the columns of ``order``, and how many rows it stands for (``n_seen``).
+
+    Observations repeat their spellings, so keys and ids are made once for each.
+    """
+    return rows.groupBy(*SITE_KEY).agg(F.min(F.struct(*order)).alias("__first"), F.count(F.lit(1)).alias("n_seen")).select(*SITE_KEY, "__first.*", "n_seen")
+
+
+def representative_sites(sites: DataFrame, order: list[Column], count: str | None = None) -> DataFrame:
+    """One row per site_id with the attributes of its first row in an order, and its rows' number; ``count`` names the column of how many rows a row stands for."""
+    columns = [c for c in sites.columns if c not in ("site_id", count)]
     key = F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)])
-    return sites.groupBy("site_id").agg(F.min_by(F.struct(*columns), key).alias("r"), F.count(F.lit(1)).alias("n_rows")).select("site_id", "r.*", "n_rows")
+    return sites.groupBy("site_id").agg(F.min_by(F.struct(*columns), key).alias("r"), F.sum(F.lit(1) if count is None else F.col(count)).alias("n_rows")).select("site_id", "r.*", "n_rows")
 
 
 def non_empty_rows(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions import text
-from marquee.operators import parse, rebuild, store
+from marquee.operators import parse, rebuild, spatial, store
 from marquee.plans.warehouse import table
 from marquee.sources.runstore import RunStore, run_id, scratch_root
 
@@ -23,7 +23,8 @@ def drive_steps(rows: DataFrame, earlier: Callable[[], DataFrame | None]) -> lis
     """
 
     def seed(_: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        records, quarantine = parse.placement_rows(rows)
+        # Sheets are small files whose cells take long to read; rows are dealt to tasks first.
+        records, quarantine = parse.placement_rows(rows.repartition(spatial.tasks(rows.sparkSession)))
         return {"records": records, "quarantine": quarantine}
 
     def persist(t: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -64,3 +64,16 @@ def test_segments_are_steps(spark):
     got = df.collect()
     assert (got[0].segment.mode, got[0].segment.selected, sorted(got[0].segment.terms)) == ("matched_after_suppression", "ageBand=18-25", ["campus", "students"])
     assert got[1].segment.mode == "fallback_no_match"
+
+
+def test_cells_are_parsed_once(spark):
+    """Filters and flags read the parsed columns; none holds its own copy of the patterns."""
+    from marquee.operators import parse
+
+    cells = ["1", "A", "r", "S", " C ", None, "b", "Beer", "Billboard", "O", "c", "1,200.5", "n/a", "1999", "Q2", "May"]
+    good, bad = parse.placement_rows(spark.createDataFrame([("s", "t", 1, cells), ("s", "t", 2, [None, " "]), ("s", "t", 3, cells[:5])], "source string, sheet string, row long, cells array<string>"))
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in "".join(x for x in plan.splitlines() if "Filter" in x)
+    (row,) = good.collect()
+    assert (row.annual_rate, row.monthly_rate, row.year, row.quarter, row.city, list(row.flags)) == (1200.5, None, 1999, 2, "C", ["monthly_rate_unparsed"])
+    assert [(r.row, r.reason) for r in bad.collect()] == [(3, "invalid_year")]
