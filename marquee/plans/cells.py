@@ -43,10 +43,11 @@ def resolved_sites(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("State "), k % 5).alias("state"), F.when(k % 7 != 0, F.concat(F.lit("CITY-"), k % 9)).otherwise(" . ").alias("city"), F.concat(k.cast("string"), F.lit(" Road,")).alias("address"), F.col("l_returnflag").alias("board_type"), F.col("l_linestatus").alias("format"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
     )
-    good, review = parse.site_entities(rows)
-    one = parse.representative_sites(good, [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_extendedprice")])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    good, review = parse.site_entities(parse.first_spellings(rows, order))
+    one = parse.representative_sites(good, [F.col(c) for c in order], "n_seen")
     kept = one.select("site_id", "city", F.col("l_orderkey").cast("double").alias("first_order"), "n_rows")
-    return kept.unionByName(review.groupBy("city").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(None).cast("string").alias("site_id"), "city", F.lit(None).cast("double").alias("first_order"), "n_rows"))
+    return kept.unionByName(review.groupBy("city").agg(F.sum("n_seen").alias("n_rows")).select(F.lit(None).cast("string").alias("site_id"), "city", F.lit(None).cast("double").alias("first_order"), "n_rows"))
 
 
 RESOLVED_SITES = f"""

@@ -77,3 +77,15 @@ def test_cells_are_parsed_once(spark):
     (row,) = good.collect()
     assert (row.annual_rate, row.monthly_rate, row.year, row.quarter, row.city, list(row.flags)) == (1200.5, None, 1999, 2, "C", ["monthly_rate_unparsed"])
     assert [(r.row, r.reason) for r in bad.collect()] == [(3, "invalid_year")]
+
+
+def test_spellings_come_before_keys(spark):
+    from marquee.operators import parse
+
+    rows = spark.createDataFrame([("S", " c", "1 Road", "A", "x", 7), ("S", " c", "1 Road", "A", "x", 3), ("s", "C.", "1 road", "a", "X", 5), ("S", ".", "1", "A", "x", 1)], "state string, city string, address string, board_type string, format string, k int")
+    spelled = parse.first_spellings(rows, ["k"])
+    assert spelled.count() == 3
+    good, review = parse.site_entities(spelled)
+    (one,) = parse.representative_sites(good, [F.col("k")], "n_seen").collect()
+    assert (one.k, one.city, one.n_rows) == (3, " c", 3)
+    assert [(r.k, r.n_seen) for r in review.collect()] == [(1, 1)]
