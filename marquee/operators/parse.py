@@ -18,9 +18,12 @@ def placement_rows(rows: DataFrame, month_first: bool = False, superseded_years:
     # Cells, then what they hold, are generated columns: Spark would copy plain ones into the filters and flags that read them.
     rows = rows.select("*", F.inline(F.array(F.struct(F.transform("cells", text.source_text).alias("__cells"))))).where(F.exists("__cells", lambda c: c.isNotNull()))
     cell = lambda k: F.get("__cells", F.lit(k))
-    made = [cell(k + 1).alias(n) for k, n in enumerate(PLACEMENT)] + [text.loose_integer(cell(y)).alias("year"), text.loose_integer(F.regexp_replace(cell(q), "(?i)^q", "")).alias("quarter"), text.source_period(cell(m)).alias("period")]
-    rates = {n: text.loose_number(cell(1 + PLACEMENT.index(n))) for n in ("annual_rate", "monthly_rate")}
-    parsed = rows.select(*[c for c in rows.columns if c != "__cells"], F.inline(F.array(F.struct(*made, *[v.alias(f"__{n}") for n, v in rates.items()]))))
+    # Numbers and the period are read by functions over arrays: as plain columns they make generated code too long for the JVM to compile.
+    read = F.array(cell(y), F.regexp_replace(cell(q), "(?i)^q", ""), *[cell(1 + PLACEMENT.index(n)) for n in ("annual_rate", "monthly_rate")])
+    rows = rows.select("*", F.inline(F.array(F.struct(F.transform(read, text.loose_number).alias("__numbers"), F.get(F.transform(F.array(cell(m)), text.source_period), F.lit(0)).alias("period")))))
+    number = lambda k: F.get("__numbers", F.lit(k))
+    integer = lambda k: F.when(number(k) == F.floor(number(k)), number(k).cast("long"))
+    parsed = rows.select(*[c for c in rows.columns if c not in ("__cells", "__numbers", "period")], *[cell(k + 1).alias(n) for k, n in enumerate(PLACEMENT)], integer(0).alias("year"), integer(1).alias("quarter"), "period", number(2).alias("__annual_rate"), number(3).alias("__monthly_rate"))
     missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), n) for n in REQUIRED]))
     reason = F.when(F.col("year").isNull() | ~F.col("year").between(1900, 2100), "invalid_year").when(F.size(missing) > 0, "invalid_row_shape")
     parsed = parsed.withColumn("reason", reason)
