@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import affine, geo
+from marquee.operators.spatial import tasks
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,12 @@ def tiled(cells: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame
     return packed.select(*keys, "tile_row", "tile_col", row0.cast("int").alias("row0"), col0.cast("int").alias("col0"), height.alias("height"), width.alias("width"), values.alias("values"))
 
 
+#: Rasters of up to so many cells (and keys) go to all tasks; the tiles of larger ones are joined by their numbers.
+SMALL = 2**20
+
+
 def windows(sites: DataFrame, grid: Grid, metres: float) -> DataFrame:
-    """Sites (site_id, lon, lat) with the columns and rows of the raster around them, and whether the raster holds all of them.
+    """Sites or positions (lon, lat) with the columns and rows of the raster around them, and whether the raster holds all of them.
 
     The window holds the circle's eight points of the compass with two pixels to spare; ``inside`` says whether any of it
     lies in the raster.
@@ -56,7 +61,7 @@ def windows(sites: DataFrame, grid: Grid, metres: float) -> DataFrame:
         col, row = affine.to_pixel(grid.gt, p["lon"], p["lat"])
         return F.struct(col.alias("col"), row.alias("row"))
 
-    found = sites.select("site_id", "lon", "lat", F.transform(ring, pixel).alias("ring"))
+    found = sites.withColumn("ring", F.transform(ring, pixel))
     of = lambda f, c: f(F.transform("ring", lambda p: p[c]))
     raw = {f"{a}0": F.floor(of(F.array_min, c)) - 2 for a, c in (("x", "col"), ("y", "row"))} | {f"{a}1": F.ceil(of(F.array_max, c)) + 2 for a, c in (("x", "col"), ("y", "row"))}
     found = found.withColumns({k: v.cast("int") for k, v in raw.items()}).drop("ring")
@@ -66,35 +71,39 @@ def windows(sites: DataFrame, grid: Grid, metres: float) -> DataFrame:
     return found.withColumns(cut).withColumn("inside", (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
 
 
-def window_rows(found: DataFrame, tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = ()) -> DataFrame:
-    """For each window and tile it touches, one row a raster row: site_id, the keys, row, col (of the first value) and values."""
+def window_rows(found: DataFrame, tiles: DataFrame, grid: Grid, keys: tuple[str, ...] = (), of: tuple[str, ...] = ("site_id",)) -> DataFrame:
+    """For each window and tile it touches, one row a raster row: the columns ``of`` the window, the tiles' keys, row, col (of the first value) and values."""
     span = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(a) / size).cast("int"), F.floor((F.col(b) - 1) / size).cast("int")))
     asked = found.where("inside").withColumn("tile_row", span("y0", "y1", grid.tile_height)).withColumn("tile_col", span("x0", "x1", grid.tile_width))
-    met = asked.select("site_id", "x0", "y0", "x1", "y1", "tile_row", "tile_col").join(tiles, ["tile_row", "tile_col"])
+    met = asked.select(*of, "x0", "y0", "x1", "y1", "tile_row", "tile_col").join(F.broadcast(tiles) if grid.width * grid.height <= SMALL else tiles, ["tile_row", "tile_col"])
     first, last = F.greatest("y0", "row0"), F.least(F.col("y1"), F.col("row0") + F.col("height")) - 1
     left, right = F.greatest("x0", "col0"), F.least(F.col("x1"), F.col("col0") + F.col("width"))
-    rows = met.select("site_id", *keys, "row0", "col0", "width", "values", left.alias("col"), right.alias("right"), F.explode(F.sequence(first, last)).alias("row"))
+    rows = met.select(*of, *keys, "row0", "col0", "width", "values", left.alias("col"), right.alias("right"), F.explode(F.sequence(first, last)).alias("row"))
     start = (F.col("row") - F.col("row0")) * F.col("width") + F.col("col") - F.col("col0") + 1
-    return rows.select("site_id", *keys, "row", "col", F.slice("values", start, F.col("right") - F.col("col")).alias("values"))
+    return rows.select(*of, *keys, "row", "col", F.slice("values", start, F.col("right") - F.col("col")).alias("values"))
 
 
 def population_within(sites: DataFrame, tiles: DataFrame, grid: Grid, radii: list[int]) -> DataFrame:
-    """Per site and radius the population of the cells whose centres lie within it, cells with and without a value, and coverage."""
-    found = windows(sites, grid, float(max(radii)))
-    cells = window_rows(found, tiles, grid).select("site_id", "row", "col", F.posexplode("values").alias("k", "value"))
-    lon, lat = affine.to_world(grid.gt, F.col("col") + F.col("k") + 0.5, F.col("row") + 0.5)
-    near = cells.join(sites.select("site_id", "lon", "lat"), "site_id").select("site_id", geo.haversine(lon, lat, F.col("lon"), F.col("lat")).alias("distance"), value_of(grid).alias("value"))
-    # A cell counts once, at the smallest radius that holds it; larger radii are sums.
+    """Per site and radius the population of the cells whose centres lie within it, cells with and without a value, and coverage.
+
+    Sites at one position share its sums.  Rows are dealt to tasks by position once; the rest needs no further shuffle.
+    """
     ordered = sorted(set(radii))
-    least = F.get(F.array(*[F.lit(r) for r in ordered]), F.size(F.filter(F.array(*[F.lit(r) for r in ordered]), lambda r: r < F.col("distance"))))
-    once = near.select("site_id", "value", least.alias("least")).where(F.col("least").isNotNull()).groupBy("site_id", "least").agg(F.sum("value").alias("p"), F.count("value").alias("v"), F.count(F.lit(1)).alias("n"))
-    spread = once.select("site_id", "p", "v", "n", F.explode(F.filter(F.array(*[F.lit(r) for r in ordered]), lambda r: r >= F.col("least"))).alias("radius"))
-    summed = spread.groupBy("site_id", "radius").agg(F.sum("p").alias("population"), F.sum("v").alias("n_valid"), F.sum("n").alias("n_candidates"))
-    every = found.select("site_id", "covered", "inside", F.explode(F.array(*[F.lit(r) for r in ordered])).alias("radius"))
-    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_valid")]
-    return every.join(summed, ["site_id", "radius"], "left").select(
-        "site_id", "radius", F.coalesce("population", F.lit(0.0)).alias("population"), *counts, (F.coalesce("n_candidates", F.lit(0)) - F.coalesce("n_valid", F.lit(0))).alias("n_nodata"), coverage().alias("status")
-    )
+    dealt = sites.select("site_id", "lon", "lat").repartition(tasks(sites.sparkSession), "lon", "lat")
+    # Windows are opened for aggregated columns, so that the test on them is not moved before the dealing, where few tasks read.
+    spots = dealt.groupBy(F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat")).agg(F.any_value("lon").alias("lon"), F.any_value("lat").alias("lat"))
+    cells = window_rows(windows(spots, grid, float(ordered[-1])), tiles, grid, of=("at_lon", "at_lat")).select("at_lon", "at_lat", "row", "col", F.posexplode("values").alias("k", "value"))
+    to_lon, to_lat = affine.to_world(grid.gt, F.col("col") + F.col("k") + 0.5, F.col("row") + 0.5)
+    near = cells.select("at_lon", "at_lat", geo.haversine(to_lon, to_lat, F.col("at_lon"), F.col("at_lat")).alias("distance"), value_of(grid).alias("value"))
+    # A cell counts once, at the smallest radius that holds it; larger radii are sums.
+    least = F.coalesce(*[F.when(F.col("distance") <= r, F.lit(r)) for r in ordered])
+    once = near.select("at_lon", "at_lat", "value", least.alias("least")).where(F.col("least").isNotNull()).groupBy("at_lon", "at_lat", "least").agg(F.sum("value").alias("p"), F.count("value").alias("v"), F.count(F.lit(1)).alias("n"))
+    summed = once.groupBy(F.col("at_lon").alias("lon"), F.col("at_lat").alias("lat")).agg(F.collect_list(F.struct("least", "p", "v", "n")).alias("s"))
+    every = windows(dealt, grid, float(ordered[-1])).join(summed, ["lon", "lat"], "left").select("site_id", "covered", "inside", "s", F.explode(F.array(*[F.lit(r) for r in ordered])).alias("radius"))
+    upto = F.filter("s", lambda x: x["least"] <= F.col("radius"))
+    total = lambda c, zero: F.coalesce(F.aggregate(upto, F.lit(zero).cast("double" if c == "p" else "long"), lambda a, x: a + F.coalesce(x[c], F.lit(0))), F.lit(zero))
+    found = every.select("site_id", "radius", total("p", 0.0).alias("population"), total("n", 0).alias("n_candidates"), total("v", 0).alias("n_valid"), coverage().alias("status"))
+    return found.select("site_id", "radius", "population", "n_candidates", "n_valid", (F.col("n_candidates") - F.col("n_valid")).alias("n_nodata"), "status")
 
 
 def value_of(grid: Grid) -> Column:

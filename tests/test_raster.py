@@ -181,3 +181,16 @@ def test_walks_over_uneven_ground(spark):
     rings = {(r.site_id, r.radius): r for r in raster.population_within(sites(spark), lived, p, [1000, 4000]).collect()}
     assert rings["out", 1000].status == "outside_source_coverage" and rings["mid", 4000].n_candidates == rings["mid", 4000].n_valid + rings["mid", 4000].n_nodata > rings["mid", 1000].n_candidates > 0
     assert raster.population_within(sites(spark).where(F.lit(False)), lived, p, [1000]).collect() == []
+
+
+def test_rings_measure_positions(spark, monkeypatch):
+    """Windows are opened for positions, whatever the number of sites there; a site without a position has none."""
+    grid, met, rows = raster.Grid(GT, 40, 40, 16, 16), [], raster.window_rows
+    lived = raster.tiled(spark.range(1600).selectExpr("id div 40 AS row", "id % 40 AS col", "id % 7 AS value"), grid)
+    places = spark.range(60).selectExpr("CAST(id AS string) AS site_id", "IF(id = 59, NULL, 3.15D + id % 3 / 100) AS lon", "CAST(6.7 AS double) AS lat")
+    monkeypatch.setattr(raster, "window_rows", lambda found, *a, **k: met.append(found) or rows(found, *a, **k))
+    got = {(r.site_id, r.radius): r for r in raster.population_within(places, lived, grid, [1000, 4000]).collect()}
+    assert len(got) == 120 and met[0].where("lon IS NOT NULL").count() == 3 and "site_id" not in met[0].columns
+    for r in (1000, 4000):
+        assert got["0", r][2:] == got["57", r][2:]
+    assert got["0", 4000].n_candidates == got["0", 4000].n_valid > 0 and got["59", 4000][2:6] == (0.0, 0, 0, 0)
