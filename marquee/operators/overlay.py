@@ -10,7 +10,7 @@ that reach the same stretch of a common side are one part of the circle; only th
 narrow rows come together by circle.
 
 The tiles of a circle are TILES to a side, whatever its radius, so a dense circle is
-many groups.  A polygon is an array of rings, each an array of lon/lat structs, the
+many groups; around a site with few corners (FEW) a circle is one tile.  A polygon is an array of rings, each an array of lon/lat structs, the
 first the outer one; what lies within an odd number of its rings belongs to it.
 """
 
@@ -21,18 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tiles to a side of a circle's box, and corners of the polygon that stands for the circle.
 TILES, CORNERS = 8, 32
+#: Up to so many corners of all polygons near a site, its circles are not cut into tiles.
+FEW = 400
 #: Metres below which heights, widths and stretches count as nothing.
 EPS = 1e-7
 
 Ring = np.ndarray
-_PIECE = "site_id string, radius int, tx int, ty int, polygon_id string, xs array<array<double>>, ys array<array<double>>"
+_PIECE = "site_id string, radius int, tiles int, tx int, ty int, polygon_id string, xs array<array<double>>, ys array<array<double>>"
 _TILE = "site_id string, radius int, polygon_id string, tile int, part int, area double, side string, low double, high double"
-_CIRCLE = "site_id string, radius int, n_extents int, settled_m2 double, n_parts int, largest_m2 double"
+_CIRCLE = "site_id string, radius int, n_extents int, settled_m2 double, n_parts int, largest_m2 double, met array<string>"
 
 
 def circle_area(radius: Column) -> Column:
@@ -107,26 +109,21 @@ def pieces(rings: list[Ring], radius: float, tiles: int) -> Iterator[tuple[int,
     yield from halve(rings, 0, tiles, 0, tiles)
 
 
-def _cut(tiles: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                site, radius, polygon = (batch.column(c)[k].as_py() for c in ("site_id", "radius", "polygon_id"))
-                rings = [np.array([[p["x"], p["y"]] for p in ring], float).reshape(-1, 2) for ring in batch.column("plane")[k].as_py()]
-                found = list(pieces(rings, float(radius), tiles))
-                if not found:
-                    continue
-                n = len(found)
-                cells = [[[r[:, axis].tolist() for r in part] for _, _, part in found] for axis in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([site] * n, pa.string()), pa.array([radius] * n, pa.int32()), pa.array([x for x, _, _ in found], pa.int32()), pa.array([y for _, y, _ in found], pa.int32()),
-                        pa.array([polygon] * n, pa.string()), *(pa.array(c, pa.list_(pa.list_(pa.float64()))) for c in cells),
-                    ],
-                    names=["site_id", "radius", "tx", "ty", "polygon_id", "xs", "ys"],
-                )
-
-    return emit
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            site, radius, tiles, polygon = (batch.column(c)[k].as_py() for c in ("site_id", "radius", "tiles", "polygon_id"))
+            rings = [np.array([[p["x"], p["y"]] for p in ring], float).reshape(-1, 2) for ring in batch.column("plane")[k].as_py()]
+            found = list(pieces(rings, float(radius), tiles))
+            if not found:
+                continue
+            n = len(found)
+            cells = [[[r[:, axis].tolist() for r in part] for _, _, part in found] for axis in (0, 1)]
+            numbers = ([radius] * n, [tiles] * n, [x for x, _, _ in found], [y for _, y, _ in found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([site] * n, pa.string()), *(pa.array(v, pa.int32()) for v in numbers), pa.array([polygon] * n, pa.string()), *(pa.array(c, pa.list_(pa.list_(pa.float64()))) for c in cells)],
+                names=["site_id", "radius", "tiles", "tx", "ty", "polygon_id", "xs", "ys"],
+            )
 
 
 def edges_of(rings: list[Ring]) -> np.ndarray:
@@ -247,21 +244,18 @@ def overlaid(polygons: list[list[Ring]], box: tuple[float, float, float, float])
     return whole, [(side, low, high, parts.find(k)) for side, low, high, k in sides if high - low > EPS]
 
 
-def _overlay(tiles: int):
-    def tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        site, radius, tx, ty = (k.as_py() for k in key)
-        width, names = 2 * radius / tiles, table.column("polygon_id").to_pylist()
-        rings = [[np.array([x, y]).T for x, y in zip(xs, ys)] for xs, ys in zip(table.column("xs").to_pylist(), table.column("ys").to_pylist())]
-        areas, sides = overlaid(rings, tuple(-radius + k * width for k in (tx, ty, tx + 1, ty + 1)))
-        rows = [(None, part, area, None, None, None) for part, area in areas.items()] + [(None, part, None, side, low, high) for side, low, high, part in sides]
-        rows += [(name, None, None, None, None, None) for name, part in zip(names, rings) if sum(abs(_area(r)) for r in part) > EPS]
-        kinds = dict(polygon_id=pa.string(), part=pa.int32(), area=pa.float64(), side=pa.string(), low=pa.float64(), high=pa.float64())
-        columns = {c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())}
-        n = len(rows)
-        columns |= {"site_id": pa.array([site] * n, pa.string()), "radius": pa.array([radius] * n, pa.int32()), "tile": pa.array([ty * tiles + tx] * n, pa.int32())}
-        return pa.table({c.split(" ")[0]: columns[c.split(" ")[0]] for c in _TILE.split(", ")})
-
-    return tile
+def _overlay(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    site, radius, tiles, tx, ty = (k.as_py() for k in key)
+    width, names = 2 * radius / tiles, table.column("polygon_id").to_pylist()
+    rings = [[np.array([x, y]).T for x, y in zip(xs, ys)] for xs, ys in zip(table.column("xs").to_pylist(), table.column("ys").to_pylist())]
+    areas, sides = overlaid(rings, tuple(-radius + k * width for k in (tx, ty, tx + 1, ty + 1)))
+    rows = [(None, part, area, None, None, None) for part, area in areas.items()] + [(None, part, None, side, low, high) for side, low, high, part in sides]
+    rows += [(name, None, None, None, None, None) for name, part in zip(names, rings) if sum(abs(_area(r)) for r in part) > EPS]
+    kinds = dict(polygon_id=pa.string(), part=pa.int32(), area=pa.float64(), side=pa.string(), low=pa.float64(), high=pa.float64())
+    columns = {c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())}
+    n = len(rows)
+    columns |= {"site_id": pa.array([site] * n, pa.string()), "radius": pa.array([radius] * n, pa.int32()), "tile": pa.array([ty * tiles + tx] * n, pa.int32())}
+    return pa.table({c.split(" ")[0]: columns[c.split(" ")[0]] for c in _TILE.split(", ")})
 
 
 def _area(ring: Ring) -> float:
@@ -298,20 +292,23 @@ def _whole(tiles: int):
         for k, a in area.items():
             sizes[parts.find(k)] = sizes.get(parts.find(k), 0.0) + a
         found = [a for a in sizes.values() if a > 1e-6]
-        values = [key[0].as_py(), key[1].as_py(), len(names), math.fsum(found), len(found), max(found, default=0.0)]
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64()]
+        values = [key[0].as_py(), key[1].as_py(), len(names), math.fsum(found), len(found), max(found, default=0.0), sorted(names)]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.list_(pa.string())]
         return pa.table({c.split(" ")[0]: pa.array([v], kind) for c, v, kind in zip(_CIRCLE.split(", "), values, kinds)})
 
     return circle
 
 
-def union_within(near: DataFrame, radii: list[int], tiles: int = TILES) -> DataFrame:
-    """Per site and radius, the area of the union of polygons, its parts and the largest part.
+def union_within(near: DataFrame, radii: list[int], tiles: int | None = None) -> DataFrame:
+    """Per site and radius, the area of the union of polygons, its parts and the largest part, and the ids of the polygons met.
 
     ``near``: site_id, distance, polygon_id and ``plane``, the polygon's rings as arrays of x/y structs in metres around
-    the site.  A circle that no polygon meets has no row.
+    the site.  A circle that no polygon meets has no row.  Without ``tiles`` a circle has TILES to a side, or one if there
+    are few corners near its site.
     """
-    each = near.select("site_id", "distance", "polygon_id", "plane", F.explode(F.array(*[F.lit(r) for r in radii])).alias("radius")).where("distance <= radius")
-    placed = each.select("site_id", F.col("radius").cast("int").alias("radius"), F.col("polygon_id").cast("string").alias("polygon_id"), "plane").mapInArrow(_cut(tiles), _PIECE)
-    overlay = placed.groupBy("site_id", "radius", "tx", "ty").applyInArrow(_overlay(tiles), _TILE)
-    return overlay.groupBy("site_id", "radius").applyInArrow(_whole(tiles), _CIRCLE)
+    corners = F.sum(F.aggregate("plane", F.lit(0), lambda n, r: n + F.size(r))).over(Window.partitionBy("site_id"))
+    sized = near.select("site_id", "distance", F.col("polygon_id").cast("string").alias("polygon_id"), "plane", (F.when(corners <= FEW, 1).otherwise(TILES) if tiles is None else F.lit(tiles)).cast("int").alias("tiles"))
+    each = sized.withColumn("radius", F.explode(F.array(*[F.lit(r) for r in radii]).cast("array<int>"))).where("distance <= radius")
+    placed = each.select("site_id", "radius", "tiles", "polygon_id", "plane").mapInArrow(_cut, _PIECE)
+    overlay = placed.groupBy("site_id", "radius", "tiles", "tx", "ty").applyInArrow(_overlay, _TILE)
+    return overlay.groupBy("site_id", "radius").applyInArrow(_whole(tiles or TILES), _CIRCLE)

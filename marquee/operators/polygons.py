@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from marquee.functions import geo
 from marquee.operators.heads import first_per
-from marquee.operators.spatial import local_xy
+from marquee.operators.spatial import local_xy, tasks
 
 
 def edges(ring: Column) -> Column:
     """Pairs of consecutive corners, the last one with the first."""
-    return F.transform(ring, lambda p, i: F.struct(p.alias("a"), F.get(ring, F.pmod(i + 1, F.size(ring))).alias("b")))
+    # The ring is read a few times and not once a corner, also where it is itself an expression.
+    return F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def on_ring(ring: Column, lon: Column, lat: Column) -> Column:
@@ -71,6 +72,8 @@ def _candidates(points: DataFrame, polygons: DataFrame, size: float) -> DataFram
     placed = levelled.withColumn("gx", cells("xmin", "xmax")).withColumn("gy", cells("ymin", "ymax"))
     own = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
     own = own.withColumns({"gx": F.floor(F.col("lon") / width), "gy": F.floor(F.col("lat") / width)})
+    # Few bytes make much work here: tasks are set by number.
+    own, placed = (df.repartition(tasks(points.sparkSession), "level", "gx", "gy") for df in (own, placed))
     pairs = own.join(placed, ["level", "gx", "gy"]).drop("level", "gx", "gy")
     return pairs.where(F.col("lon").between(F.col("xmin"), F.col("xmax")) & F.col("lat").between(F.col("ymin"), F.col("ymax")))
 

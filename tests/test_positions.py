@@ -89,3 +89,22 @@ def test_spellings_come_before_keys(spark):
     (one,) = parse.representative_sites(good, [F.col("k")], "n_seen").collect()
     assert (one.k, one.city, one.n_rows) == (3, " c", 3)
     assert [(r.k, r.n_seen) for r in review.collect()] == [(1, 1)]
+
+
+def test_settlement_measures_positions_and_shapes(spark, monkeypatch):
+    """Sites of a position and extents of a shape are measured once; an extent of two shapes is one extent, and its rows contain a site each."""
+    from marquee.operators import overlay, settlement
+
+    def square(x, h):
+        return [[{"lon": 3.0 + x + a * h, "lat": 6.0 + b * h} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]]
+
+    rings = "polygon_id string, rings array<array<struct<lon:double,lat:double>>>"
+    extents = spark.createDataFrame([(f"e{k}", square(0, 0.002)) for k in range(6)] + [("e0", square(0.006, 0.001)), ("f", square(0.006, 0.001)), (None, square(0, 0.001))], rings)
+    sites = spark.createDataFrame([(f"s{k}", 3.0 + k % 2 * 0.001, 6.0) for k in range(10)], "site_id string, lon double, lat double")
+    met, union = [], overlay.union_within
+    monkeypatch.setattr(overlay, "union_within", lambda near, *a: met.append(near) or union(near, *a))
+    got = {r.site_id: r for r in settlement.context(sites, extents, spark.createDataFrame([("w", square(0, 0.5))], rings), [1500], 1500.0).collect()}
+    assert met[0].count() == 2 * 2 and len(got) == 10
+    one = got["s0"]
+    assert (one.n_extents, one.n_parts, one.n_containing, one.primary_id, one.inside, one.nearest_m) == (7, 2, 6, "e0", True, 0.0)
+    assert got["s8"][1:] == one[1:] and got["s9"][1:] == got["s1"][1:] and got["s1"].n_extents == 7
