@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import ids, stats, text
 from marquee.operators.heads import first_per, top_per
+from marquee.operators.spatial import tasks
 
 _PLACE = ["state", "city"]
 
@@ -78,22 +79,47 @@ def split_percentiles(rows: DataFrame, keys: list[str], value: str, parts: tuple
     return joined.select(*keys, "n_rows", "n_rated", "lo", *out, "hi", "total")
 
 
+def counted_percentiles(counted: DataFrame, within: list[str], keys: list[str], value: str, parts: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """``percentile_summary`` of values with how often they occur (``n``), from running counts.
+
+    Rows that are dealt by ``within``, some of the keys, are not shuffled again.
+    """
+    v = F.col(value)
+    counts = counted.groupBy(*within, *[k for k in keys if k not in within], value).agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*within, *[k for k in keys if k not in within])
+    rated = F.when(v.isNotNull(), F.col("n")).otherwise(0)
+    ranked = counts.withColumns({"__last": F.sum("n").over(whole.orderBy(v.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)), "__n": F.sum(rated).over(whole)})
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("__last")) & (rank >= F.col("__last") - F.col("n")), v))
+
+    found = []
+    for p in parts:
+        place = (F.col("__n") - 1) * p
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        found.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"p{round(100 * p)}"))
+    total = F.sum(v.cast("decimal(28,4)") * F.col("n").cast("decimal(18,0)")).cast("double").alias("total")
+    return ranked.groupBy(*within, *[k for k in keys if k not in within]).agg(F.sum("n").alias("n_rows"), F.sum(rated).alias("n_rated"), F.min(v).alias("lo"), *found, F.max(v).alias("hi"), total)
+
+
 def rate_benchmarks(placements: DataFrame, bases: dict[str, str]) -> DataFrame:
     """Exact quartiles of each rate basis by period, category and format, at three levels of place.
 
-    ``bases`` names the column of each basis.  Bases and levels become rows, so one
-    shuffle serves them all; a basis name and a place level are part of the id.
-    Sums are decimal, so a mean does not depend on the order of the rows.
+    ``bases`` names the column of each basis.  Placements of a city with the same rates are one row with their number, dealt
+    once by period, category and format; bases and levels are counted from these where they lie.  A basis name and a place
+    level are part of the id.  Sums are decimal, so a mean does not depend on the order of the rows.
     """
-    none = F.lit(None).cast("string")
-    levels = F.inline(F.array(*[F.struct(F.lit(n).alias("level"), s.alias("state"), c.alias("city")) for n, s, c in (("national", none, none), ("state", F.col("__state"), none), ("city", F.col("__state"), F.col("__city")))]))
-    rates = F.inline(F.array(*[F.struct(F.lit(n).alias("rate_basis"), F.col(c).cast("double").alias("rate")) for n, c in bases.items()]))
-    period = [F.col(c).cast("long").alias(c) for c in ("year", "quarter")]
-    rows = placements.select(*period, "category", "format", F.col("state").alias("__state"), F.col("city").alias("__city"), rates)
-    rows = rows.select("year", "quarter", "category", "format", "rate_basis", "rate", levels)
-    keys = ["level", "rate_basis", "year", "quarter", "category", "format", *_PLACE]
-    found = percentile_summary(rows, keys, "rate")
-    return found.select(
+    own = ["year", "quarter", "category", "format"]
+    columns = [*[F.col(c).cast("long").alias(c) for c in own[:2]], *own[2:], *_PLACE, *[F.col(c).cast("double").alias(f"__{n}") for n, c in bases.items()]]
+    dealt = placements.select(*columns).repartition(tasks(placements.sparkSession), *own)
+    counted = dealt.groupBy(*own, *_PLACE, *[f"__{n}" for n in bases]).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.select(*own, *_PLACE, "n", F.inline(F.array(*[F.struct(F.lit(n).alias("rate_basis"), F.col(f"__{n}").alias("rate")) for n in bases])))
+    found = []
+    for level, places in (("national", 0), ("state", 1), ("city", 2)):
+        of_level = counted_percentiles(rows, own, [*own, "rate_basis", *_PLACE[:places]], "rate")
+        found.append(of_level.withColumns({"level": F.lit(level), **{c: F.lit(None).cast("string") for c in _PLACE[places:]}}))
+    keys = ["level", "rate_basis", *own, *_PLACE]
+    return reduce(DataFrame.unionByName, found).select(
         ids.content_id("rate", *[F.col(k) for k in keys]).alias("rate_id"), *keys, "n_rows", "n_rated", (F.col("n_rows") - F.col("n_rated")).alias("n_missing"), F.round("lo", 4).alias("min_rate"),
         *[F.round(f"p{p}", 4).alias(f"p{p}_rate") for p in (25, 50, 75)], F.round("hi", 4).alias("max_rate"), stats.round_half_up(F.col("total") / F.nullif(F.col("n_rated"), F.lit(0)), 4).alias("avg_rate"),
     )

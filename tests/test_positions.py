@@ -108,3 +108,17 @@ def test_settlement_measures_positions_and_shapes(spark, monkeypatch):
     one = got["s0"]
     assert (one.n_extents, one.n_parts, one.n_containing, one.primary_id, one.inside, one.nearest_m) == (7, 2, 6, "e0", True, 0.0)
     assert got["s8"][1:] == one[1:] and got["s9"][1:] == got["s1"][1:] and got["s1"].n_extents == 7
+
+
+def test_rates_are_counted_once(spark, monkeypatch):
+    """Placements of a city with the same rates are one row with their number, before bases and levels are made of them."""
+    from marquee.operators import relational
+
+    met, counted = [], relational.counted_percentiles
+    monkeypatch.setattr(relational, "counted_percentiles", lambda rows, *a: met.append(rows) or counted(rows, *a))
+    rows = spark.range(90).selectExpr("2024 AS year", "1 AS quarter", "'c' AS category", "'f' AS format", "'s' AS state", "IF(id % 3 = 0, 'x', 'y') AS city", "IF(id % 9 = 0, NULL, CAST(id % 3 AS double)) AS a", "CAST(NULL AS double) AS b")
+    got = {(r.level, r.city, r.rate_basis): r for r in relational.rate_benchmarks(rows, {"line": "a", "retail": "b"}).collect()}
+    assert [m.count() for m in met] == [8, 8, 8] and len(got) == 8
+    r = got["national", None, "line"]
+    assert (r.n_rows, r.n_rated, r.n_missing, r.min_rate, r.p25_rate, r.p50_rate, r.p75_rate, r.max_rate, r.avg_rate) == (90, 80, 10, 0.0, 0.75, 1.0, 2.0, 2.0, 1.125)
+    assert got["city", "x", "line"].n_rated == 20 and got["city", "y", "retail"][-7:] == (60, None, None, None, None, None, None)
