@@ -144,15 +144,19 @@ def cost_surface(friction: np.ndarray, start: tuple[int, int], most: float, step
     return cost
 
 
-_REACH = "site_id string, mode string, minutes double, population double, n_candidates long, n_valid long, n_nodata long, n_reachable long, n_unavailable long, n_friction_cells long, farthest_minutes double, status string"
-
-
-def _dense(rows: pd.DataFrame, window: dict, nodata: float | None) -> np.ndarray:
-    """A window's values; nan where there is none."""
-    found = np.full((window["y1"] - window["y0"], window["x1"] - window["x0"]), np.nan)
-    for row, col, values in zip(rows["row"].astype(int), rows["col"].astype(int), rows["values"]):
-        v = np.array(values, float)
-        found[row - window["y0"], col - window["x0"] : col - window["x0"] + len(v)] = v
+_REACH = "lon double, lat double, mode string, minutes double, population double, n_candidates long, n_valid long, n_nodata long, n_reachable long, n_unavailable long, n_friction_cells long, farthest_minutes double, status string"
+#: So many positions are one group, which gets the tiles that their windows touch.
+GROUP = 200
+
+
+def _dense(tiles: pd.DataFrame, y0: int, x0: int, y1: int, x1: int, nodata: float | None) -> np.ndarray:
+    """The values of tiles from row y0 and column x0 on; nan where there is none."""
+    found = np.full((y1 - y0, x1 - x0), np.nan)
+    for r, c, h, w, values in zip(tiles["row0"].astype(int), tiles["col0"].astype(int), tiles["height"].astype(int), tiles["width"].astype(int), tiles["values"]):
+        v = np.array(values, float).reshape(h, w)
+        top, left, low, right = max(r, y0), max(c, x0), min(r + h, y1), min(c + w, x1)
+        if top < low and left < right:
+            found[top - y0 : low - y0, left - x0 : right - x0] = v[top - r : low - r, left - c : right - c]
     return found if nodata is None else np.where(found == nodata, np.nan, found)
 
 
@@ -162,54 +166,75 @@ def accessible_population(sites: DataFrame, friction: DataFrame, friction_grid:
     ``friction`` has tiles by ``mode``, ``population`` tiles.  Walks go over the friction window; a population cell has the
     cost of the friction cell in which its centre lies.  A site outside either raster, or on a blocked cell, reaches no one
     and says so in ``status``; a walk that comes to the window's edge within the largest number of minutes is marked.
+
+    Positions whose windows begin in the same friction tile are dealt to groups of about GROUP, and a group gets its tiles
+    once.  Its area follows from the tile's size and the metres, its number of positions from the dealing.  Walks from one
+    cell over one window are the same.
     """
     top, step_x, step_y = max(minutes), math.hypot(friction_grid.gt[1], friction_grid.gt[4]), math.hypot(friction_grid.gt[2], friction_grid.gt[5])
-    each_mode = F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode")
-    bounds = ("lon", "lat", "x0", "y0", "x1", "y1", "covered", "inside")
-    around = {"f": windows(sites, friction_grid, metres), "p": windows(sites, population_grid, metres)}
-    head = around["f"].select("site_id", F.struct(*bounds).alias("f")).join(around["p"].select("site_id", F.struct(*bounds).alias("p")), "site_id").select("site_id", each_mode, "f", "p")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("row", "int"), ("col", "int"), ("values", "array<double>"))]
-    walked = window_rows(around["f"], friction, friction_grid, ("mode",)).select("site_id", "mode", F.lit("f").alias("kind"), "row", "col", "values")
-    lived = window_rows(around["p"], population, population_grid).select("site_id", each_mode, F.lit("p").alias("kind"), "row", "col", "values")
-    shapes = [F.lit(None).cast(dict(head.dtypes)[c]).alias(c) for c in "fp"]
-    rows = head.select("site_id", "mode", F.lit("head").alias("kind"), *nothing, "f", "p")
-    for part in (walked, lived):
-        rows = rows.union(part.select("*", *shapes))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        heads = pdf[pdf["kind"] == "head"]
-        if not len(heads):
-            return pd.DataFrame(columns=[c.strip().split(" ")[0] for c in _REACH.split(",")])
-        # Whole numbers come as floats where other rows of the group have none.
-        f, p = ({k: int(v) if k[0] in "xy" else v for k, v in dict(heads.iloc[0][c]).items()} for c in "fp")
-        cost = people = np.empty((0, 0))
-        status = None if f["inside"] and p["inside"] else "outside_source_coverage"
-        if status is None:
-            grid = _dense(pdf[pdf["kind"] == "f"], f, friction_grid.nodata)
-            people = _dense(pdf[pdf["kind"] == "p"], p, population_grid.nodata)
-            col, row = affine.to_pixel(friction_grid.gt, float(f["lon"]), float(f["lat"]))
-            start = (math.floor(row) - f["y0"], math.floor(col) - f["x0"])
-            cost = cost_surface(grid, start, top, step_x, step_y)
-            if not np.isfinite(cost).any():
-                status = "friction_cell_unavailable"
-        if status is None:
-            edge = np.concatenate([cost[0], cost[-1], cost[:, 0], cost[:, -1]])
-            status = "complete" if p["covered"] and not np.isfinite(edge).any() else "partial_or_truncated"
-            rows_, cols_ = np.indices(people.shape, dtype=float)
-            x, y = affine.to_world(population_grid.gt, cols_ + p["x0"] + 0.5, rows_ + p["y0"] + 0.5)
-            col, row = affine.to_pixel(friction_grid.gt, x, y)
-            r, c = np.floor(row).astype(int) - f["y0"], np.floor(col).astype(int) - f["x0"]
-            within = (r >= 0) & (c >= 0) & (r < cost.shape[0]) & (c < cost.shape[1])
-            warped = np.full(people.shape, np.inf)
-            warped[within] = cost[r[within], c[within]]
-        else:
-            warped = np.full(people.shape, np.inf)
-        valid = np.isfinite(people) & (people >= 0)
-        known = valid & np.isfinite(warped)
-        out = []
-        for m in sorted(set(minutes)):
-            reached, walks = known & (warped <= m), cost[cost <= m]
-            out.append((key[0], key[1], float(m), float(people[reached].sum()), people.size, int(valid.sum()), int((~valid).sum()), int(reached.sum()), int((valid & ~known).sum()), walks.size, float(walks.max(initial=0.0)), status))
-        return pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in _REACH.split(",")])
-
-    return rows.groupBy("site_id", "mode").applyInPandas(one, _REACH)
+    parts = tasks(sites.sparkSession)
+    bounds = ("x0", "y0", "x1", "y1")
+    # As in population_within, windows are opened after the dealing.
+    spots = sites.select("lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL").repartition(parts, "lon", "lat").groupBy(F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat")).agg(F.any_value("lon").alias("lon"), F.any_value("lat").alias("lat"))
+    spots = windows(spots, friction_grid, metres).select("lon", "lat", *[F.col(c).alias(f"f{c}") for c in bounds], F.col("inside").alias("finside"))
+    spots = windows(spots, population_grid, metres).where("finside AND inside").select("lon", "lat", *[f"f{c}" for c in bounds], *[F.col(c).alias(f"p{c}") for c in bounds], "covered")
+    block = [F.floor(F.col(c) / s).cast("int").alias(n) for c, s, n in (("fy0", friction_grid.tile_height, "block_row"), ("fx0", friction_grid.tile_width, "block_col"))]
+    keys = ["block_row", "block_col", "part"]
+    placed = spots.withColumns({"block_row": block[0], "block_col": block[1]})
+    sizes = placed.groupBy("block_row", "block_col").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("n"))
+    dealt = placed.join(sizes, ["block_row", "block_col"]).withColumn("part", F.pmod(F.xxhash64("lon", "lat"), F.col("n"))).drop("n").repartition(parts, *keys)
+    # The groups' own names for their keys, since both sides of the grouping come from the same rows.
+    owners = [f"of_{k}" for k in keys]
+    area = dealt.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, owners)]).agg(*[f(k + c).alias(k + c) for k in "fp" for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+
+    def touched(kind: str, tiles: DataFrame, grid: Grid, mode: Column) -> DataFrame:
+        span = lambda a, b, size: F.explode(F.sequence(F.floor(F.col(kind + a) / size).cast("int"), F.floor((F.col(kind + b) - 1) / size).cast("int")))
+        asked = area.withColumn("tile_row", span("y0", "y1", grid.tile_height)).withColumn("tile_col", span("x0", "x1", grid.tile_width))
+        met = asked.join(F.broadcast(tiles) if grid.width * grid.height <= SMALL else tiles, ["tile_row", "tile_col"])
+        return met.select(*owners, F.lit(kind).alias("kind"), mode.alias("mode"), "row0", "col0", "height", "width", "values")
+
+    grounds = touched("f", friction, friction_grid, F.col("mode")).union(touched("p", population, population_grid, F.lit(None).cast("string"))).repartition(parts, *owners)
+    names = [c.strip().split(" ")[0] for c in _REACH.split(",")]
+
+    def group(places: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
+        out, walks = [], {}
+        if not len(places):
+            return pd.DataFrame(columns=names)
+        fx, fy, px, py = (int(places[c].min()) for c in ("fx0", "fy0", "px0", "py0"))
+        fx_, fy_, px_, py_ = (int(places[c].max()) for c in ("fx1", "fy1", "px1", "py1"))
+        ways = {m: _dense(tiles[(tiles["kind"] == "f") & (tiles["mode"] == m)], fy, fx, fy_, fx_, friction_grid.nodata) for m in modes}
+        lived = _dense(tiles[tiles["kind"] == "p"], py, px, py_, px_, population_grid.nodata)
+        rows, cols = np.indices(lived.shape, dtype=float)
+        col, row = affine.to_pixel(friction_grid.gt, *affine.to_world(population_grid.gt, cols + px + 0.5, rows + py + 0.5))
+        cell_row, cell_col = np.floor(row).astype(int), np.floor(col).astype(int)
+        for s in places.itertuples(index=False):
+            col, row = affine.to_pixel(friction_grid.gt, float(s.lon), float(s.lat))
+            start = (math.floor(row) - s.fy0, math.floor(col) - s.fx0)
+            here = (slice(s.py0 - py, s.py1 - py), slice(s.px0 - px, s.px1 - px))
+            people, r, c = lived[here], cell_row[here] - s.fy0, cell_col[here] - s.fx0
+            valid = np.isfinite(people) & (people >= 0)
+            n_valid = int(valid.sum())
+            for mode in modes:
+                walk = (mode, start, s.fx0, s.fy0, s.fx1, s.fy1)
+                if walk not in walks:
+                    walks[walk] = cost_surface(ways[mode][s.fy0 - fy : s.fy1 - fy, s.fx0 - fx : s.fx1 - fx], start, top, step_x, step_y)
+                cost = walks[walk]
+                warped = np.full(people.shape, np.inf)
+                if np.isfinite(cost).any():
+                    edge = np.concatenate([cost[0], cost[-1], cost[:, 0], cost[:, -1]])
+                    status = "complete" if s.covered and not np.isfinite(edge).any() else "partial_or_truncated"
+                    within = (r >= 0) & (c >= 0) & (r < cost.shape[0]) & (c < cost.shape[1])
+                    warped[within] = cost[r[within], c[within]]
+                else:
+                    status = "friction_cell_unavailable"
+                known = valid & np.isfinite(warped)
+                for m in sorted(set(minutes)):
+                    reached, paid = known & (warped <= m), cost[cost <= m]
+                    out.append((s.lon, s.lat, mode, float(m), float(people[reached].sum()), people.size, n_valid, people.size - n_valid, int(reached.sum()), n_valid - int(known.sum()), paid.size, float(paid.max(initial=0.0)), status))
+        return pd.DataFrame(out, columns=names)
+
+    found = dealt.groupBy(*keys).cogroup(grounds.groupBy(*owners)).applyInPandas(group, _REACH)
+    each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    every = sites.select("site_id", "lon", "lat", each(modes).alias("mode")).withColumn("minutes", each([float(m) for m in sorted(set(minutes))]))
+    shown = {"population": 0.0, **dict.fromkeys(("n_candidates", "n_valid", "n_nodata", "n_reachable", "n_unavailable", "n_friction_cells"), 0), "farthest_minutes": 0.0, "status": "outside_source_coverage"}
+    return every.join(found, ["lon", "lat", "mode", "minutes"], "left").select("site_id", "mode", "minutes", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in shown.items()])

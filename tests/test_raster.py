@@ -194,3 +194,16 @@ def test_rings_measure_positions(spark, monkeypatch):
     for r in (1000, 4000):
         assert got["0", r][2:] == got["57", r][2:]
     assert got["0", 4000].n_candidates == got["0", 4000].n_valid > 0 and got["59", 4000][2:6] == (0.0, 0, 0, 0)
+
+
+def test_walks_start_once_a_position(spark, monkeypatch):
+    """Walks start from positions, whatever the number of sites there; a site without a position reaches no one."""
+    grid, met, opened = raster.Grid(GT, 40, 40, 16, 16), [], raster.windows
+    cells = spark.range(1600).selectExpr("id div 40 AS row", "id % 40 AS col", "200 AS value", "'walking' AS mode")
+    places = spark.range(40).selectExpr("CAST(id AS string) AS site_id", "IF(id = 39, NULL, 3.15D + id % 3 / 100) AS lon", "CAST(6.7 AS double) AS lat")
+    monkeypatch.setattr(raster, "windows", lambda df, *a: met.append(df) or opened(df, *a))
+    ways, lived = raster.tiled(cells, grid, ("mode",)), raster.tiled(cells.drop("mode"), grid)
+    got = {r.site_id: r for r in raster.accessible_population(places, ways, grid, lived, grid, ["walking"], [10.0], 8_000.0).collect()}
+    assert len(got) == 40 and met[0].count() == 3 and "site_id" not in met[0].columns
+    assert got["0"][1:] == got["36"][1:] and got["0"].population > 200 and got["0"].n_unavailable > 0
+    assert got["39"][3:] == (0.0, 0, 0, 0, 0, 0, 0, 0.0, "outside_source_coverage")
